@@ -1,0 +1,201 @@
+"""Repeated blocks of lines inside one payload, as Columns."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from promptledger.functions.columns import compact, let, run_slices, run_starts
+from promptledger.functions.text import (
+    lower_each,
+    text_lines,
+    text_size,
+    token_count,
+    trim_space,
+)
+
+BLOCK = "struct<key:bigint,key2:bigint,i:int>"
+REPEAT = "struct<first_line:int,repeat_line:int>"
+
+
+def line_windows(text: Column, size: int = 5, min_words: int = 10) -> Column:
+    """Hashed sliding windows of ``size`` lines with at least ``min_words`` words.
+
+    Array of ``struct(key, key2, i)``: two independent 64-bit hashes of the trimmed,
+    lowercased window and its 0-based first line. White space never joins words
+    across lines, so window word counts are sums of line word counts, and only
+    windows that qualify are put together and hashed.
+    """
+
+    def window(lines: Column, counts: Column, i: Column) -> Column:
+        total = F.aggregate(
+            F.slice(counts, i + 1, size), F.lit(0).cast("bigint"), lambda a, b: a + b
+        )
+        content = trim_space(F.array_join(F.slice(lines, i + 1, size), "\n"))
+        hashed = let(
+            content,
+            lambda c: F.struct(
+                F.xxhash64(c).alias("key"),
+                F.xxhash64(F.lit("second"), c).alias("key2"),
+                i.cast("int").alias("i"),
+            ),
+        )
+        return F.when(total >= min_words, hashed)
+
+    def windows(lines: Column) -> Column:
+        return let(
+            F.transform(lines, lambda line: text_size(line)["words"]),
+            lambda counts: compact(
+                F.transform(
+                    F.sequence(F.lit(0), F.size(lines) - size),
+                    lambda i: window(lines, counts, i),
+                )
+            ),
+        )
+
+    return let(
+        text_lines(lower_each(text)),
+        lambda lines: F.when(F.size(lines) >= size, windows(lines)).otherwise(
+            F.array().cast(f"array<{BLOCK}>")
+        ),
+    )
+
+
+def _same_key(a: Column, b: Column) -> Column:
+    return (a["key"] == b["key"]) & (a["key2"] == b["key2"])
+
+
+def block_groups(windows: Column) -> Column:
+    """Windows of one payload grouped by key: arrays in line order, one per key."""
+    return let(
+        F.sort_array(windows),
+        lambda o: let(run_starts(o, _same_key), lambda starts: run_slices(o, starts)),
+    )
+
+
+def payload_blocks(windows: Column) -> Column:
+    """One ``struct(key, key2, first_line, copies)`` per distinct window of a payload."""
+    return F.transform(
+        block_groups(windows),
+        lambda g: F.struct(
+            F.get(g, F.lit(0))["key"].alias("key"),
+            F.get(g, F.lit(0))["key2"].alias("key2"),
+            (F.get(g, F.lit(0))["i"] + 1).alias("first_line"),
+            F.size(g).cast("bigint").alias("copies"),
+        ),
+    )
+
+
+def duplicate_blocks(
+    text: Column, size: int = 5, min_words: int = 10, min_gap: int = 1
+) -> Column:
+    """Repeats of an earlier window: ``struct(first_line, repeat_line)``, 1-based.
+
+    Sorting the hashed windows brings equal ones together, so the cost is
+    n log n in the payload's lines. ``min_gap`` sets how many lines must lie between
+    the starts; the default keeps overlapping repeats.
+    """
+
+    def repeats(group: Column) -> Column:
+        first = F.get(group, F.lit(0))["i"]
+        return F.transform(
+            F.filter(
+                F.slice(group, F.lit(2), F.size(group)),
+                lambda w: w["i"] - first >= min_gap,
+            ),
+            lambda w: F.struct(
+                (first + 1).alias("first_line"), (w["i"] + 1).alias("repeat_line")
+            ),
+        )
+
+    def in_order(windows: Column) -> Column:
+        found = F.flatten(
+            F.transform(
+                F.filter(block_groups(windows), lambda g: F.size(g) > 1), repeats
+            )
+        )
+        by_line = F.sort_array(
+            F.transform(
+                found,
+                lambda r: F.struct(
+                    r["repeat_line"].alias("repeat_line"), r["first_line"].alias("first_line")
+                ),
+            )
+        )
+        return F.transform(
+            by_line,
+            lambda r: F.struct(
+                r["first_line"].alias("first_line"), r["repeat_line"].alias("repeat_line")
+            ),
+        )
+
+    def has_repeat(windows: Column) -> Column:
+        keys = F.transform(windows, lambda w: w["key"])
+        return F.size(F.array_distinct(keys)) < F.size(windows)
+
+    return let(
+        line_windows(text, size, min_words),
+        lambda windows: F.when(has_repeat(windows), in_order(windows)).otherwise(
+            F.array().cast(f"array<{REPEAT}>")
+        ),
+    )
+
+
+def long_lines(text: Column, limit: int = 500) -> Column:
+    """Lines of more than ``limit`` bytes: ``struct(line, bytes)``, 1-based."""
+    sized = F.transform(
+        text_lines(text),
+        lambda line, i: F.struct(
+            (i + 1).cast("int").alias("line"),
+            F.octet_length(line).cast("bigint").alias("bytes"),
+        ),
+    )
+    none = F.array().cast("array<struct<line:int,bytes:bigint>>")
+    return F.when(
+        F.octet_length(text) > limit, F.filter(sized, lambda x: x["bytes"] > limit)
+    ).otherwise(none)
+
+
+def compact_text(text: Column, size: int = 5, min_words: int = 10) -> Column:
+    """Text without the lines of later duplicate windows.
+
+    Only windows that start at least ``size`` lines behind their first copy are
+    dropped, so an original is never removed together with its repeat.
+    """
+
+    def rebuilt(lines: Column, repeats: Column) -> Column:
+        # Walk the sorted repeat starts next to the text: each kept stretch runs from
+        # the end of the lines dropped so far to the next dropped window.
+        starts = F.transform(repeats, lambda r: r["repeat_line"] - 1)
+        edges = F.concat(F.array(F.lit(-size)), starts, F.array(F.size(lines)))
+
+        def stretch(b: Column, j: Column, e: Column) -> Column:
+            nxt = F.get(e, j + 1)
+            begin = b + size
+            return F.when(
+                nxt > begin, F.slice(lines, begin + 1, nxt - begin)
+            ).otherwise(F.array().cast("array<string>"))
+
+        return let(
+            edges,
+            lambda e: F.array_join(
+                F.flatten(
+                    F.transform(
+                        F.slice(e, F.lit(1), F.size(e) - 1), lambda b, j: stretch(b, j, e)
+                    )
+                ),
+                "\n",
+            ),
+        )
+
+    return let(
+        duplicate_blocks(text, size, min_words, min_gap=size),
+        lambda repeats: F.when(
+            F.size(repeats) > 0,
+            let(text_lines(text), lambda lines: rebuilt(lines, repeats)),
+        ).otherwise(text),
+    )
+
+
+def saved_tokens(before: Column, after: Column) -> Column:
+    return token_count(before) - token_count(after)

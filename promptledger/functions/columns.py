@@ -1,0 +1,52 @@
+"""Small building blocks for array expressions."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and hand it to ``body`` as a lambda variable.
+
+    Keeps a costly value from being repeated when the optimizer moves or merges
+    the projection that uses it several times.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def compact(array: Column) -> Column:
+    """Drop null elements."""
+    return F.filter(array, lambda x: x.isNotNull())
+
+
+def run_starts(ordered: Column, same: Callable[[Column, Column], Column]) -> Column:
+    """Positions (0-based) at which a run of equal neighbours begins."""
+    return compact(
+        F.transform(
+            ordered,
+            lambda x, j: F.when((j == 0) | ~same(F.get(ordered, j - 1), x), j),
+        )
+    )
+
+
+def run_slices(ordered: Column, starts: Column) -> Column:
+    """The runs of ``ordered`` as an array of arrays."""
+    return F.transform(
+        starts,
+        lambda s, r: F.slice(
+            ordered,
+            s + 1,
+            F.coalesce(F.get(starts, r + 1), F.size(ordered)) - s,
+        ),
+    )
+
+
+def runs(ordered: Column, same: Callable[[Column, Column], Column]) -> Column:
+    """Split a sorted array into runs of equal neighbours, in linear time."""
+    return let(
+        ordered,
+        lambda o: let(run_starts(o, same), lambda starts: run_slices(o, starts)),
+    )

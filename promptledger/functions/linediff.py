@@ -1,0 +1,55 @@
+"""Line comparison of two texts as multisets, row-local."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from promptledger.functions.columns import let, run_slices, run_starts
+from promptledger.functions.text import text_lines
+
+_SEPARATOR = "\u0000"
+
+
+def numbered_lines(text: Column) -> Column:
+    """Lines with the number of their copy, so that equal lines stay apart.
+
+    The number goes in front, with a separator, to make each element one string:
+    the set functions hash strings but compare structs pair by pair.
+    """
+
+    def number(run: Column) -> Column:
+        return F.transform(
+            run,
+            lambda line, k: F.concat((k + 1).cast("string"), F.lit(_SEPARATOR), line),
+        )
+
+    return let(
+        F.sort_array(text_lines(text)),
+        lambda o: let(
+            run_starts(o, lambda a, b: a == b),
+            lambda starts: F.flatten(F.transform(run_slices(o, starts), number)),
+        ),
+    )
+
+
+def split_number(numbered: Column) -> Column:
+    """``struct(copy, line)`` of a numbered line."""
+    at = F.instr(numbered, F.lit(_SEPARATOR))
+    return F.struct(
+        F.substring(numbered, F.lit(1), at - 1).cast("bigint").alias("copy"),
+        F.substring(numbered, at + 1, F.length(numbered)).alias("line"),
+    )
+
+
+def lines_only_in(left: Column, right: Column) -> Column:
+    """Numbered lines of ``left`` without a partner in ``right``."""
+    none = F.array().cast("array<string>")
+    return F.when(left == right, none).otherwise(
+        F.array_except(numbered_lines(left), numbered_lines(right))
+    )
+
+
+def lines_in_both(left: Column, right: Column) -> Column:
+    """Numbered lines that have a partner on the other side."""
+    return F.array_intersect(numbered_lines(left), numbered_lines(right))

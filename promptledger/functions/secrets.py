@@ -1,0 +1,283 @@
+"""Secret and personal-data detection, redaction and entropy as Columns.
+
+Patterns run in a fixed order, each on the output of the one before. All matching
+is row-local: no shuffle, no Python worker.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Callable, Iterable
+from dataclasses import dataclass
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from promptledger.functions.columns import let
+from promptledger.functions.text import SPACE_CLASS, text_lines
+
+FINDING = "struct<type:string,match:string,line:int,redacted:string,is_redacted:boolean>"
+HIGH_ENTROPY = "high_entropy"
+_MARK = "\u0001"
+_WORD = "[0-9A-Za-z_]"
+_EDGE = f"(?:(?<!{_WORD})(?={_WORD})|(?<={_WORD})(?!{_WORD}))"
+_LOCAL = r"[A-Za-z0-9._%+\-]"
+def _any_case(literal: str) -> str:
+    """Match a literal in any case, with the two characters that fold to k and s."""
+    extra = {"K": r"\x{212A}", "S": r"\x{17F}"}
+    return "".join(
+        f"[{c.upper()}{c.lower()}{extra.get(c.upper(), '')}]" if c.isalpha() else c
+        for c in literal
+    )
+
+
+# Key prefixes that mark an AWS access key id.
+AWS_PREFIXES = ("AKIA", "ASIA", "AROA", "AIDA", "ANPA", "ANVA", "AIPA")
+_ALNUM = r"[A-Za-z0-9\x{17F}\x{212A}]"
+_PEM = "(?:RSA |EC |OPENSSH )?PRIVATE KEY-----"
+
+
+@dataclass(frozen=True)
+class Pattern:
+    """A detection pattern in Java syntax; ``group`` holds the matched secret."""
+
+    type: str
+    java: str
+    label: str
+    group: int = 0
+    keep: str = ""
+
+    @property
+    def replacement(self) -> str:
+        return self.keep + self.label
+
+
+# Word edges are spelled out as ASCII look-arounds: Java's own \b counts accented
+# letters as word characters. \d and \s are ASCII here, and \s has no U+000B.
+PATTERNS = (
+    Pattern(
+        "ssh_key",
+        rf"-----BEGIN {_PEM}[\s\S]*?-----END {_PEM}",
+        "[REDACTED:SSH_PRIVATE_KEY]",
+    ),
+    Pattern(
+        "jwt",
+        r"eyJ[A-Za-z0-9_-]{10,}+\.eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+",
+        "[REDACTED:JWT]",
+    ),
+    Pattern(
+        "aws_credential",
+        rf"(?:{'|'.join(map(_any_case, AWS_PREFIXES))}){_ALNUM}{{16}}",
+        "[REDACTED:AWS_KEY]",
+    ),
+    Pattern(
+        "api_key",
+        rf"(?:{_any_case('sk-')}{_ALNUM}{{20,}}"
+        rf"|{_any_case('ant')}[A-Za-z0-9_\x{{17F}}\x{{212A}}-]{{30,}}"
+        rf"|{_any_case('api')}[_-]?{_any_case('key')}[\t\n\f\r ]*[:=][\t\n\f\r ]*[^\t\n\f\r ]{{16,}})",
+        "[REDACTED:API_KEY]",
+    ),
+    # An address starts at the first word edge of a run of local-part characters, or
+    # right behind the address before it. Finding the run start by look-behind keeps
+    # long runs without an @ linear; symbols ahead of the edge are group 1 and stay.
+    Pattern(
+        "email",
+        rf"(?:(?<=[A-Za-z])\G|(?<!{_LOCAL})([.%+\-]*+)(?={_WORD}))"
+        rf"({_LOCAL}++@[A-Za-z0-9.\-]+\.[A-Za-z]{{2,}}(?!{_WORD}))",
+        "[REDACTED:EMAIL]",
+        group=2,
+        keep="$1",
+    ),
+    Pattern(
+        "ssn",
+        rf"(?<!{_WORD})[0-9]{{3}}[-\t\n\f\r ]?[0-9]{{2}}[-\t\n\f\r ]?[0-9]{{4}}(?!{_WORD})",
+        "[REDACTED:SSN]",
+    ),
+    Pattern(
+        "phone",
+        rf"{_EDGE}(?:\+?1[-.\t\n\f\r ]?)?\(?[0-9]{{3}}\)?[-.\t\n\f\r ]?[0-9]{{3}}"
+        rf"[-.\t\n\f\r ]?[0-9]{{4}}(?!{_WORD})",
+        "[REDACTED:PHONE]",
+    ),
+)
+PATTERN_TYPES = tuple(p.type for p in PATTERNS)
+
+# A text without the marker cannot match; a plain search is cheaper than the pattern.
+_MARKERS = {"ssh_key": "PRIVATE KEY-----", "jwt": "eyJ", "email": "@"}
+
+
+def _chosen(types: Iterable[str] | None) -> list[Pattern]:
+    wanted = set(PATTERN_TYPES if types is None else types)
+    unknown = wanted - set(PATTERN_TYPES)
+    if unknown:
+        raise ValueError(f"unknown finding types: {sorted(unknown)}")
+    return [p for p in PATTERNS if p.type in wanted]
+
+
+def _hit(text: Column, p: Pattern) -> Column:
+    marker = _MARKERS.get(p.type)
+    found = F.rlike(text, F.lit(p.java))
+    return F.contains(text, F.lit(marker)) & found if marker else found
+
+
+def _replace(text: Column, p: Pattern) -> Column:
+    return F.regexp_replace(text, F.lit(p.java), F.lit(p.replacement))
+
+
+def redact(text: Column, types: Iterable[str] | None = None) -> Column:
+    """Text with every match of the chosen patterns replaced by its label."""
+
+    def step(p: Pattern) -> Callable[[Column], Column]:
+        return lambda t: F.when(_hit(t, p), _replace(t, p)).otherwise(t)
+
+    for p in _chosen(types):
+        text = let(text, step(p))
+    return text
+
+
+def shown(match: Column) -> Column:
+    """Long matches are cut to their first 20 and last 8 characters for display."""
+    cut = F.concat(F.substring(match, 1, 20), F.lit("..."), F.right(match, F.lit(8)))
+    return F.when(F.octet_length(match) > 40, cut).otherwise(match)
+
+
+def _breaks(text: Column) -> Column:
+    return F.regexp_replace(text, "[^\n]+", "")
+
+
+def match_lines(text: Column, matches: Column, java: str) -> Column:
+    """1-based line of each match, in match order.
+
+    Rebuilds the text with nothing left but newlines and one mark per match, so a
+    single pass over its lines numbers all matches; cost is linear in the text.
+    """
+    pieces = F.split(text, java, -1)
+    skeleton = F.array_join(
+        F.transform(
+            pieces,
+            lambda piece, k: F.concat(
+                _breaks(piece),
+                F.when(
+                    k < F.size(matches),
+                    F.concat(F.lit(_MARK), _breaks(F.get(matches, k))),
+                ).otherwise(F.lit("")),
+            ),
+        ),
+        "",
+    )
+    return F.flatten(
+        F.transform(
+            F.split(skeleton, "\n", -1),
+            lambda marks, i: F.array_repeat(i + 1, F.length(marks)),
+        )
+    )
+
+
+def _finding(kind: str, match: Column, line: Column, label: Column, done: bool) -> Column:
+    return F.struct(
+        F.lit(kind).alias("type"),
+        match.alias("match"),
+        line.cast("int").alias("line"),
+        label.alias("redacted"),
+        F.lit(done).alias("is_redacted"),
+    )
+
+
+def pattern_findings(text: Column, p: Pattern) -> Column:
+    """All matches of one pattern in ``text``; the line is that of ``text`` itself."""
+    return let(
+        F.regexp_extract_all(text, F.lit(p.java), p.group),
+        lambda found: let(
+            match_lines(text, found, p.java),
+            lambda lines: F.transform(
+                found,
+                lambda m, k: _finding(p.type, shown(m), F.get(lines, k), F.lit(p.label), True),
+            ),
+        ),
+    )
+
+
+def shannon_entropy(word: Column) -> Column:
+    """Bits per character, rounded to 9 places; 0 for the empty string."""
+    n = F.length(word)
+    letters = F.array_distinct(F.split(word, ""))
+    parts = F.transform(
+        F.filter(letters, lambda c: c != ""),
+        lambda c: (n - F.length(F.replace(word, c, F.lit("")))) / n,
+    )
+    total = F.aggregate(
+        parts, F.lit(0.0), lambda acc, share: acc - share * F.log2(share)
+    )
+    return F.when(n == 0, F.lit(0.0)).otherwise(F.round(total, 9))
+
+
+def high_entropy_findings(clean: Column, threshold: float = 4.5) -> Column:
+    """Random-looking words of at least 20 bytes; reported, not redacted.
+
+    Entropy is at most log2 of the length, so shorter words than 2^threshold
+    characters cannot qualify and are never cut out of the text.
+    """
+    threshold = threshold if threshold > 0 else 4.5
+    fewest = max(5, math.ceil(2**threshold - 1e-6))
+    long_word = f"[^{SPACE_CLASS}]{{{fewest},}}"
+
+    def suspicious(word: Column) -> Column:
+        return (
+            (F.octet_length(word) >= 20)
+            & ~F.startswith(word, F.lit("[REDACTED"))
+            & (shannon_entropy(word) >= threshold)
+        )
+
+    def in_line(line: Column, i: Column) -> Column:
+        words = F.filter(F.regexp_extract_all(line, F.lit(long_word), 0), suspicious)
+        return F.transform(
+            words,
+            lambda w: _finding(
+                HIGH_ENTROPY,
+                F.concat(F.substring(w, 1, 12), F.lit("...")),
+                i + 1,
+                F.lit(""),
+                False,
+            ),
+        )
+
+    return F.when(
+        F.rlike(clean, F.lit(long_word)),
+        F.flatten(F.transform(text_lines(clean), in_line)),
+    ).otherwise(F.array().cast(f"array<{FINDING}>"))
+
+
+def scrub(
+    text: Column,
+    types: Iterable[str] | None = None,
+    entropy_threshold: float = 4.5,
+) -> Column:
+    """``struct(clean, findings, has_secrets)``; each pattern scans the text once."""
+    none = F.array().cast(f"array<{FINDING}>")
+    state = F.struct(text.alias("clean"), none.alias("findings"))
+
+    def step(p: Pattern) -> Callable[[Column], Column]:
+        def apply(s: Column) -> Column:
+            t, seen = s["clean"], s["findings"]
+            changed = F.struct(
+                _replace(t, p).alias("clean"),
+                F.concat(seen, pattern_findings(t, p)).alias("findings"),
+            )
+            return F.when(_hit(t, p), changed).otherwise(s)
+
+        return apply
+
+    for p in _chosen(types):
+        state = let(state, step(p))
+
+    def finish(s: Column) -> Column:
+        return let(
+            F.concat(s["findings"], high_entropy_findings(s["clean"], entropy_threshold)),
+            lambda f: F.struct(
+                s["clean"].alias("clean"),
+                f.alias("findings"),
+                (F.size(f) > 0).alias("has_secrets"),
+            ),
+        )
+
+    return let(state, finish)

@@ -1,0 +1,220 @@
+"""Stable and dynamic sections of a prompt, as Columns.
+
+Within one payload all steps are row-local and linear in its lines. Conversations
+whose lines are spread over many rows go through ``operators.conversations``.
+"""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from promptledger.functions.columns import compact, let
+from promptledger.functions.text import (
+    format_cost,
+    lower_each,
+    text_lines,
+    token_count_once,
+    trim_space,
+)
+
+STABLE = "stable"
+DYNAMIC = "dynamic"
+
+# Keywords that mark a line, matched as lowercase substrings.
+STABLE_KEYWORDS = (
+    "you are",
+    "your role",
+    "always",
+    "never",
+    "important:",
+    "instructions:",
+    "system:",
+    "assistant:",
+    "rules:",
+    "guidelines:",
+    "context:",
+    "## system",
+    "# system",
+    "<system>",
+    "</system>",
+)
+DYNAMIC_KEYWORDS = (
+    "user:",
+    "human:",
+    "question:",
+    "request:",
+    "<user>",
+    "</user>",
+    "please help",
+    "can you",
+    "i need",
+    "i want",
+)
+
+# USD per million tokens saved when input is billed at the cached rate.
+SAVED_PER_1M_FIRST = 3.00 - 0.30
+SAVED_PER_1M_SECOND = 2.50 - 1.25
+
+MARK = "struct<i:int,label:string>"
+SECTION = "struct<type:string,content:string,line_start:int,line_end:int,tokens:bigint>"
+
+
+def _has_any(lowered: Column, keywords: tuple[str, ...]) -> Column:
+    return reduce(lambda a, b: a | b, (F.contains(lowered, F.lit(k)) for k in keywords))
+
+
+def line_mark(lowered: Column) -> Column:
+    """Label a lowercased line by its own keywords; null when it has none."""
+    return F.when(_has_any(lowered, DYNAMIC_KEYWORDS), DYNAMIC).when(
+        _has_any(lowered, STABLE_KEYWORDS), STABLE
+    )
+
+
+def label_changes(text: Column) -> Column:
+    """Lines (0-based) at which the label flips, as ``struct(i, label)``.
+
+    A text starts out stable, and a line without keywords carries the label on.
+    """
+    none = F.array().cast(f"array<{MARK}>")
+
+    def marks(lowered: Column) -> Column:
+        return F.filter(
+            F.transform(
+                text_lines(lowered),
+                lambda line, i: F.struct(
+                    i.cast("int").alias("i"), line_mark(line).alias("label")
+                ),
+            ),
+            lambda m: m["label"].isNotNull(),
+        )
+
+    def flips(found: Column) -> Column:
+        return compact(
+            F.transform(
+                found,
+                lambda m, j: F.when(
+                    m["label"] != F.coalesce(F.get(found, j - 1)["label"], F.lit(STABLE)), m
+                ),
+            )
+        )
+
+    # Every flip away from stable needs a dynamic keyword somewhere in the text.
+    return let(
+        lower_each(text),
+        lambda low: F.when(
+            _has_any(low, DYNAMIC_KEYWORDS), let(marks(low), flips)
+        ).otherwise(none),
+    )
+
+
+def _bounds(text: Column) -> Column:
+    start = F.struct(F.lit(0).alias("i"), F.lit(STABLE).alias("label"))
+    return F.concat(F.array(start), label_changes(text))
+
+
+def line_labels(text: Column) -> Column:
+    """Every line with its label: ``struct(line, type, content)`` in line order."""
+
+    def labelled(lines: Column, bounds: Column) -> Column:
+        def stretch(b: Column, j: Column) -> Column:
+            end = F.coalesce(F.get(bounds, j + 1)["i"], F.size(lines))
+            return F.transform(
+                F.slice(lines, b["i"] + 1, end - b["i"]),
+                lambda content, k: F.struct(
+                    (b["i"] + k + 1).cast("int").alias("line"),
+                    b["label"].alias("type"),
+                    content.alias("content"),
+                ),
+            )
+
+        return F.flatten(F.transform(bounds, stretch))
+
+    return let(
+        text_lines(text), lambda lines: let(_bounds(text), lambda b: labelled(lines, b))
+    )
+
+
+def sections(text: Column) -> Column:
+    """Runs of equally labelled lines; a leading blank-only section is left out."""
+
+    def build(lines: Column, bounds: Column) -> Column:
+        def section(b: Column, j: Column) -> Column:
+            end = F.coalesce(F.get(bounds, j + 1)["i"], F.size(lines))
+            content = F.array_join(F.slice(lines, b["i"] + 1, end - b["i"]), "\n")
+            return let(
+                content,
+                lambda c: F.struct(
+                    b["label"].alias("type"),
+                    c.alias("content"),
+                    (b["i"] + 1).cast("int").alias("line_start"),
+                    end.cast("int").alias("line_end"),
+                    token_count_once(c).alias("tokens"),
+                ),
+            )
+
+        return F.filter(F.transform(bounds, section), lambda s: trim_space(s["content"]) != "")
+
+    return let(
+        text_lines(text), lambda lines: let(_bounds(text), lambda b: build(lines, b))
+    )
+
+
+def tokens_of(found: Column, kind: str) -> Column:
+    """Summed tokens of the sections of one type."""
+    return F.aggregate(
+        F.filter(found, lambda s: s["type"] == kind),
+        F.lit(0).cast("bigint"),
+        lambda acc, s: acc + s["tokens"],
+    )
+
+
+def reorder_needed(found: Column) -> Column:
+    """True when a dynamic section comes before a stable one.
+
+    Sections alternate, so that is so whenever there are three, or two of which the
+    first is dynamic.
+    """
+    return (F.size(found) > 2) | (
+        (F.size(found) == 2) & (F.get(found, F.lit(0))["type"] == DYNAMIC)
+    )
+
+
+def first_savings(stable_tokens: Column) -> Column:
+    return stable_tokens * F.lit(SAVED_PER_1M_FIRST) / F.lit(1_000_000)
+
+
+def second_savings(stable_tokens: Column) -> Column:
+    return stable_tokens * F.lit(SAVED_PER_1M_SECOND) / F.lit(1_000_000)
+
+
+def recommendations(stable: Column, dynamic: Column, reorder: Column) -> Column:
+    """Up to three texts in a fixed order."""
+    return F.array_compact(
+        F.array(
+            F.when(
+                reorder,
+                "Move stable content (system prompt, instructions) before dynamic content "
+                "(user input) to maximise cache hits",
+            ),
+            F.when(
+                stable > 0,
+                F.concat(
+                    F.lit("Cache the "),
+                    stable.cast("string"),
+                    F.lit(" stable tokens to save ~"),
+                    format_cost(first_savings(stable)),
+                    F.lit(" per request (Anthropic) or ~"),
+                    format_cost(second_savings(stable)),
+                    F.lit(" (OpenAI)"),
+                ),
+            ),
+            F.when(
+                (dynamic > stable) & (stable > 0),
+                "Consider extracting more instructions to a static system prompt to "
+                "increase cache hit rate",
+            ),
+        )
+    )

@@ -1,0 +1,162 @@
+"""Size, shape and formatting measures of a text column."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from promptledger.functions.columns import let
+
+# The Unicode White_Space characters, as a class that means the
+# same in Java and RE2 regular expressions, and as the characters themselves.
+SPACE_CLASS = (
+    r"\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
+    r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+)
+SPACE_CHARS = (
+    "\t\n\x0b\x0c\r \u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+SPACES = f"[{SPACE_CLASS}]+"
+
+
+def trim_space(text: Column) -> Column:
+    """Strip Unicode white space from both ends (built-in trim strips U+0020 only)."""
+    return F.btrim(text, F.lit(SPACE_CHARS))
+
+
+def lower_each(text: Column) -> Column:
+    """Lowercase character by character, without the two context-dependent cases."""
+    text = F.replace(F.replace(text, F.lit("İ"), F.lit("i")), F.lit("Σ"), F.lit("σ"))
+    return F.lower(text)
+
+
+def text_lines(text: Column) -> Column:
+    """The lines of a text; a trailing newline opens one more, empty line."""
+    return F.split(text, "\n", -1)
+
+
+def _single_spaced(text: Column) -> Column:
+    return F.regexp_replace(text, SPACES, " ")
+
+
+def _without_blanks(single_spaced: Column) -> Column:
+    return F.replace(single_spaced, F.lit(" "), F.lit(""))
+
+
+def _words_in(single_spaced: Column) -> Column:
+    trimmed = F.btrim(single_spaced)
+    gaps = F.length(trimmed) - F.length(_without_blanks(single_spaced))
+    return F.when(F.length(trimmed) > 0, gaps + 1).otherwise(F.lit(0))
+
+
+def tokens_from(non_space: Column, words: Column) -> Column:
+    """About four characters a token, and at least one token a word."""
+    return F.greatest(F.ceil(non_space / F.lit(4)), words).cast("bigint")
+
+
+def non_space_length(text: Column) -> Column:
+    """Number of characters that are not white space."""
+    return F.length(_without_blanks(_single_spaced(text))).cast("bigint")
+
+
+def word_count(text: Column) -> Column:
+    return _words_in(_single_spaced(text)).cast("bigint")
+
+
+def token_count(text: Column) -> Column:
+    """Estimated tokens of the whole text; the estimate is not additive over parts."""
+    s = _single_spaced(text)
+    return tokens_from(F.length(_without_blanks(s)), _words_in(s))
+
+
+def token_count_once(text: Column) -> Column:
+    """``token_count`` for use inside a lambda, where nothing shares subexpressions."""
+    return let(
+        _single_spaced(text),
+        lambda s: tokens_from(F.length(_without_blanks(s)), _words_in(s)),
+    )
+
+
+def text_size(text: Column) -> Column:
+    """``struct(non_space, words)``: the additive parts of the token estimate."""
+    return let(
+        _single_spaced(text),
+        lambda s: F.struct(
+            F.length(_without_blanks(s)).cast("bigint").alias("non_space"),
+            _words_in(s).cast("bigint").alias("words"),
+        ),
+    )
+
+
+def line_count(text: Column) -> Column:
+    newlines = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+    return F.when(F.length(text) == 0, 0).otherwise(newlines + 1).cast("bigint")
+
+
+def projected_output(tokens: Column) -> Column:
+    """Output is assumed to be a quarter of the input, rounded up."""
+    return F.ceil(tokens * F.lit(0.25)).cast("bigint")
+
+
+def symbol_share(text: Column) -> Column:
+    """Share of symbols (neither letter nor digit) among non-space characters."""
+    bare = _without_blanks(_single_spaced(text))
+    symbols = F.length(F.regexp_replace(bare, r"[\p{L}\p{Nd}]+", ""))
+    return F.when(F.length(bare) > 0, symbols / F.length(bare)).otherwise(F.lit(0.0))
+
+
+def code_heavy(text: Column, share: float = 0.20) -> Column:
+    return symbol_share(text) > F.lit(share)
+
+
+def fixed(value: Column, digits: int) -> Column:
+    """Print a double with ``digits`` decimals, rounded by its exact binary value.
+
+    Java formatting rounds the shortest decimal form half up, so values such as
+    0.00135 differ from the correctly rounded text. The product with the power of
+    ten is split in a rounded part and its exact error, which settles near-ties.
+    """
+    scale = float(10**digits)
+    a = F.abs(value)
+    product = a * F.lit(scale)
+    whole = F.floor(product).cast("double")
+    split = a * F.lit(134217729.0)
+    high = split - (split - a)
+    error = (high * F.lit(scale) - product) + (a - high) * F.lit(scale)
+    side = (product - whole) - F.lit(0.5)
+    odd = (whole % 2) == 1
+    up = (side > 0) | ((side == 0) & ((error > 0) | ((error == 0) & odd)))
+    units = whole.cast("bigint") + F.when(up, 1).otherwise(0)
+    base = F.lit(10**digits).cast("bigint")
+    return F.concat(
+        F.when(value < 0, "-").otherwise(""),
+        F.floor(units / base).cast("bigint").cast("string"),
+        F.lit("."),
+        F.lpad((units % base).cast("string"), digits, "0"),
+    )
+
+
+def format_cost(usd: Column) -> Column:
+    """Dollar text with more decimals for smaller amounts."""
+    return (
+        F.when(usd == 0, "$0.00")
+        .when(usd < 0.001, "<$0.001")
+        .when(usd < 0.01, F.concat(F.lit("$"), fixed(usd, 4)))
+        .when(usd < 1.0, F.concat(F.lit("$"), fixed(usd, 3)))
+        .otherwise(F.concat(F.lit("$"), fixed(usd, 2)))
+    )
+
+
+def format_tokens(n: Column) -> Column:
+    """Thousands separators from 1,000 on; smaller and negative counts stay plain."""
+    return F.when(n < 1000, n.cast("string")).otherwise(F.format_number(n, 0))
+
+
+def shortening_hint(tokens: Column, above: int = 1000) -> Column:
+    """Hint for payloads worth shortening; empty below the limit."""
+    quarter = F.floor(tokens / F.lit(4)).cast("string")
+    return F.when(
+        tokens > above,
+        F.concat(F.lit("Compress to save about "), quarter, F.lit(" tokens before sending")),
+    ).otherwise(F.lit(""))

@@ -1,0 +1,19 @@
+"""Use all cores on inputs that arrive in few splits."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Redistribute by ``key`` only if the scan has fewer splits than there are cores.
+
+    Payload operators are CPU-bound and row-local. A large table has far more splits
+    than cores and is left alone, so nothing is shuffled at scale.
+    """
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, key)
