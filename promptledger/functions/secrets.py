@@ -14,14 +14,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from promptledger.functions.columns import let
-from promptledger.functions.text import SPACE_CLASS, text_lines
+from promptledger.functions.text import NON_SPACE, text_lines
 
 FINDING = "struct<type:string,match:string,line:int,redacted:string,is_redacted:boolean>"
 HIGH_ENTROPY = "high_entropy"
 _MARK = "\u0001"
 _WORD = "[0-9A-Za-z_]"
-_EDGE = f"(?:(?<!{_WORD})(?={_WORD})|(?<={_WORD})(?!{_WORD}))"
 _LOCAL = r"[A-Za-z0-9._%+\-]"
+
+
 def _any_case(literal: str) -> str:
     """Match a literal in any case, with the two characters that fold to k and s."""
     extra = {"K": r"\x{212A}", "S": r"\x{17F}"}
@@ -53,7 +54,8 @@ class Pattern:
 
 
 # Word edges are spelled out as ASCII look-arounds: Java's own \b counts accented
-# letters as word characters. \d and \s are ASCII here, and \s has no U+000B.
+# letters as word characters. \d and \s are ASCII here, and \s has no U+000B. An edge
+# ahead of a digit needs no word character before it; ahead of + or ( it needs one.
 PATTERNS = (
     Pattern(
         "ssh_key",
@@ -90,12 +92,12 @@ PATTERNS = (
     ),
     Pattern(
         "ssn",
-        rf"(?<!{_WORD})[0-9]{{3}}[-\t\n\f\r ]?[0-9]{{2}}[-\t\n\f\r ]?[0-9]{{4}}(?!{_WORD})",
+        rf"[0-9](?<!{_WORD}[0-9])[0-9]{{2}}[-\t\n\f\r ]?[0-9]{{2}}[-\t\n\f\r ]?[0-9]{{4}}(?!{_WORD})",
         "[REDACTED:SSN]",
     ),
     Pattern(
         "phone",
-        rf"{_EDGE}(?:\+?1[-.\t\n\f\r ]?)?\(?[0-9]{{3}}\)?[-.\t\n\f\r ]?[0-9]{{3}}"
+        rf"(?:(?=[0-9])(?<!{_WORD})|(?=[+(])(?<={_WORD}))(?:\+?1[-.\t\n\f\r ]?)?\(?[0-9]{{3}}\)?[-.\t\n\f\r ]?[0-9]{{3}}"
         rf"[-.\t\n\f\r ]?[0-9]{{4}}(?!{_WORD})",
         "[REDACTED:PHONE]",
     ),
@@ -219,7 +221,7 @@ def high_entropy_findings(clean: Column, threshold: float = 4.5) -> Column:
     """
     threshold = threshold if threshold > 0 else 4.5
     fewest = max(5, math.ceil(2**threshold - 1e-6))
-    long_word = f"[^{SPACE_CLASS}]{{{fewest},}}"
+    long_word = f"{NON_SPACE}{{{fewest},}}"
 
     def suspicious(word: Column) -> Column:
         return (

@@ -7,17 +7,16 @@ from pyspark.sql import functions as F
 
 from promptledger.functions.columns import let
 
-# The Unicode White_Space characters, as a class that means the
-# same in Java and RE2 regular expressions, and as the characters themselves.
-SPACE_CLASS = (
-    r"\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
-    r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
-)
+# Unicode White_Space as a regular expression. The flag makes the predefined classes
+# Unicode-aware; spelling the ranges out in a class of our own is 30 times slower.
+SPACES = r"(?U)\s+"
+NON_SPACE = r"(?U)\S"
+
+# The Unicode White_Space characters.
 SPACE_CHARS = (
     "\t\n\x0b\x0c\r \u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
     "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
-SPACES = f"[{SPACE_CLASS}]+"
 
 
 def trim_space(text: Column) -> Column:

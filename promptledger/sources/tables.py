@@ -24,6 +24,7 @@ SESSION_SCHEMA = T.StructType(
         T.StructField("notes", T.StringType()),
     ]
 )
+JSON_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 CSV_COLUMNS = (
     "id",
     "model",
@@ -82,8 +83,12 @@ def write_clean(df: DataFrame, path: str, fmt: str = "parquet") -> None:
 
 
 def write_json(df: DataFrame, path: str) -> None:
-    """Write a report as JSON lines, absent values left out."""
-    df.write.mode("overwrite").json(path)
+    """Write a report as JSON lines, absent values left out, times to the microsecond."""
+    df.write.mode("overwrite").json(path, timestampFormat=JSON_TIME)
+
+
+def read_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    return spark.read.schema(schema).json(path, timestampFormat=JSON_TIME)
 
 
 def csv_rows(report: DataFrame) -> DataFrame:

@@ -25,4 +25,5 @@ def stream_scrub(payloads: DataFrame, entropy: float = 4.5) -> DataFrame:
         F.col("has_secrets").alias("blocked"),
     )
     run_available(gated, "scrub", "append", batch_writer(path, "blocked"))
-    return spark.read.parquet(path).drop("batch_id")
+    stored = spark.read.parquet(path).drop("batch_id")
+    return stored.withColumn("blocked", F.col("blocked").cast("boolean"))

@@ -103,7 +103,7 @@ def report_json(spark, sf_dir):
     path = fresh_path(spark, "report-json")
     report = reporting.session_report(views.ledger(spark, sf_dir))
     tables.write_json(report, path)
-    stored = spark.read.schema(report.schema).json(path)
+    stored = tables.read_json(spark, path, report.schema)
     return stored.select(
         "id",
         stamp("started_at").alias("started_at"),
