@@ -5,28 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from promptledger.functions.sections import (
-    DYNAMIC,
-    STABLE,
-    first_savings,
-    line_labels,
-    recommendations,
-    reorder_needed,
-    second_savings,
-    sections,
-    tokens_of,
-)
+from promptledger import functions as fn
+from promptledger.expressions.sections import DYNAMIC, SAVED_ANTHROPIC, SAVED_OPENAI, STABLE
 
 
 def label_rows(payloads: DataFrame) -> DataFrame:
     """Every line with its label: ``(payload_id, line, type, content)``."""
-    return payloads.select("payload_id", F.inline(line_labels(F.col("text"))))
+    return payloads.select("payload_id", F.inline(fn.line_labels("text")))
 
 
 def section_rows(payloads: DataFrame) -> DataFrame:
     """One row per section, numbered from 1 within its payload."""
     numbered = payloads.select(
-        "payload_id", F.posexplode(sections(F.col("text"))).alias("no", "s")
+        "payload_id", F.posexplode(fn.section_list("text")).alias("no", "s")
     )
     return numbered.select("payload_id", (F.col("no") + 1).alias("section_no"), "s.*")
 
@@ -36,27 +27,26 @@ def cache_analysis(payloads: DataFrame) -> DataFrame:
 
     A text of the table keeps its row throughout: no shuffle, no join.
     """
-    found = payloads.select(
-        "payload_id", F.inline(F.array(F.struct(sections(F.col("text")).alias("sections"))))
-    )
-    s = F.col("sections")
+    listed = F.struct(fn.section_list("text").alias("sections"))
+    found = payloads.select("payload_id", F.inline(F.array(listed)))
     totals = found.select(
         "payload_id",
-        F.size(s).cast("bigint").alias("section_count"),
-        tokens_of(s, STABLE).alias("stable_tokens"),
-        tokens_of(s, DYNAMIC).alias("dynamic_tokens"),
-        reorder_needed(s).alias("reorder_recommended"),
+        F.size("sections").cast("bigint").alias("section_count"),
+        fn.tokens_of("sections", STABLE).alias("stable_tokens"),
+        fn.tokens_of("sections", DYNAMIC).alias("dynamic_tokens"),
+        fn.reorder_needed("sections").alias("reorder_recommended"),
     )
     return with_savings(totals)
 
 
 def with_savings(totals: DataFrame) -> DataFrame:
     """Add savings and recommendations to section totals."""
-    stable, dynamic = F.col("stable_tokens"), F.col("dynamic_tokens")
     return totals.withColumns(
         {
-            "savings_anthropic_usd": first_savings(stable),
-            "savings_openai_usd": second_savings(stable),
-            "recommendations": recommendations(stable, dynamic, F.col("reorder_recommended")),
+            "savings_anthropic_usd": fn.saved("stable_tokens", SAVED_ANTHROPIC),
+            "savings_openai_usd": fn.saved("stable_tokens", SAVED_OPENAI),
+            "recommendations": fn.recommendations(
+                "stable_tokens", "dynamic_tokens", "reorder_recommended"
+            ),
         }
     )

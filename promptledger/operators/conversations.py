@@ -7,13 +7,13 @@ counts behind the token estimate add up over lines.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from promptledger.functions.columns import let
-from promptledger.functions.sections import DYNAMIC, STABLE, line_mark
-from promptledger.functions.text import lower_each, text_lines, text_size, tokens_from
+from promptledger import functions as fn
+from promptledger.expressions.sections import DYNAMIC, STABLE, line_mark
+from promptledger.expressions.text import lines, lower_each, text_size
 from promptledger.operators.caching import with_savings
 from promptledger.plans.ordered import (
     CHUNK,
@@ -24,27 +24,23 @@ from promptledger.plans.ordered import (
 )
 
 
-def turn_text() -> Column:
-    """How a turn appears in its prompt: the role, a colon, the text."""
-    return F.concat(F.col("role"), F.lit(": "), F.col("text"))
-
-
 def turn_pieces(turns: DataFrame) -> DataFrame:
-    """Lines of all turns reduced to label mark and size, without their text."""
-    piece = let(
-        text_lines(F.col("said")),
-        lambda lines: F.transform(
-            lines,
-            lambda line, i: F.struct(
-                i.cast("int").alias("turn_line"),
-                line_mark(lower_each(line)).alias("mark"),
-                text_size(line).alias("size"),
-            ),
-        ),
+    """Lines of all turns reduced to label mark and size, without their text.
+
+    A turn appears in its prompt as its role, a colon and the text.
+    """
+    said = turns.select("conv_id", "turn", F.expr("concat(role, ': ', text)").alias("said"))
+    piece = (
+        f"named_struct('turn_line', i, 'low', {lower_each('ln')}, 'size', {text_size('ln')})"
     )
-    said = turns.select("conv_id", "turn", turn_text().alias("said"))
-    return said.select("conv_id", "turn", F.inline(piece)).select(
-        "conv_id", "turn", "turn_line", "mark", "size.non_space", "size.words"
+    pieces = F.expr(f"transform({lines('said')}, (ln, i) -> {piece})")
+    return said.select("conv_id", "turn", F.inline(pieces)).select(
+        "conv_id",
+        "turn",
+        "turn_line",
+        F.expr(line_mark("low")).alias("mark"),
+        "size.non_space",
+        "size.words",
     )
 
 
@@ -130,7 +126,7 @@ def conversation_sections(turns: DataFrame) -> DataFrame:
         "type",
         "line_start",
         "line_end",
-        tokens_from(F.col("non_space"), F.col("words")).alias("tokens"),
+        fn.tokens_from("non_space", "words").alias("tokens"),
     )
 
 

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from promptledger.functions.linediff import lines_in_both, lines_only_in, split_number
-from promptledger.functions.text import token_count
+from promptledger import functions as fn
 from promptledger.settings import DEFAULT_MODEL
 from promptledger.sources.pricing import priced, with_rates
 
@@ -23,8 +22,8 @@ def _counted(pairs: DataFrame) -> DataFrame:
     return pairs.select(
         "pair_id",
         *(["model"] if "model" in pairs.columns else []),
-        token_count(F.col("original")).alias("original_tokens"),
-        token_count(F.col("optimized")).alias("optimized_tokens"),
+        fn.token_count("original").alias("original_tokens"),
+        fn.token_count("optimized").alias("optimized_tokens"),
     )
 
 
@@ -67,23 +66,19 @@ def compression_outcome(pairs: DataFrame) -> DataFrame:
     )
 
 
-def _line_rows(pairs: DataFrame, numbered: Column) -> DataFrame:
-    return pairs.select("pair_id", F.inline(F.transform(numbered, split_number)))
-
-
 def removed_lines(pairs: DataFrame) -> DataFrame:
     """Lines of the original that the optimized version lacks, with multiplicity."""
-    return _line_rows(pairs, lines_only_in(F.col("original"), F.col("optimized")))
+    return pairs.select("pair_id", F.inline(fn.lines_only_in("original", "optimized")))
 
 
 def added_lines(pairs: DataFrame) -> DataFrame:
     """Lines of the optimized version that the original lacks, with multiplicity."""
-    return _line_rows(pairs, lines_only_in(F.col("optimized"), F.col("original")))
+    return pairs.select("pair_id", F.inline(fn.lines_only_in("optimized", "original")))
 
 
 def common_lines(pairs: DataFrame) -> DataFrame:
     """Lines kept in both versions, with multiplicity."""
-    return _line_rows(pairs, lines_in_both(F.col("original"), F.col("optimized")))
+    return pairs.select("pair_id", F.inline(fn.lines_in_both("original", "optimized")))
 
 
 def compression_requests(payloads: DataFrame, model: str) -> DataFrame:
@@ -97,7 +92,7 @@ def compression_requests(payloads: DataFrame, model: str) -> DataFrame:
         ).alias("messages"),
         F.nullif(F.col("max_tokens"), F.lit(0)).alias("max_tokens"),
     )
-    counted = payloads.select("payload_id", "text", token_count(F.col("text")).alias("max_tokens"))
+    counted = payloads.select("payload_id", "text", fn.token_count("text").alias("max_tokens"))
     return counted.select(
         "payload_id", "max_tokens", prompt.alias("prompt"), F.to_json(body).alias("request")
     )

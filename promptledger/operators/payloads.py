@@ -9,23 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from promptledger.functions.blocks import duplicate_blocks, long_lines
-from promptledger.functions.secrets import HIGH_ENTROPY, PATTERN_TYPES, scrub
-from promptledger.functions.text import (
-    code_heavy,
-    line_count,
-    projected_output,
-    shortening_hint,
-    token_count,
-    word_count,
-)
+from promptledger import functions as fn
+from promptledger.expressions.warnings import CODES
 from promptledger.settings import DEFAULT_MODEL, DEFAULTS, Thresholds
 from promptledger.sources.pricing import PRICES, priced, rate_of, with_rates
 
-WARNING = "struct<severity:string,code:string,line:int,message:string,hint:string>"
-SECRET_CODES = tuple(f"SECRET_{t.upper()}" for t in (*PATTERN_TYPES, HIGH_ENTROPY))
-CODES = ("DUPLICATE_BLOCK", "LONG_LINE", "CONTEXT_FILL", *SECRET_CODES)
-
 
 def with_model(payloads: DataFrame, model: str = DEFAULT_MODEL) -> DataFrame:
     """Give payloads without a model column the default one."""
@@ -36,22 +24,19 @@ def with_model(payloads: DataFrame, model: str = DEFAULT_MODEL) -> DataFrame:
 
 def measures(payloads: DataFrame) -> DataFrame:
     """Token, word and line counts and the projected output of every payload."""
-    text = F.col("text")
     counted = payloads.withColumns(
         {
-            "token_count": token_count(text),
-            "word_count": word_count(text),
-            "line_count": line_count(text),
+            "token_count": fn.token_count("text"),
+            "word_count": fn.word_count("text"),
+            "line_count": fn.line_count("text"),
         }
     )
-    return counted.withColumn("estimated_output", projected_output(F.col("token_count"))).drop(
-        "text"
-    )
+    return counted.withColumn("estimated_output", fn.projected_output("token_count")).drop("text")
 
 
 def symbol_heavy(payloads: DataFrame, thresholds: Thresholds = DEFAULTS) -> DataFrame:
     return payloads.select(
-        "payload_id", code_heavy(F.col("text"), thresholds.symbol_share).alias("code_heavy")
+        "payload_id", (fn.symbol_share("text") > thresholds.symbol_share).alias("code_heavy")
     )
 
 
@@ -97,104 +82,19 @@ def model_costs(payloads: DataFrame) -> DataFrame:
 
 
 def long_line_rows(payloads: DataFrame, thresholds: Thresholds = DEFAULTS) -> DataFrame:
-    found = long_lines(F.col("text"), thresholds.long_line_bytes)
+    found = fn.long_lines("text", thresholds.long_line_bytes)
     return payloads.select("payload_id", F.inline(found))
 
 
 def overfull(payloads: DataFrame, thresholds: Thresholds = DEFAULTS) -> DataFrame:
     """Payloads with more tokens than the context threshold."""
-    counted = payloads.select("payload_id", token_count(F.col("text")).alias("token_count"))
+    counted = payloads.select("payload_id", fn.token_count("text").alias("token_count"))
     return counted.where(F.col("token_count") > thresholds.context_tokens)
 
 
-def _warning(
-    severity: str, code: Column, line: Column, message: Column, hint: str
-) -> Column:
-    return F.struct(
-        F.lit(severity).alias("severity"),
-        code.alias("code"),
-        line.cast("int").alias("line"),
-        message.alias("message"),
-        F.lit(hint).alias("hint"),
-    )
-
-
-def _duplicate_warning(d: Column) -> Column:
-    message = F.concat(
-        F.lit("Duplicate content block detected (first at line "),
-        d["first_line"].cast("string"),
-        F.lit(", repeated near line "),
-        d["repeat_line"].cast("string"),
-        F.lit(")"),
-    )
-    return _warning(
-        "warning",
-        F.lit("DUPLICATE_BLOCK"),
-        d["repeat_line"],
-        message,
-        "Remove repeated instructions to save tokens",
-    )
-
-
-def _long_line_warning(x: Column) -> Column:
-    message = F.concat(
-        F.lit("Line "),
-        x["line"].cast("string"),
-        F.lit(" is "),
-        x["bytes"].cast("string"),
-        F.lit(" chars — may be raw pasted data"),
-    )
-    return _warning(
-        "info",
-        F.lit("LONG_LINE"),
-        x["line"],
-        message,
-        "Consider summarising or removing raw data before sending",
-    )
-
-
-def _fill_warnings(tokens: Column, limit: int) -> Column:
-    message = F.concat(
-        F.lit("Context is "),
-        tokens.cast("string"),
-        F.lit(" tokens — above 60% fill threshold"),
-    )
-    warning = _warning(
-        "warning",
-        F.lit("CONTEXT_FILL"),
-        F.lit(None),
-        message,
-        "Compress the payload before sending",
-    )
-    return F.when(tokens > limit, F.array(warning)).otherwise(
-        F.array().cast(f"array<{WARNING}>")
-    )
-
-
-def _secret_warning(f: Column) -> Column:
-    message = F.concat(
-        F.lit("Potential "),
-        f["type"],
-        F.lit(" detected at line "),
-        f["line"].cast("string"),
-        F.lit(": "),
-        f["match"],
-    )
-    return _warning(
-        "error",
-        F.concat(F.lit("SECRET_"), F.upper(f["type"])),
-        f["line"],
-        message,
-        "Redact the payload before sending",
-    )
-
-
 def _warnings(thresholds: Thresholds) -> Column:
-    return F.concat(
-        F.transform(F.col("_repeats"), _duplicate_warning),
-        F.transform(F.col("_long"), _long_line_warning),
-        _fill_warnings(F.col("token_count"), thresholds.context_tokens),
-        F.transform(F.col("findings"), _secret_warning),
+    return fn.all_warnings(
+        "_repeats", "_long", "token_count", "findings", thresholds.context_tokens
     )
 
 
@@ -204,18 +104,17 @@ def _scanned(payloads: DataFrame, thresholds: Thresholds) -> DataFrame:
     The scrub result comes out of a generator, which keeps a later filter on it from
     being pushed down and evaluated a second time.
     """
-    text = F.col("text")
     others = [c for c in payloads.columns if c != "text"]
     return payloads.select(
         *others,
-        token_count(text).alias("token_count"),
-        word_count(text).alias("word_count"),
-        line_count(text).alias("line_count"),
-        duplicate_blocks(
-            text, thresholds.window_lines, thresholds.window_min_words
+        fn.token_count("text").alias("token_count"),
+        fn.word_count("text").alias("word_count"),
+        fn.line_count("text").alias("line_count"),
+        fn.duplicate_blocks(
+            "text", thresholds.window_lines, thresholds.window_min_words
         ).alias("_repeats"),
-        long_lines(text, thresholds.long_line_bytes).alias("_long"),
-        F.inline(F.array(scrub(text, None, thresholds.entropy))),
+        fn.long_lines("text", thresholds.long_line_bytes).alias("_long"),
+        F.inline(F.array(fn.scrub("text", None, thresholds.entropy))),
     )
 
 
@@ -233,11 +132,11 @@ def payload_report(
         "token_count",
         "word_count",
         "line_count",
-        projected_output(tokens).alias("estimated_output"),
+        fn.projected_output("token_count").alias("estimated_output"),
         _warnings(thresholds).alias("warnings"),
         "findings",
         "has_secrets",
-        shortening_hint(tokens, thresholds.hint_tokens).alias("compression_hint"),
+        fn.shortening_hint("token_count", thresholds.hint_tokens).alias("compression_hint"),
     )
     rated = with_rates(described, prices)
     input_cost = priced(tokens, F.col("input_per_1m"))
@@ -273,11 +172,11 @@ def warning_counts(payloads: DataFrame, thresholds: Thresholds = DEFAULTS) -> Da
     scanned = _scanned(payloads, thresholds)
     codes = scanned.select(
         "payload_id",
-        F.transform(_warnings(thresholds), lambda w: w["code"]).alias("codes"),
+        _warnings(thresholds)["code"].alias("codes"),
     )
 
     def count_of(code: str) -> Column:
-        return F.size(F.filter(F.col("codes"), lambda c: c == code)).cast("bigint")
+        return F.expr(f"CAST(size(filter(codes, c -> c = '{code}')) AS BIGINT)")
 
     return codes.select(
         "payload_id",

@@ -5,13 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from promptledger.functions.blocks import (
-    compact_text,
-    duplicate_blocks,
-    line_windows,
-    payload_blocks,
-)
-from promptledger.functions.text import token_count
+from promptledger import functions as fn
 from promptledger.settings import DEFAULTS, Thresholds
 
 
@@ -19,8 +13,8 @@ def duplicate_rows(
     payloads: DataFrame, thresholds: Thresholds = DEFAULTS, min_gap: int = 1
 ) -> DataFrame:
     """``(payload_id, first_line, repeat_line)`` for each repeat inside a payload."""
-    found = duplicate_blocks(
-        F.col("text"), thresholds.window_lines, thresholds.window_min_words, min_gap
+    found = fn.duplicate_blocks(
+        "text", thresholds.window_lines, thresholds.window_min_words, min_gap
     )
     return payloads.select("payload_id", F.inline(found))
 
@@ -30,10 +24,8 @@ def hashed_blocks(payloads: DataFrame, thresholds: Thresholds = DEFAULTS) -> Dat
 
     Text ends here; only 128-bit keys and positions travel further.
     """
-    windows = line_windows(
-        F.col("text"), thresholds.window_lines, thresholds.window_min_words
-    )
-    return payloads.select("payload_id", F.inline(payload_blocks(windows)))
+    found = fn.payload_blocks("text", thresholds.window_lines, thresholds.window_min_words)
+    return payloads.select("payload_id", F.inline(found))
 
 
 def shared_blocks(payloads: DataFrame, thresholds: Thresholds = DEFAULTS) -> DataFrame:
@@ -83,20 +75,15 @@ def shared_block_members(
 
 def compacted(payloads: DataFrame, thresholds: Thresholds = DEFAULTS) -> DataFrame:
     """Payloads without repeated blocks, with the tokens that saves."""
-    shorter = compact_text(
-        F.col("text"), thresholds.window_lines, thresholds.window_min_words
-    )
-    return payloads.select(
-        "payload_id",
-        F.inline(
-            F.array(
-                F.struct(F.col("text").alias("original"), shorter.alias("text"))
-            )
-        ),
-    ).select(
+    shorter = fn.compact_text("text", thresholds.window_lines, thresholds.window_min_words)
+    both = F.struct(F.col("text").alias("original"), shorter.alias("text"))
+    rewritten = payloads.select("payload_id", F.inline(F.array(both)))
+    sized = rewritten.select(
         "payload_id",
         "text",
-        token_count(F.col("original")).alias("original_tokens"),
-        token_count(F.col("text")).alias("compacted_tokens"),
-        (token_count(F.col("original")) - token_count(F.col("text"))).alias("tokens_saved"),
+        fn.token_count("original").alias("original_tokens"),
+        fn.token_count("text").alias("compacted_tokens"),
+    )
+    return sized.withColumn(
+        "tokens_saved", F.col("original_tokens") - F.col("compacted_tokens")
     )

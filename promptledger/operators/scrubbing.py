@@ -7,18 +7,13 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from promptledger.functions.secrets import (
-    HIGH_ENTROPY,
-    PATTERN_TYPES,
-    high_entropy_findings,
-    redact,
-    scrub,
-)
+from promptledger import functions as fn
+from promptledger.expressions.secrets import HIGH_ENTROPY, PATTERN_TYPES
 
 
 def redacted(payloads: DataFrame, types: Iterable[str] | None = None) -> DataFrame:
     """Payloads with secrets replaced by labels."""
-    return payloads.withColumn("text", redact(F.col("text"), types))
+    return payloads.withColumn("text", fn.redact("text", types))
 
 
 def scrubbed(
@@ -26,7 +21,7 @@ def scrubbed(
 ) -> DataFrame:
     """``(payload_id, clean, findings, has_secrets)``, scanned once per payload."""
     return payloads.select(
-        "payload_id", F.inline(F.array(scrub(F.col("text"), types, entropy)))
+        "payload_id", F.inline(F.array(fn.scrub("text", types, entropy)))
     )
 
 
@@ -35,7 +30,7 @@ def finding_rows(
 ) -> DataFrame:
     """One row per finding, numbered in the order of detection."""
     result = payloads.select(
-        "payload_id", scrub(F.col("text"), types, entropy)["findings"].alias("findings")
+        "payload_id", fn.scrub("text", types, entropy)["findings"].alias("findings")
     )
     numbered = result.select("payload_id", F.posexplode("findings").alias("seq", "f"))
     return numbered.select("payload_id", (F.col("seq") + 1).alias("seq"), "f.*")
@@ -43,8 +38,8 @@ def finding_rows(
 
 def high_entropy_rows(payloads: DataFrame, entropy: float = 4.5) -> DataFrame:
     """High-entropy words left after redaction."""
-    clean = redact(F.col("text"))
-    found = payloads.select("payload_id", high_entropy_findings(clean, entropy).alias("f"))
+    clean = payloads.select("payload_id", fn.redact("text").alias("clean"))
+    found = clean.select("payload_id", fn.high_entropy_findings("clean", entropy).alias("f"))
     return found.select("payload_id", F.inline("f"))
 
 
@@ -64,18 +59,13 @@ def findings_by_type(payloads: DataFrame, entropy: float = 4.5) -> DataFrame:
     Counts are taken inside each row first, so the aggregation shuffles one row per
     type and task and needs no distinct count.
     """
-    found = scrubbed(payloads, None, entropy).select(
-        F.transform("findings", lambda f: f["type"]).alias("types")
+    counts = ", ".join(
+        f"named_struct('type', '{kind}', 'n', size(filter(findings, f -> f.type = '{kind}')))"
+        for kind in (*PATTERN_TYPES, HIGH_ENTROPY)
     )
-    counts = F.array(*(_count_of(kind) for kind in (*PATTERN_TYPES, HIGH_ENTROPY)))
-    per_payload = found.select(F.inline(counts)).where("n > 0")
-    return per_payload.groupBy("type").agg(
-        F.sum("n").alias("findings"), F.count(F.lit(1)).alias("payloads")
-    )
-
-
-def _count_of(kind: str):
-    return F.struct(
-        F.lit(kind).alias("type"),
-        F.size(F.filter(F.col("types"), lambda t: t == kind)).cast("bigint").alias("n"),
+    found = scrubbed(payloads, None, entropy).select(F.inline(F.expr(f"array({counts})")))
+    return (
+        found.where("n > 0")
+        .groupBy("type")
+        .agg(F.sum("n").alias("findings"), F.count(F.lit(1)).alias("payloads"))
     )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from promptledger.functions.text import fixed
+from promptledger import functions as fn
 
 SESSION_SCHEMA = T.StructType(
     [
@@ -96,9 +96,9 @@ def csv_rows(report: DataFrame) -> DataFrame:
     stamp = F.date_format("started_at", "yyyy-MM-dd'T'HH:mm:ss'Z'")
     as_text = {
         "started_at": stamp,
-        "cost_usd": fixed(F.col("cost_usd"), 6),
-        "cache_hit_ratio": fixed(F.col("cache_hit_ratio"), 4),
-        "cache_savings_usd": fixed(F.col("cache_savings_usd"), 6),
+        "cost_usd": fn.fixed("cost_usd", 6),
+        "cache_hit_ratio": fn.fixed("cache_hit_ratio", 4),
+        "cache_savings_usd": fn.fixed("cache_savings_usd", 6),
     }
     return report.select(
         *(as_text.get(c, F.col(c).cast("string")).alias(c) for c in CSV_COLUMNS)

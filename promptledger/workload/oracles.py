@@ -6,7 +6,7 @@ and share nothing with the DataFrame code but the fixed values.
 
 from __future__ import annotations
 
-from promptledger.functions.sections import DYNAMIC_KEYWORDS, STABLE_KEYWORDS
+from promptledger.expressions.sections import DYNAMIC_KEYWORDS, STABLE_KEYWORDS
 from promptledger.operators.pairs import SUMMARY_PROMPT
 from promptledger.settings import DEFAULT_MODEL
 from promptledger.sources.pricing import PRICES

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promptledger.functions import secrets, text
+from promptledger import functions as fn
 from promptledger.operators import (
     budget,
     caching,
@@ -39,14 +39,13 @@ def query(run: Query) -> Query:
     return run
 
 
-def measure(name: str, column: Callable[[Column], Column]) -> None:
-    """Register a column function of the text, applied to every document."""
+def measured(spark: SparkSession, sf_dir: str, name: str, column: Column) -> DataFrame:
+    """A column function of the text, applied to every document."""
+    return views.documents(spark, sf_dir).select("payload_id", column.alias(name))
 
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found = views.documents(spark, sf_dir)
-        return found.select("payload_id", column(F.col("text")).alias(name))
 
-    QUERIES[name] = run
+def counted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return measured(spark, sf_dir, "tokens", fn.token_count("text"))
 
 
 def day(column: str = "date") -> Column:
@@ -133,12 +132,38 @@ def audit_hash(spark, sf_dir):
 
 # --- measures and filters ----------------------------------------------------------
 
-measure("token_count", text.token_count)
-measure("word_count", text.word_count)
-measure("line_count", text.line_count)
-measure("est_output", lambda t: text.projected_output(text.token_count(t)))
-measure("compression_hint", lambda t: text.shortening_hint(text.token_count(t)))
-measure("format_tokens", lambda t: text.format_tokens(text.token_count(t)))
+
+@query
+def token_count(spark, sf_dir):
+    return measured(spark, sf_dir, "token_count", fn.token_count("text"))
+
+
+@query
+def word_count(spark, sf_dir):
+    return measured(spark, sf_dir, "word_count", fn.word_count("text"))
+
+
+@query
+def line_count(spark, sf_dir):
+    return measured(spark, sf_dir, "line_count", fn.line_count("text"))
+
+
+@query
+def est_output(spark, sf_dir):
+    output = fn.projected_output("tokens").alias("est_output")
+    return counted(spark, sf_dir).select("payload_id", output)
+
+
+@query
+def compression_hint(spark, sf_dir):
+    hint = fn.shortening_hint("tokens").alias("compression_hint")
+    return counted(spark, sf_dir).select("payload_id", hint)
+
+
+@query
+def format_tokens(spark, sf_dir):
+    shown = fn.format_tokens("tokens").alias("format_tokens")
+    return counted(spark, sf_dir).select("payload_id", shown)
 
 
 @query
@@ -165,8 +190,8 @@ def format_cost(spark, sf_dir):
     return costs.select(
         "payload_id",
         "model",
-        text.format_cost(F.col("input_cost")).alias("input_cost"),
-        text.format_cost(F.col("output_cost") * 1000).alias("output_cost_per_thousand"),
+        fn.format_cost("input_cost").alias("input_cost"),
+        fn.format_cost("(output_cost * 1000)").alias("output_cost_per_thousand"),
     )
 
 
@@ -289,7 +314,7 @@ def finding_display(spark, sf_dir):
 @query
 def shannon_entropy(spark, sf_dir):
     return views.pages(spark, sf_dir).select(
-        "payload_id", secrets.shannon_entropy(F.col("text")).alias("entropy")
+        "payload_id", fn.shannon_entropy("text").alias("entropy")
     )
 
 
