@@ -59,6 +59,7 @@ class Pattern:
 # Word edges are spelled out as ASCII look-arounds: Java's own \b counts accented
 # letters as word characters. \d and \s are ASCII here, and \s has no U+000B. An edge
 # ahead of a digit needs no word character before it; ahead of + or ( it needs one.
+# A look-ahead for the first character rejects most positions before any alternative.
 PATTERNS = (
     Pattern(
         "ssh_key",
@@ -72,12 +73,12 @@ PATTERNS = (
     ),
     Pattern(
         "aws_credential",
-        rf"(?:{'|'.join(map(_any_case, AWS_PREFIXES))}){_ALNUM}{{16}}",
+        rf"(?=[Aa])(?:{'|'.join(map(_any_case, AWS_PREFIXES))}){_ALNUM}{{16}}",
         "[REDACTED:AWS_KEY]",
     ),
     Pattern(
         "api_key",
-        rf"(?:{_any_case('sk-')}{_ALNUM}{{20,}}"
+        rf"(?=[AaSs\x{{17F}}])(?:{_any_case('sk-')}{_ALNUM}{{20,}}"
         rf"|{_any_case('ant')}[A-Za-z0-9_\x{{17F}}\x{{212A}}-]{{30,}}"
         rf"|{_any_case('api')}[_-]?{_any_case('key')}"
         r"[\t\n\f\r ]*[:=][\t\n\f\r ]*[^\t\n\f\r ]{16,})",
@@ -101,7 +102,7 @@ PATTERNS = (
     ),
     Pattern(
         "phone",
-        rf"(?:(?=[0-9])(?<!{_WORD})|(?=[+(])(?<={_WORD}))(?:\+?1[-.\t\n\f\r ]?)?"
+        rf"(?=[0-9+(])(?:(?=[0-9])(?<!{_WORD})|(?=[+(])(?<={_WORD}))(?:\+?1[-.\t\n\f\r ]?)?"
         r"\(?[0-9]{3}\)?[-.\t\n\f\r ]?[0-9]{3}"
         rf"[-.\t\n\f\r ]?[0-9]{{4}}(?!{_WORD})",
         "[REDACTED:PHONE]",
