@@ -210,7 +210,7 @@ def high_entropy_findings(clean: str, threshold: float = 4.5) -> str:
     cannot qualify and are never cut out of the text.
     """
     threshold = threshold if threshold > 0 else 4.5
-    fewest = max(5, math.ceil(2**threshold - 1e-6))
+    fewest = max(5, math.ceil(2 ** min(threshold, 16) - 1e-6))
     long_word = raw(f"{NON_SPACE}{{{fewest},}}")
     suspicious = (
         "octet_length(w) >= 20 AND NOT startswith(w, '[REDACTED') "

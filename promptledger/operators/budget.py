@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from promptledger.operators.ledger import tokens_total
 from promptledger.plans.ordered import running_sums
 from promptledger.settings import DEFAULTS, Thresholds
-from promptledger.sources.pricing import exact
+from promptledger.sources.pricing import USD, exact
 
 DAY_SECONDS = 24 * 60 * 60
 PROJECTION_HOURS = 8
@@ -75,7 +75,7 @@ def first_breach(sessions: DataFrame, thresholds: Thresholds = DEFAULTS) -> Data
     )
     spending = _spending(sessions).withColumn("minute", F.date_trunc("minute", "ended_at"))
     minutes = spending.groupBy("date", "minute").agg(
-        F.sum(exact(F.col("cost_usd"))).alias("spent")
+        F.sum(exact(F.col("cost_usd"))).cast(USD).alias("spent")
     )
     so_far = (
         Window.partitionBy("date")
@@ -88,7 +88,7 @@ def first_breach(sessions: DataFrame, thresholds: Thresholds = DEFAULTS) -> Data
         return used_percent(amount.cast("double"), limit) >= F.col("percent")
 
     crossing = (
-        minutes.withColumn("upto", F.sum("spent").over(so_far))
+        minutes.withColumn("upto", F.sum("spent").over(so_far).cast(USD))
         .withColumn("before", F.col("upto") - F.col("spent"))
         .select("date", "minute", "before", "upto", F.inline(levels))
         .where(reached(F.col("upto")) & ~reached(F.col("before")))
@@ -120,7 +120,7 @@ def tick_totals(sessions: DataFrame, width_seconds: int) -> DataFrame:
     second = F.unix_timestamp("ended_at") - F.unix_timestamp(F.date_trunc("day", "ended_at"))
     tick = F.floor(second / F.lit(width_seconds)).cast("int")
     return ended.groupBy(date.alias("date"), tick.alias("tick")).agg(
-        F.sum(exact(F.col("cost_usd"))).alias("spent"), F.sum(tokens_total()).alias("tokens")
+        F.sum(exact(F.col("cost_usd"))).cast(USD).alias("spent"), F.sum(tokens_total()).alias("tokens")
     )
 
 
@@ -140,11 +140,11 @@ def ticks_from(totals: DataFrame, width_seconds: int) -> DataFrame:
     upto = (
         Window.partitionBy("date").orderBy("tick").rowsBetween(Window.unboundedPreceding, 0)
     )
-    zero = F.lit(0).cast("decimal(20,10)")
+    zero = F.lit(0).cast(USD)
     return grid.join(totals, ["date", "tick"], "left").select(
         "date",
         "tick",
-        F.sum(F.coalesce("spent", zero)).over(upto).alias("spend"),
+        F.sum(F.coalesce("spent", zero)).over(upto).cast(USD).alias("spend"),
         F.sum(F.coalesce("tokens", F.lit(0))).over(upto).alias("tokens_today"),
     )
 

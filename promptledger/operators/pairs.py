@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from promptledger import functions as fn
 from promptledger.settings import DEFAULT_MODEL
-from promptledger.sources.pricing import priced, with_rates
+from promptledger.sources.pricing import priced, with_rates, with_rates_of
 
 # Fixed value: the instruction a summarising model is given ahead of the content.
 SUMMARY_PROMPT = (
@@ -32,9 +32,10 @@ def pair_delta(
 ) -> DataFrame:
     """Tokens and input cost saved by the optimized version; negative when it grew."""
     counted = _counted(pairs)
-    if "model" not in counted.columns:
-        counted = counted.withColumn("model", F.lit(model))
-    rated = with_rates(counted, prices)
+    if "model" in counted.columns:
+        rated = with_rates(counted, prices)
+    else:
+        rated = with_rates_of(counted, model, prices)
     rate = F.col("input_per_1m")
     before, after = F.col("original_tokens"), F.col("optimized_tokens")
     delta = before - after

@@ -12,14 +12,7 @@ from pyspark.sql import functions as F
 from promptledger import functions as fn
 from promptledger.expressions.warnings import CODES
 from promptledger.settings import DEFAULT_MODEL, DEFAULTS, Thresholds
-from promptledger.sources.pricing import PRICES, priced, rate_of, with_rates
-
-
-def with_model(payloads: DataFrame, model: str = DEFAULT_MODEL) -> DataFrame:
-    """Give payloads without a model column the default one."""
-    if "model" in payloads.columns:
-        return payloads
-    return payloads.withColumn("model", F.lit(model))
+from promptledger.sources.pricing import PRICES, priced, rate_of, with_rates, with_rates_of
 
 
 def measures(payloads: DataFrame) -> DataFrame:
@@ -124,11 +117,12 @@ def payload_report(
     prices: DataFrame | None = None,
 ) -> DataFrame:
     """One row per payload: counts, costs, warnings, findings and a hint."""
-    scanned = _scanned(with_model(payloads), thresholds)
+    scanned = _scanned(payloads, thresholds)
     tokens = F.col("token_count")
+    own_model = "model" in payloads.columns
     described = scanned.select(
         "payload_id",
-        "model",
+        *(["model"] if own_model else []),
         "token_count",
         "word_count",
         "line_count",
@@ -138,7 +132,10 @@ def payload_report(
         "has_secrets",
         fn.shortening_hint("token_count", thresholds.hint_tokens).alias("compression_hint"),
     )
-    rated = with_rates(described, prices)
+    if own_model:
+        rated = with_rates(described, prices)
+    else:
+        rated = with_rates_of(described, DEFAULT_MODEL, prices)
     input_cost = priced(tokens, F.col("input_per_1m"))
     output_cost = priced(F.col("estimated_output"), F.col("output_per_1m"))
     return rated.select(

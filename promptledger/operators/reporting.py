@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from promptledger.operators.ledger import tokens_total
-from promptledger.sources.pricing import exact, priced, total, with_rates
+from promptledger.sources.pricing import USD, exact, priced, total, with_rates
 
 
 def cache_hit_ratio() -> Column:
@@ -74,8 +74,8 @@ def savings_vs_baseline(report: DataFrame) -> DataFrame:
     Sessions are reduced to days first; the ordered sum then runs over one row a day.
     """
     days = with_end_day(report).groupBy("date").agg(
-        F.sum(exact(F.col("cost_usd"))).alias("actual"),
-        F.sum(exact(F.col("cache_savings_usd"))).alias("saved"),
+        F.sum(exact(F.col("cost_usd"))).cast(USD).alias("actual"),
+        F.sum(exact(F.col("cache_savings_usd"))).cast(USD).alias("saved"),
     )
     so_far = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     return days.select(

@@ -10,11 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from promptledger.plans.storage import cut_lineage
+from promptledger.sources.pricing import USD, exact
 
 CHUNK = "_chunk"
 
@@ -46,39 +47,43 @@ def within_chunk(by: Sequence[str], order: Sequence[str]):
 
 
 def running_sums(
-    df: DataFrame,
-    by: Sequence[str],
-    order: Sequence[str],
-    sums: dict[str, str],
-    decimal: str = "decimal(20,10)",
+    df: DataFrame, by: Sequence[str], order: Sequence[str], sums: dict[str, str]
 ) -> DataFrame:
     """Add inclusive running sums: ``sums`` maps a new column to the one it adds up.
 
     Doubles are added as decimals, so the result does not depend on chunk bounds.
     """
     kinds = dict(df.dtypes)
-    typed = {
-        out: F.col(src).cast(decimal) if kinds[src] == "double" else F.col(src)
-        for out, src in sums.items()
-    }
+
+    def typed(column: str) -> Column:
+        return exact(F.col(column)) if kinds[column] == "double" else F.col(column)
+
+    def summed(column: Column, source: str) -> Column:
+        return column.cast(USD) if kinds[source] == "double" else column
+
     chunked = in_chunks(df, by, order)
     summaries = chunked.groupBy(*by, CHUNK).agg(
-        *(F.sum(col).alias(f"_sum_{out}") for out, col in typed.items())
+        *(summed(F.sum(typed(src)), src).alias(f"_sum_{out}") for out, src in sums.items())
     )
     earlier = before_chunk(by)
     carried = summaries.select(
         *by,
         CHUNK,
         *(
-            F.coalesce(F.sum(f"_sum_{out}").over(earlier), F.lit(0)).alias(f"_base_{out}")
-            for out in typed
+            summed(F.coalesce(F.sum(f"_sum_{out}").over(earlier), F.lit(0)), src).alias(
+                f"_base_{out}"
+            )
+            for out, src in sums.items()
         ),
     )
     upto = within_chunk(by, order).rowsBetween(Window.unboundedPreceding, 0)
     result = continue_from(chunked, carried, by).withColumns(
-        {out: F.col(f"_base_{out}") + F.sum(col).over(upto) for out, col in typed.items()}
+        {
+            out: F.col(f"_base_{out}") + summed(F.sum(typed(src)).over(upto), src)
+            for out, src in sums.items()
+        }
     )
-    return result.drop(CHUNK, *(f"_base_{out}" for out in typed))
+    return result.drop(CHUNK, *(f"_base_{out}" for out in sums))
 
 
 def continue_from(rows: DataFrame, carried: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -18,6 +18,9 @@ PRICES = {
     "gemini-2.5-flash": (0.30, 2.50, 0.0),
     "llama.cpp": (0.0, 0.0, 0.0),
 }
+# Sums of USD keep this type: wider ones lose their last digit when added to another.
+USD = "decimal(28,10)"
+NO_RATES = (0.0, 0.0, 0.0)
 MILLION = 1_000_000
 
 
@@ -44,6 +47,15 @@ def with_rates(df: DataFrame, prices: DataFrame | None = None) -> DataFrame:
     return joined.withColumns({r: F.coalesce(F.col(r), F.lit(0.0)) for r in rates})
 
 
+def with_rates_of(df: DataFrame, model: str, prices: DataFrame | None = None) -> DataFrame:
+    """Add one model's rates to every row, as constants for the built-in list."""
+    if prices is not None:
+        return with_rates(df.withColumn("model", F.lit(model)), prices)
+    rates = zip(("input_per_1m", "output_per_1m", "cached_per_1m"), PRICES.get(model, NO_RATES))
+    constants = {name: F.lit(rate) for name, rate in rates}
+    return df.withColumns({"model": F.lit(model), **constants})
+
+
 def priced(tokens: Column, rate: Column) -> Column:
     """USD for a token count at a rate per million tokens."""
     return tokens * rate / F.lit(MILLION)

@@ -9,7 +9,7 @@ from promptledger.operators.budget import alerts_from, burn_from, ticks_from
 from promptledger.operators.ledger import tokens_total
 from promptledger.plans.storage import fresh_path
 from promptledger.settings import DEFAULTS, Thresholds
-from promptledger.sources.pricing import exact
+from promptledger.sources.pricing import USD, exact
 from promptledger.streaming.sinks import batch_writer, run_available
 
 
@@ -20,7 +20,7 @@ def windowed_spend(sessions: DataFrame, width: str, lateness: str) -> DataFrame:
         ended.withWatermark("ended_at", lateness)
         .groupBy(F.window("ended_at", width).alias("w"))
         .agg(
-            F.sum(exact(F.col("cost_usd"))).alias("spent"),
+            F.sum(exact(F.col("cost_usd"))).cast(USD).alias("spent"),
             F.sum(tokens_total()).alias("tokens"),
         )
         .select(F.col("w.start").alias("start"), "spent", "tokens")
