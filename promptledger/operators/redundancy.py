@@ -32,19 +32,21 @@ def shared_blocks(payloads: DataFrame, thresholds: Thresholds = DEFAULTS) -> Dat
     """Windows that occur more than once in the corpus, one row per window.
 
     Each payload adds one row per window, so payloads are counted without a distinct,
-    and boilerplate found everywhere is combined before the shuffle.
+    and boilerplate found everywhere is combined before the shuffle. The aggregates hold
+    plain numbers, which keeps them in a hash table; a struct would force a sort.
     """
     blocks = hashed_blocks(payloads, thresholds)
     grouped = blocks.groupBy("key", "key2").agg(
-        F.min(F.struct("payload_id", "first_line")).alias("first"),
+        F.min("payload_id").alias("first_payload"),
+        F.min_by("first_line", "payload_id").alias("first_line"),
         F.count(F.lit(1)).alias("payloads"),
         F.sum("copies").alias("occurrences"),
     )
     return grouped.where("occurrences > 1").select(
         "key",
         "key2",
-        F.col("first.payload_id").alias("first_payload"),
-        F.col("first.first_line").alias("first_line"),
+        "first_payload",
+        "first_line",
         "payloads",
         "occurrences",
     )

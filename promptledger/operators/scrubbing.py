@@ -28,19 +28,20 @@ def scrubbed(
 def finding_rows(
     payloads: DataFrame, types: Iterable[str] | None = None, entropy: float = 4.5
 ) -> DataFrame:
-    """One row per finding, numbered in the order of detection."""
-    result = payloads.select(
-        "payload_id", fn.scrub("text", types, entropy)["findings"].alias("findings")
-    )
-    numbered = result.select("payload_id", F.posexplode("findings").alias("seq", "f"))
+    """One row per finding, numbered in the order of detection.
+
+    The generator takes the expression itself: exploding a column would add a filter on
+    that column, and the scan would run again for it.
+    """
+    found = fn.scrub("text", types, entropy)["findings"]
+    numbered = payloads.select("payload_id", F.posexplode(found).alias("seq", "f"))
     return numbered.select("payload_id", (F.col("seq") + 1).alias("seq"), "f.*")
 
 
 def high_entropy_rows(payloads: DataFrame, entropy: float = 4.5) -> DataFrame:
     """High-entropy words left after redaction."""
     clean = payloads.select("payload_id", fn.redact("text").alias("clean"))
-    found = clean.select("payload_id", fn.high_entropy_findings("clean", entropy).alias("f"))
-    return found.select("payload_id", F.inline("f"))
+    return clean.select("payload_id", F.inline(fn.high_entropy_findings("clean", entropy)))
 
 
 def passed(payloads: DataFrame, entropy: float = 4.5) -> DataFrame:

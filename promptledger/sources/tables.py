@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,6 +26,7 @@ SESSION_SCHEMA = T.StructType(
         T.StructField("notes", T.StringType()),
     ]
 )
+END_DATE = "end_date"
 JSON_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 CSV_COLUMNS = (
     "id",
@@ -77,6 +80,19 @@ def load_sessions(spark: SparkSession, path: str, fmt: str = "parquet") -> DataF
     return spark.read.schema(SESSION_SCHEMA).format(fmt).load(path)
 
 
+def write_sessions(sessions: DataFrame, path: str) -> None:
+    """Append to a stored ledger, in folders by the day sessions ended."""
+    dated = sessions.withColumn(END_DATE, F.to_date("ended_at"))
+    dated.write.mode("append").partitionBy(END_DATE).parquet(path)
+
+
+def sessions_ended_on(spark: SparkSession, path: str, days: Sequence[str]) -> DataFrame:
+    """Sessions of a stored ledger that ended on the given days; other folders stay unread."""
+    stored = spark.read.schema(T.StructType([*SESSION_SCHEMA, T.StructField(END_DATE, T.DateType())])).parquet(path)
+    wanted = F.col(END_DATE).isin(*(F.lit(d).cast("date") for d in days))
+    return stored.where(wanted).drop(END_DATE)
+
+
 def write_clean(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Write ``(payload_id, text)`` of cleaned payloads."""
     df.select("payload_id", "text").write.mode("overwrite").format(fmt).save(path)

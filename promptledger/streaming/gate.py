@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from promptledger.operators.scrubbing import scrubbed
+from promptledger.plans.spread import spread
 from promptledger.plans.storage import fresh_path
 from promptledger.streaming.sinks import batch_writer, run_available
 
@@ -18,12 +19,17 @@ def stream_scrub(payloads: DataFrame, entropy: float = 4.5) -> DataFrame:
     """
     spark = payloads.sparkSession
     path = fresh_path(spark, "stream-scrub")
-    gated = scrubbed(payloads, None, entropy).select(
-        "payload_id",
-        F.col("clean").alias("text"),
-        F.size("findings").cast("bigint").alias("findings"),
-        F.col("has_secrets").alias("blocked"),
-    )
-    run_available(gated, "scrub", "append", batch_writer(path, "blocked"))
+    store = batch_writer(path, "blocked")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        gated = scrubbed(spread(batch, "payload_id"), None, entropy).select(
+            "payload_id",
+            F.col("clean").alias("text"),
+            F.size("findings").cast("bigint").alias("findings"),
+            F.col("has_secrets").alias("blocked"),
+        )
+        store(gated, batch_id)
+
+    run_available(payloads, "scrub", "append", write)
     stored = spark.read.parquet(path).drop("batch_id")
     return stored.withColumn("blocked", F.col("blocked").cast("boolean"))

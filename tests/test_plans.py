@@ -74,10 +74,37 @@ def test_id_lookup_is_pushed_down(spark):
     assert "EqualTo(id,42)" in plan
 
 
+def test_ledger_days_prune_partitions(spark):
+    path = storage.fresh_path(spark, "dated-ledger")
+    tables.write_sessions(views.ledger(spark, SF), path)
+    found = tables.sessions_ended_on(spark, path, ["2024-01-05", "2024-01-06"])
+    assert "PartitionFilters: [end_date" in plan_of(found)
+    assert {str(r[0]) for r in found.select(F.to_date("ended_at")).distinct().collect()} == {
+        "2024-01-05",
+        "2024-01-06",
+    }
+
+
+ONCE = {
+    "findings": scrubbing.finding_rows,
+    "passed": scrubbing.passed,
+    "by_type": scrubbing.findings_by_type,
+    "warnings": payloads.warning_rows,
+    "warning_counts": payloads.warning_counts,
+    "report": payloads.payload_report,
+}
+
+
+@pytest.mark.parametrize("name", ONCE)
+def test_each_pattern_runs_in_one_place(documents, name):
+    # A pattern tests, replaces, extracts and splits; the token pattern shows up twice in each.
+    assert plan_of(ONCE[name](documents)).count("eyJ[A-Za-z0-9_-]") == 8
+
+
 def test_shared_blocks_shuffle_hashes_only(documents):
     df = redundancy.shared_blocks(documents)
     plan = plan_of(df)
-    assert plan.count("Exchange hashpartitioning") == 1
+    assert plan.count("Exchange hashpartitioning") == 1 and "SortAggregate" not in plan
     exchange = plan[plan.index("Exchange hashpartitioning") :].splitlines()[0]
     assert "text" not in exchange
 
