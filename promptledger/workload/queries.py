@@ -197,11 +197,9 @@ def format_cost(spark, sf_dir):
 
 def flat_report(report: DataFrame) -> DataFrame:
     """The payload report with its lists as counts and one text."""
-    lines = F.transform(
-        "warnings",
-        lambda w: F.concat_ws(
-            "|", w["severity"], w["code"], w["line"].cast("string"), w["message"], w["hint"]
-        ),
+    lines = F.expr(
+        "transform(warnings, w -> concat_ws('|', w.severity, w.code, CAST(w.line AS STRING), "
+        "w.message, w.hint))"
     )
     return report.select(
         "payload_id",

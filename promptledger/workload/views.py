@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from promptledger.expressions.base import raw
 from promptledger.operators.ledger import with_cost
 from promptledger.plans.spread import spread
 from promptledger.sources.tables import SESSION_SCHEMA, load_payloads
@@ -87,15 +88,15 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def planted_text(payloads: DataFrame) -> DataFrame:
     """Whole texts with known secrets, repeats and sections added around them."""
-    case = (F.col("payload_id") % 12).cast("int")
-    before, after = F.lit(""), F.lit("")
-    for number, (head, tail) in PLANTS.items():
-        before = F.when(case == number, F.lit(head)).otherwise(before)
-        after = F.when(case == number, F.lit(tail)).otherwise(after)
-    filler = F.when(F.col("payload_id") % 997 == 11, F.repeat(F.lit(FILLER), F.lit(FILLER_COPIES)))
-    return payloads.withColumn(
-        "text", F.concat(F.coalesce(filler, F.lit("")), before, F.col("text"), after)
+
+    def plant(part: int) -> str:
+        cases = " ".join(f"WHEN {n} THEN {raw(p[part])}" for n, p in PLANTS.items())
+        return f"CASE CAST(payload_id % 12 AS INT) {cases} END"
+
+    filler = (
+        f"CASE WHEN payload_id % 997 = 11 THEN repeat('{FILLER}', {FILLER_COPIES}) ELSE '' END"
     )
+    return payloads.withColumn("text", F.expr(f"concat({filler}, {plant(0)}, text, {plant(1)})"))
 
 
 def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,18 +110,13 @@ def planted_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as an original and an optimized version, by doc_id modulo 4."""
-    text, block = F.col("text"), F.lit(BLOCK)
-    case = F.col("payload_id") % 4
-    return documents(spark, sf_dir).select(
-        F.col("payload_id").alias("pair_id"),
-        F.when(case == 0, F.concat(block, F.lit("\n"), block, text))
-        .when(case == 3, "")
-        .otherwise(text)
-        .alias("original"),
-        F.when(case == 0, F.concat(block, text))
-        .when(case == 1, F.concat(text, F.lit("\nadd this line")))
-        .otherwise(text)
-        .alias("optimized"),
+    block = raw(BLOCK)
+    return documents(spark, sf_dir).selectExpr(
+        "payload_id AS pair_id",
+        f"CASE CAST(payload_id % 4 AS INT) WHEN 0 THEN concat({block}, '\\n', {block}, text) "
+        "WHEN 3 THEN '' ELSE text END AS original",
+        f"CASE CAST(payload_id % 4 AS INT) WHEN 0 THEN concat({block}, text) "
+        "WHEN 1 THEN concat(text, '\\nadd this line') ELSE text END AS optimized",
     )
 
 
@@ -130,28 +126,29 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ledger_from(events: DataFrame) -> DataFrame:
     """Events as ledger sessions; every seventeenth one never ended."""
-    number = F.col("event_id")
-    open_ended = number % 17 == 0
-    started = F.col("ts").cast("timestamp")
-    minutes = (number % 90).cast("int")
-    tokens = F.floor(F.col("value") * 100).cast("bigint")
-    cached = F.get_json_object("props", "$.k").cast("bigint") * 100
-    zero = F.lit(0).cast("bigint")
-    model = F.element_at(F.array(*map(F.lit, MODELS)), (F.col("user_id") % 11).cast("int") + 1)
-    sessions = events.select(
-        (number + 1).alias("id"),
-        F.sha2((number + 1).cast("string"), 256).alias("session_uuid"),
-        started.alias("started_at"),
-        F.when(
-            ~open_ended, started + F.make_dt_interval(F.lit(0), F.lit(0), minutes, F.lit(0))
-        ).alias("ended_at"),
-        model.alias("model"),
-        F.col("event_type").alias("tag"),
-        F.when(open_ended, zero).otherwise(tokens).alias("tokens_in"),
-        F.when(open_ended, zero).otherwise(F.ceil(tokens * 0.25)).alias("tokens_out"),
-        F.when(open_ended | (number % 3 != 0), zero).otherwise(cached).alias("tokens_cached"),
-        zero.alias("warning_count"),
-        F.lit("").alias("notes"),
+    models = ", ".join(f"'{m}'" for m in MODELS)
+    numbers = events.selectExpr(
+        "event_id",
+        "event_id % 17 = 0 AS open_ended",
+        "CAST(ts AS TIMESTAMP) AS started_at",
+        f"element_at(array({models}), CAST(user_id % 11 AS INT) + 1) AS model",
+        "event_type AS tag",
+        "CAST(floor(value * 100) AS BIGINT) AS tokens",
+        "CAST(get_json_object(props, '$.k') AS BIGINT) * 100 AS cached",
+    )
+    sessions = numbers.selectExpr(
+        "event_id + 1 AS id",
+        "sha2(CAST(event_id + 1 AS STRING), 256) AS session_uuid",
+        "started_at",
+        "CASE WHEN NOT open_ended THEN started_at "
+        "+ make_dt_interval(0, 0, CAST(event_id % 90 AS INT), 0) END AS ended_at",
+        "model",
+        "tag",
+        "CASE WHEN open_ended THEN 0L ELSE tokens END AS tokens_in",
+        "CASE WHEN open_ended THEN 0L ELSE CAST(ceil(tokens * 0.25D) AS BIGINT) END AS tokens_out",
+        "CASE WHEN open_ended OR event_id % 3 <> 0 THEN 0L ELSE cached END AS tokens_cached",
+        "0L AS warning_count",
+        "'' AS notes",
     )
     return with_cost(sessions).select(*SESSION_SCHEMA.fieldNames())
 
@@ -171,38 +168,28 @@ def ledger_events(sessions: DataFrame) -> DataFrame:
     correct fold overrides.
     """
 
-    def event(kind: str, number: int, at, tokens_in, warnings):
-        ends = kind == "end"
-        return F.struct(
-            F.lit(kind).alias("kind"),
-            F.lit(number).alias("event_no"),
-            at.alias("at"),
-            (tokens_in if ends else F.lit(None).cast("bigint")).alias("tokens_in"),
-            (F.col("tokens_out") if ends else F.lit(None).cast("bigint")).alias("tokens_out"),
-            (F.col("tokens_cached") if ends else F.lit(None).cast("bigint")).alias(
-                "tokens_cached"
-            ),
-            (F.col("cost_usd") if ends else F.lit(None).cast("double")).alias("cost_usd"),
-            warnings.cast("bigint").alias("warning_count"),
-        )
+    none = "CAST(NULL AS BIGINT)"
 
-    ended = F.col("ended_at").isNotNull()
-    none = F.lit(None)
-    events = F.array_compact(
-        F.array(
-            event("start", 0, F.col("started_at"), none, none),
-            event("analysis", 1, F.col("started_at"), none, F.col("id") % 5),
-            F.when(
-                ended & (F.col("id") % 13 == 0),
-                event("end", 2, F.col("started_at"), F.col("tokens_in") + 7, none),
-            ),
-            F.when(ended, event("end", 3, F.col("ended_at"), F.col("tokens_in"), none)),
+    def event(kind: str, number: int, at: str, tokens_in: str = none, warnings: str = none) -> str:
+        spent = {"tokens_out": "tokens_out", "tokens_cached": "tokens_cached", "cost_usd": "cost_usd"}
+        if kind != "end":
+            spent = {**dict.fromkeys(spent, none), "cost_usd": "CAST(NULL AS DOUBLE)"}
+        rest = ", ".join(f"'{name}', {value}" for name, value in spent.items())
+        return (
+            f"named_struct('kind', '{kind}', 'event_no', {number}, 'at', {at}, "
+            f"'tokens_in', {tokens_in}, {rest}, 'warning_count', {warnings})"
         )
+
+    start = event("start", 0, "started_at")
+    analysis = event("analysis", 1, "started_at", warnings="id % 5")
+    early = event("end", 2, "started_at", "tokens_in + 7")
+    end = event("end", 3, "ended_at", "tokens_in")
+    events = (
+        f"array_compact(array({start}, {analysis}, "
+        f"CASE WHEN ended_at IS NOT NULL AND id % 13 = 0 THEN {early} END, "
+        f"CASE WHEN ended_at IS NOT NULL THEN {end} END))"
     )
-    identity = sessions.select(
-        "id", "session_uuid", "model", "tag", F.explode(events).alias("e")
-    )
-    return identity.select("id", "session_uuid", "model", "tag", "e.*")
+    return sessions.selectExpr("id", "session_uuid", "model", "tag", f"inline({events})")
 
 
 def days_of(spark: SparkSession, sf_dir: str) -> DataFrame:
