@@ -23,10 +23,7 @@ def section_rows(payloads: DataFrame) -> DataFrame:
 
 
 def cache_analysis(payloads: DataFrame) -> DataFrame:
-    """Section totals, savings, reorder flag and recommendations per payload.
-
-    A text of the table keeps its row throughout: no shuffle, no join.
-    """
+    """Sections, totals, savings, reorder flag and recommendations, one row per payload."""
     listed = F.struct(fn.section_list("text").alias("sections"))
     found = payloads.select("payload_id", F.inline(F.array(listed)))
     totals = found.select(
@@ -35,6 +32,7 @@ def cache_analysis(payloads: DataFrame) -> DataFrame:
         fn.tokens_of("sections", STABLE).alias("stable_tokens"),
         fn.tokens_of("sections", DYNAMIC).alias("dynamic_tokens"),
         fn.reorder_needed("sections").alias("reorder_recommended"),
+        "sections",
     )
     return with_savings(totals)
 

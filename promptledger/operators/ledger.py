@@ -68,6 +68,15 @@ def newest_first(sessions: DataFrame) -> DataFrame:
     return sessions.orderBy(F.desc("id"))
 
 
+def select_sessions(sessions: DataFrame, which: str | int = "last") -> DataFrame:
+    """The sessions to report: ``"all"`` newest first, ``"last"``, or one id."""
+    if which == "all":
+        return newest_first(sessions)
+    if which in ("last", ""):
+        return last_session(sessions)
+    return session_by_id(sessions, int(which))
+
+
 def daily_spend(sessions: DataFrame) -> DataFrame:
     """Cost and tokens of ended sessions by the day they ended."""
     ended = sessions.where(F.col("ended_at").isNotNull())

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from promptledger import functions as fn
@@ -18,9 +18,10 @@ SUMMARY_PROMPT = (
 )
 
 
-def _counted(pairs: DataFrame) -> DataFrame:
+def _counted(pairs: DataFrame, *more: Column) -> DataFrame:
     return pairs.select(
         "pair_id",
+        *more,
         *(["model"] if "model" in pairs.columns else []),
         fn.token_count("original").alias("original_tokens"),
         fn.token_count("optimized").alias("optimized_tokens"),
@@ -31,7 +32,20 @@ def pair_delta(
     pairs: DataFrame, model: str = DEFAULT_MODEL, prices: DataFrame | None = None
 ) -> DataFrame:
     """Tokens and input cost saved by the optimized version; negative when it grew."""
-    counted = _counted(pairs)
+    return _delta(_counted(pairs), model, prices)
+
+
+def pair_report(
+    pairs: DataFrame, model: str = DEFAULT_MODEL, prices: DataFrame | None = None
+) -> DataFrame:
+    """``pair_delta`` with the removed and the added lines of each pair, sorted."""
+    removed = F.array_sort(fn.lines_only_in("original", "optimized")["line"])
+    added = F.array_sort(fn.lines_only_in("optimized", "original")["line"])
+    counted = _counted(pairs, removed.alias("removed_lines"), added.alias("added_lines"))
+    return _delta(counted, model, prices, "removed_lines", "added_lines")
+
+
+def _delta(counted: DataFrame, model: str, prices: DataFrame | None, *more: str) -> DataFrame:
     if "model" in counted.columns:
         rated = with_rates(counted, prices)
     else:
@@ -50,6 +64,7 @@ def pair_delta(
         priced(after, rate).alias("optimized_cost"),
         (priced(before, rate) - priced(after, rate)).alias("cost_delta"),
         F.when(delta > 0, "saved").when(delta < 0, "added").otherwise("none").alias("outcome"),
+        *more,
     )
 
 

@@ -68,6 +68,26 @@ def load_payloads(
     )
 
 
+def stream_payloads(
+    spark: SparkSession,
+    path: str,
+    fmt: str = "parquet",
+    id_column: str = "payload_id",
+    text_column: str = "text",
+) -> DataFrame:
+    """Payloads as they arrive in a folder."""
+    schema = f"`{id_column}` BIGINT, `{text_column}` STRING"
+    arriving = spark.readStream.schema(schema).format(fmt).load(path)
+    return arriving.select(
+        F.col(id_column).alias("payload_id"), F.col(text_column).alias("text")
+    )
+
+
+def stream_sessions(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    """Ledger sessions as they arrive in a folder."""
+    return spark.readStream.schema(SESSION_SCHEMA).format(fmt).load(path)
+
+
 def load_pairs(left: DataFrame, right: DataFrame, key: str = "payload_id") -> DataFrame:
     """Join two payload tables on their key as ``(pair_id, original, optimized)``."""
     first = left.select(F.col(key).alias("pair_id"), F.col("text").alias("original"))
@@ -94,8 +114,9 @@ def sessions_ended_on(spark: SparkSession, path: str, days: Sequence[str]) -> Da
 
 
 def write_clean(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Write ``(payload_id, text)`` of cleaned payloads."""
-    df.select("payload_id", "text").write.mode("overwrite").format(fmt).save(path)
+    """Write cleaned payloads; plain text files hold the text alone."""
+    columns = ["text"] if fmt == "text" else ["payload_id", "text"]
+    df.select(*columns).write.mode("overwrite").format(fmt).save(path)
 
 
 def write_json(df: DataFrame, path: str) -> None:

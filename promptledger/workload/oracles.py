@@ -608,6 +608,23 @@ ORACLES["added_lines"] = LINE_SETS + (
 ORACLES["common_lines"] = LINE_SETS + (
     "SELECT pair_id, copy, line FROM o SEMI JOIN p USING (pair_id, line, copy)"
 )
+ORACLES["pair_report"] = ctes(
+    PRICING,
+    PAIRS,
+    PAIR_COUNTS,
+    numbered("original", "o"),
+    numbered("optimized", "p"),
+    """gone AS (SELECT pair_id, string_agg(line, chr(10) ORDER BY line) AS removed_lines
+ FROM o ANTI JOIN p USING (pair_id, line, copy) GROUP BY pair_id)""",
+    """fresh AS (SELECT pair_id, string_agg(line, chr(10) ORDER BY line) AS added_lines
+ FROM p ANTI JOIN o USING (pair_id, line, copy) GROUP BY pair_id)""",
+) + f"""
+SELECT pair_id, original_tokens - optimized_tokens AS token_delta,
+ original_tokens * input_per_1m / 1000000 - optimized_tokens * input_per_1m / 1000000
+  AS cost_delta, coalesce(removed_lines, '') AS removed_lines,
+ coalesce(added_lines, '') AS added_lines
+FROM sized LEFT JOIN gone USING (pair_id) LEFT JOIN fresh USING (pair_id), pricing
+WHERE model = '{DEFAULT_MODEL}'"""
 ORACLES["compression_requests"] = (
     f"SELECT doc_id AS payload_id, 'local-model' AS model, "
     f"nullif({tokens('text')}, 0) AS max_tokens, "

@@ -389,6 +389,18 @@ def pair_delta(spark, sf_dir):
     return pairing.pair_delta(views.pairs(spark, sf_dir))
 
 
+@query
+def pair_report(spark, sf_dir):
+    found = pairing.pair_report(views.pairs(spark, sf_dir))
+    return found.select(
+        "pair_id",
+        "token_delta",
+        "cost_delta",
+        F.array_join("removed_lines", "\n").alias("removed_lines"),
+        F.array_join("added_lines", "\n").alias("added_lines"),
+    )
+
+
 @query
 def compression_outcome(spark, sf_dir):
     return pairing.compression_outcome(views.pairs(spark, sf_dir))
@@ -482,7 +494,8 @@ def cache_recommendations(spark, sf_dir):
 
 @query
 def cache_analysis(spark, sf_dir):
-    return joined_texts(caching.cache_analysis(views.planted(spark, sf_dir)))
+    found = caching.cache_analysis(views.planted(spark, sf_dir))
+    return joined_texts(found.drop("sections"))
 
 
 @query

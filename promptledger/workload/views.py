@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from promptledger.expressions.base import raw
 from promptledger.operators.ledger import with_cost
 from promptledger.plans.spread import spread
-from promptledger.sources.tables import SESSION_SCHEMA, load_payloads
+from promptledger.sources.tables import SESSION_SCHEMA, load_payloads, stream_payloads
 
 # A block of instructions that the derived texts repeat.
 BLOCK = (
@@ -52,11 +52,10 @@ PLANTS = {
 }
 FILLER = "word "
 FILLER_COPIES = 61_000
-STREAM_SCHEMAS = {
-    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, "
-    "value DOUBLE, props STRING",
-    "documents": "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT",
-}
+EVENT_SCHEMA = (
+    "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, "
+    "value DOUBLE, props STRING"
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,12 +64,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A test table read as a file stream."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return spark.readStream.schema(STREAM_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parque[t]")
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` as payloads."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
@@ -104,8 +97,9 @@ def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def planted_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    arriving = stream(spark, sf_dir, "documents")
-    return planted_text(arriving.select(F.col("doc_id").alias("payload_id"), "text"))
+    """The same texts, arriving. The pattern lets a stream read a single file."""
+    path = f"{sf_dir}/documents.parque[t]"
+    return planted_text(stream_payloads(spark, path, id_column="doc_id"))
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,7 +152,9 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ledger_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ledger_from(stream(spark, sf_dir, "events"))
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    events = spark.readStream.schema(EVENT_SCHEMA).parquet(f"{sf_dir}/events.parque[t]")
+    return ledger_from(events)
 
 
 def ledger_events(sessions: DataFrame) -> DataFrame:

@@ -57,6 +57,8 @@ def test_lookup_and_order(sessions):
     assert [r.id for r in ledger.last_session(table).collect()] == [3]
     assert [r.id for r in ledger.session_by_id(table, 2).collect()] == [2]
     assert ledger.last_session(table.limit(0)).collect() == []
+    chosen = {w: [r.id for r in ledger.select_sessions(table, w).collect()] for w in ("all", "last", "1")}
+    assert chosen == {"all": [3, 2, 1], "last": [3], "1": [1]}
 
 
 def test_daily_spend_counts_cached_tokens_of_ended_sessions(sessions):
