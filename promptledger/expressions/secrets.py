@@ -10,13 +10,14 @@ import math
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-from promptledger.expressions.base import NEWLINE, empty, let, raw
+from promptledger.expressions.base import NEWLINE, empty, let, raw, runs
 from promptledger.expressions.text import NON_SPACE, lines
 
 FINDING = (
     "STRUCT<type: STRING, match: STRING, line: INT, redacted: STRING, is_redacted: BOOLEAN>"
 )
 HIGH_ENTROPY = "high_entropy"
+FEW_LETTERS = 256
 _MARK = "\u0001"
 _WORD = "[0-9A-Za-z_]"
 _LOCAL = r"[A-Za-z0-9._%+\-]"
@@ -193,14 +194,22 @@ def pattern_findings(text: str, p: Pattern) -> str:
 def shannon_entropy(word: str) -> str:
     """Bits per character, rounded to 9 places; 0 for the empty string.
 
-    A character's count is what its removal takes off the length.
+    With few distinct characters, a character's count is what its removal takes off the
+    length: a fast byte search for each. With many, as in long text without spaces, the
+    characters are sorted and their runs counted instead.
     """
-    share = f"((length({word}) - length(replace({word}, c, ''))) / length({word}))"
-    shares = (
-        f"transform(filter(array_distinct(split({word}, '')), c -> c <> ''), c -> {share})"
+    removal = "transform(lt, c -> length(wd) - length(replace(wd, c, '')))"
+    sorted_runs = let("o", "sort_array(filter(split(wd, ''), c -> c <> ''))", runs("o", "(a = b)"))
+    counts = (
+        f"CASE WHEN size(lt) <= {FEW_LETTERS} THEN {removal} "
+        f"ELSE transform({sorted_runs}, g -> size(g)) END"
     )
-    total = f"aggregate({shares}, 0.0D, (n, x) -> n - x * log2(x))"
-    return f"CASE WHEN length({word}) = 0 THEN 0.0D ELSE round({total}, 9) END"
+    bits = (
+        f"aggregate({counts}, 0.0D, (n, x) -> n - x / length(wd) * log2(x / length(wd)))"
+    )
+    letters = "filter(array_distinct(split(wd, '')), c -> c <> '')"
+    total = let("lt", letters, f"round({bits}, 9)")
+    return let("wd", word, f"CASE WHEN length(wd) = 0 THEN 0.0D ELSE {total} END")
 
 
 def high_entropy_findings(clean: str, threshold: float = 4.5) -> str:

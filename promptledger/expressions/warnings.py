@@ -30,7 +30,8 @@ def duplicate_warnings(repeats: str) -> str:
 def long_line_warnings(found: str) -> str:
     message = "concat('Line ', x.line, ' is ', x.bytes, ' chars — may be raw pasted data')"
     hint = "Consider summarising or removing raw data before sending"
-    return f"transform({found}, x -> {_warning('info', repr('LONG_LINE'), 'x.line', message, hint)})"
+    warning = _warning("info", "'LONG_LINE'", "x.line", message, hint)
+    return f"transform({found}, x -> {warning})"
 
 
 def fill_warnings(tokens: str, limit: int) -> str:

@@ -7,7 +7,7 @@ from promptledger.expressions.sections import DYNAMIC_KEYWORDS, STABLE_KEYWORDS
 from promptledger.operators import caching, conversations, payloads, redundancy
 from promptledger.operators import pairs as pairing
 from promptledger.workload.views import BLOCK
-from tests import reference_models as model
+from tests import plain_models as model
 
 TWICE = BLOCK + "\nSome other content here.\n" + BLOCK
 

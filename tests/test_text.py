@@ -2,7 +2,7 @@ import decimal
 import random
 
 from promptledger import functions as fn
-from tests.reference_models import SPACE, fields, tokens
+from tests.plain_models import SPACE, fields, tokens
 
 LONG = (
     "The quick brown fox jumps over the lazy dog. "
