@@ -44,11 +44,13 @@ def cost_by_direction(
 
 
 def known_models(usage: DataFrame, prices: DataFrame) -> DataFrame:
-    return usage.join(F.broadcast(prices.select("model")), "model", "left_semi")
+    """Rows whose model has a price; the price table's own size decides the join."""
+    return usage.join(prices.select("model"), "model", "left_semi")
 
 
 def unknown_models(usage: DataFrame, prices: DataFrame) -> DataFrame:
-    return usage.join(F.broadcast(prices.select("model")), "model", "left_anti")
+    """Rows whose model has no price."""
+    return usage.join(prices.select("model"), "model", "left_anti")
 
 
 def model_costs(payloads: DataFrame) -> DataFrame:
@@ -80,9 +82,14 @@ def long_line_rows(payloads: DataFrame, thresholds: Thresholds = DEFAULTS) -> Da
 
 
 def overfull(payloads: DataFrame, thresholds: Thresholds = DEFAULTS) -> DataFrame:
-    """Payloads with more tokens than the context threshold."""
-    counted = payloads.select("payload_id", fn.token_count("text").alias("token_count"))
-    return counted.where(F.col("token_count") > thresholds.context_tokens)
+    """Payloads with more tokens than the context threshold.
+
+    A token takes at least one character, so shorter texts are dropped before counting.
+    """
+    limit = thresholds.context_tokens
+    long_enough = payloads.where(F.length("text") > limit)
+    counted = long_enough.select("payload_id", fn.token_count("text").alias("token_count"))
+    return counted.where(F.col("token_count") > limit)
 
 
 def _warnings(thresholds: Thresholds) -> Column:
@@ -167,10 +174,7 @@ def warning_rows(payloads: DataFrame, thresholds: Thresholds = DEFAULTS) -> Data
 def warning_counts(payloads: DataFrame, thresholds: Thresholds = DEFAULTS) -> DataFrame:
     """Warnings per payload: the total and one column per code."""
     scanned = _scanned(payloads, thresholds)
-    codes = scanned.select(
-        "payload_id",
-        _warnings(thresholds)["code"].alias("codes"),
-    )
+    codes = scanned.select("payload_id", _warnings(thresholds)["code"].alias("codes"))
 
     def count_of(code: str) -> Column:
         return F.expr(f"CAST(size(filter(codes, c -> c = '{code}')) AS BIGINT)")

@@ -8,6 +8,7 @@ from promptledger.operators import pairs as pairing
 from promptledger.plans import storage
 from promptledger.plans.spread import spread
 from promptledger.sources import tables
+from promptledger.sources.pricing import pricing
 from promptledger.workload import views
 
 SF = "/root/testdata/sf0.001"
@@ -56,6 +57,12 @@ def test_prices_are_broadcast(documents):
     assert "Join" not in plan_of(payloads.payload_report(documents))
 
 
+def test_small_price_lists_are_broadcast_by_their_size(spark):
+    sessions = views.ledger(spark, SF)
+    for operator in (payloads.known_models, payloads.unknown_models):
+        assert "BroadcastHashJoin [model" in plan_of(operator(sessions, pricing(spark)))
+
+
 def test_gate_filter_does_not_scrub_twice(documents):
     # The pattern is used to test, replace, extract and split, and names its parts twice.
     plan = plan_of(scrubbing.blocked(documents))
