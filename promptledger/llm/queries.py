@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from promptledger.llm import signature_join
+from promptledger.llm import packing, signature_join, tokenfile
+from promptledger.plans.storage import fresh_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +18,25 @@ def op7_signature_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signature_join.similarity_components(table(spark, sf_dir, "documents"))
 
 
+def vocabulary(name: str) -> str:
+    """Where the public tokenizer's file is on this machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op8_swap_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+def op10_pfor_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = fresh_path(spark, "token-ids")
+    contents = tokenfile.write(table(spark, sf_dir, "documents"), folder, vocabulary("word_bpe_49k.json"))
+    return tokenfile.read(spark, contents, folder)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_signature_tree_join": op7_signature_tree_join,
+    "op8_swap_packing": op8_swap_packing,
+    "op10_pfor_token_files": op10_pfor_token_files,
 }

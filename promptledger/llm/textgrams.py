@@ -57,6 +57,15 @@ class _Powers:
         return cls.up[:n], cls.down[:n]
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Hashes of the byte spans of ``data``; ``values`` gives each byte its weight."""
+    up, down = _Powers.upto(len(data) + 1)
+    summed = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum(values[data] * up[:-1], out=summed[1:])
+    lengths = (ends - starts).astype(np.uint64)
+    return mix((summed[ends] - summed[starts]) * down[starts] + lengths * _GAMMA)
+
+
 class Words:
     """Words of consecutive texts. ``bounds[r]:bounds[r + 1]`` are those of text ``r``;
     ``starts`` and ``ends`` are byte positions in ``data``, ``bases`` those of the texts."""
@@ -76,13 +85,7 @@ class Words:
         self.starts = np.flatnonzero(inside & (~before | first[:-1]))
         self.ends = np.flatnonzero(inside & (~after | first[1:])) + 1
         self.bounds = np.searchsorted(self.starts, offsets)
-        up, down = _Powers.upto(len(data) + 1)
-        summed = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum(BYTE_VALUE[data] * up[:-1], out=summed[1:])
-        lengths = (self.ends - self.starts).astype(np.uint64)
-        self.hashes = mix(
-            (summed[self.ends] - summed[self.starts]) * down[self.starts] + lengths * _GAMMA
-        )
+        self.hashes = span_hashes(data, self.starts, self.ends, BYTE_VALUE)
 
     def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all n-word windows, by first word, and which lie within one text."""
@@ -107,8 +110,9 @@ class Words:
                 yield np.zeros(0, dtype=np.uint64)
 
 
-def text_chunks(texts: pa.Array) -> Iterator[tuple[int, int, Words]]:
-    """Cut a string array into runs of rows of bounded bytes: first row, end row, words."""
+def byte_chunks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Cut a string array into runs of rows of bounded bytes: first row, end row, UTF-8
+    bytes, offsets of the rows in them."""
     texts = texts.cast(pa.large_string()).fill_null("")
     if len(texts) == 0:
         return
@@ -120,5 +124,11 @@ def text_chunks(texts: pa.Array) -> Iterator[tuple[int, int, Words]]:
         hi = int(np.searchsorted(offsets, offsets[lo] + CHUNK_BYTES, side="right")) - 1
         hi = min(max(hi, lo + 1), len(texts))
         part = data[offsets[lo] : offsets[hi]]
-        yield lo, hi, Words(part, offsets[lo : hi + 1] - offsets[lo])
+        yield lo, hi, part, offsets[lo : hi + 1] - offsets[lo]
         lo = hi
+
+
+def text_chunks(texts: pa.Array) -> Iterator[tuple[int, int, Words]]:
+    """The words of runs of rows of bounded bytes: first row, end row, words."""
+    for lo, hi, data, offsets in byte_chunks(texts):
+        yield lo, hi, Words(data, offsets)
