@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from promptledger.llm import packing, signature_join, tokenfile
+from promptledger.llm import decontaminate, packing, signature_join, tokenfile
 from promptledger.plans.storage import fresh_path
 
 
@@ -14,6 +14,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    )
+
+
 def op7_signature_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signature_join.similarity_components(table(spark, sf_dir, "documents"))
 
@@ -36,6 +42,7 @@ def op10_pfor_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_benchmark_leaks": op2_benchmark_leaks,
     "op7_signature_tree_join": op7_signature_tree_join,
     "op8_swap_packing": op8_swap_packing,
     "op10_pfor_token_files": op10_pfor_token_files,

@@ -36,6 +36,8 @@ def _byte_values() -> np.ndarray:
 
 BYTE_VALUE = _byte_values()
 IS_BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+#: All ASCII characters but letters and digits.
+IS_MARK = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 #: Multipliers that make the hash of a word sequence depend on the order.
 PLACE = mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0xBF58476D1CE4E5B9)) | np.uint64(1)
 
@@ -70,8 +72,8 @@ class Words:
     """Words of consecutive texts. ``bounds[r]:bounds[r + 1]`` are those of text ``r``;
     ``starts`` and ``ends`` are byte positions in ``data``, ``bases`` those of the texts."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
-        inside = ~IS_BLANK[data]
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, blank: np.ndarray = IS_BLANK):
+        inside = ~blank[data]
         first = np.zeros(len(data) + 1, dtype=bool)
         first[offsets[:-1]] = True
         before = np.empty_like(inside)
@@ -128,7 +130,8 @@ def byte_chunks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndar
         lo = hi
 
 
-def text_chunks(texts: pa.Array) -> Iterator[tuple[int, int, Words]]:
-    """The words of runs of rows of bounded bytes: first row, end row, words."""
+def text_chunks(texts: pa.Array, blank: np.ndarray = IS_BLANK) -> Iterator[tuple[int, int, Words]]:
+    """The words of runs of rows of bounded bytes: first row, end row, words. ``blank``
+    tells which bytes part words."""
     for lo, hi, data, offsets in byte_chunks(texts):
-        yield lo, hi, Words(data, offsets)
+        yield lo, hi, Words(data, offsets, blank)
