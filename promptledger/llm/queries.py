@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from promptledger.llm import decontaminate, packing, signature_join, tokenfile
+from promptledger.llm import decontaminate, packing, pseudonyms, signature_join, tokenfile
 from promptledger.plans.storage import fresh_path
 
 
@@ -20,10 +20,20 @@ def op2_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pseudonyms.pseudonymised(table(spark, sf_dir, "documents"), pseudonym_key(spark))
+    return found.select("doc_id", "text", "n_values")
+
+
 def op7_signature_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signature_join.similarity_components(table(spark, sf_dir, "documents"))
 
 
+def pseudonym_key(spark: SparkSession) -> str:
+    """The secret key of the pseudonyms; a fixed one where the session names none."""
+    return spark.conf.get("spark.promptledger.pseudonymKey", "not a secret")
+
+
 def vocabulary(name: str) -> str:
     """Where the public tokenizer's file is on this machine."""
     import public_tokenizers
@@ -43,6 +53,7 @@ def op10_pfor_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_benchmark_leaks": op2_benchmark_leaks,
+    "op5_feistel_pseudonyms": op5_feistel_pseudonyms,
     "op7_signature_tree_join": op7_signature_tree_join,
     "op8_swap_packing": op8_swap_packing,
     "op10_pfor_token_files": op10_pfor_token_files,
