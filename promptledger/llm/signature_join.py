@@ -36,7 +36,10 @@ PERCENT = 80
 BANDS = 40
 ROWS_PER_BAND = 3
 #: Shingles that one traversal task holds on each side (8 bytes each).
-TILE_SHINGLES = 4_000_000
+TILE_SHINGLES = 500_000
+#: Sets in a leaf of a tree, and bits of a bitmap per token of a set of mean size.
+LEAF_SETS = 32
+BITS_PER_TOKEN = 32
 
 MULTIPLIERS = mix(np.arange(1, BANDS * ROWS_PER_BAND + 1, dtype=np.uint64)) | np.uint64(1)
 
@@ -91,23 +94,30 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 class Node:
     """A run of sets in tree order: which tokens' bits any of them has, their sizes, and
-    the most tokens that one of them hides behind a bit another token also has."""
+    the most tokens that one of them hides behind a bit another token also has. A leaf
+    keeps the bits of each of its sets."""
 
-    __slots__ = ("bits", "hidden", "high", "left", "lo", "low", "hi", "right")
+    __slots__ = ("bits", "each", "hi", "hidden", "high", "left", "lo", "low", "right")
 
-    def __init__(self, lo, hi, bits, low, high, hidden, left=None, right=None):
+    def __init__(self, lo, hi, bits, low, high, hidden, left=None, right=None, each=None):
         self.lo, self.hi, self.bits = lo, hi, bits
         self.low, self.high, self.hidden = low, high, hidden
-        self.left, self.right = left, right
+        self.left, self.right, self.each = left, right, each
+
+
+def bitmap(shingles: np.ndarray, width: int) -> np.ndarray:
+    bits = np.zeros(width, dtype=bool)
+    bits[(shingles & np.uint64(width - 1)).astype(np.int64)] = True
+    return np.packbits(bits).view(np.uint64)
 
 
 def tree_of(sets: list[np.ndarray], lo: int, hi: int, width: int) -> Node:
-    if hi - lo == 1:
-        bits = np.zeros(width, dtype=bool)
-        bits[(sets[lo] & np.uint64(width - 1)).astype(np.int64)] = True
-        packed = np.packbits(bits).view(np.uint64)
-        n = len(sets[lo])
-        return Node(lo, hi, packed, n, n, n - int(np.bitwise_count(packed).sum()))
+    if hi - lo <= LEAF_SETS:
+        each = np.stack([bitmap(s, width) for s in sets[lo:hi]])
+        sizes = np.array([len(s) for s in sets[lo:hi]])
+        hidden = sizes - np.bitwise_count(each).sum(axis=1, dtype=np.int64)
+        merged = np.bitwise_or.reduce(each, axis=0)
+        return Node(lo, hi, merged, sizes.min(), sizes.max(), hidden.max(), each=(each, sizes, hidden))
     middle = (lo + hi) // 2
     a, b = tree_of(sets, lo, middle, width), tree_of(sets, middle, hi, width)
     return Node(
@@ -115,7 +125,7 @@ def tree_of(sets: list[np.ndarray], lo: int, hi: int, width: int) -> Node:
     )
 
 
-def enough(overlap: int, sizes: int) -> bool:
+def enough(overlap, sizes):
     """Whether sets of so many elements in all reach the similarity with this overlap."""
     return 100 * overlap >= PERCENT * (sizes - overlap)
 
@@ -126,6 +136,17 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return enough(len(np.intersect1d(a, b, assume_unique=True)), len(a) + len(b))
 
 
+def _possible(a: Node, b: Node) -> list[tuple[int, int]]:
+    """Pairs of two leaves' sets that may link by their bits and sizes, likeliest first."""
+    (bits_a, size_a, hidden_a), (bits_b, size_b, hidden_b) = a.each, b.each
+    shared = np.stack([np.bitwise_count(row & bits_b).sum(axis=1, dtype=np.int64) for row in bits_a])
+    bound = shared + np.minimum(hidden_a[:, None], hidden_b)
+    bound = np.minimum(bound, np.minimum(size_a[:, None], size_b))
+    i, j = np.nonzero(enough(bound, size_a[:, None] + size_b))
+    order = np.argsort(-shared[i, j], kind="stable")
+    return [(a.lo + x, b.lo + y) for x, y in zip(i[order].tolist(), j[order].tolist(), strict=True)]
+
+
 def spanning_links(sets: list[np.ndarray], free: int | None = None) -> list[tuple[int, int]]:
     """Links that connect what all links connect. Sets from position ``free`` on are
     known to be connected already; they are not compared with each other."""
@@ -134,7 +155,11 @@ def spanning_links(sets: list[np.ndarray], free: int | None = None) -> list[tupl
     free = len(sets) if free is None else free
     if not free:
         return []
-    width = max(64, 1 << (8 * max(map(len, sets)) - 1).bit_length())
+    # Sets with the same smallest hash are often alike: neighbours in the tree.
+    order = sorted(range(free), key=lambda i: sets[i][0]) + sorted(range(free, len(sets)), key=lambda i: sets[i][0])
+    sets = [sets[i] for i in order]
+    mean = sum(map(len, sets)) // len(sets) + 1
+    width = max(64, 1 << (BITS_PER_TOKEN * mean - 1).bit_length())
     group = np.arange(len(sets))
     group[free:] = free
     roots = [tree_of(sets, 0, free, width)]
@@ -145,25 +170,28 @@ def spanning_links(sets: list[np.ndarray], free: int | None = None) -> list[tupl
     todo.append((roots[0], roots[0]))
     while todo:
         a, b = todo.pop()
-        if a is b:
-            if a.left:
-                todo += [(a.left, a.right), (a.right, a.right), (a.left, a.left)]
-            continue
-        if not enough(min(a.high, b.high), min(a.high, b.high) + max(a.low, b.low)):
-            continue
-        shared = int(np.bitwise_count(a.bits & b.bits).sum()) + min(a.hidden, b.hidden)
-        if not enough(min(shared, a.high, b.high), a.low + b.low):
-            continue
         here, there = group[a.lo : a.hi], group[b.lo : b.hi]
         if (here == here[0]).all() and (there == here[0]).all():
             continue
-        if a.left and (not b.left or a.hi - a.lo >= b.hi - b.lo):
-            todo += [(a.left, b), (a.right, b)]
-        elif b.left:
-            todo += [(a, b.left), (a, b.right)]
-        elif similar(sets[a.lo], sets[b.lo]):
-            links.append((a.lo, b.lo))
-            group[group == group[b.lo]] = group[a.lo]
+        if a is b and a.left:
+            todo += [(a.left, a.right), (a.right, a.right), (a.left, a.left)]
+            continue
+        if a is not b:
+            if not enough(min(a.high, b.high), min(a.high, b.high) + max(a.low, b.low)):
+                continue
+            shared = int(np.bitwise_count(a.bits & b.bits).sum(dtype=np.int64)) + min(a.hidden, b.hidden)
+            if not enough(min(shared, a.high, b.high), a.low + b.low):
+                continue
+            if a.left and (not b.left or a.hi - a.lo >= b.hi - b.lo):
+                todo += [(a.left, b), (a.right, b)]
+                continue
+            if b.left:
+                todo += [(a, b.left), (a, b.right)]
+                continue
+        for i, j in _possible(a, b):
+            if group[i] != group[j] and similar(sets[i], sets[j]):
+                links.append((order[i], order[j]))
+                group[group == group[j]] = group[i]
     return links
 
 
@@ -231,7 +259,7 @@ def links_in_clusters(members: DataFrame) -> DataFrame:
     )
     small_total = sizes.where(F.col("shingles") <= TILE_SHINGLES).agg(F.sum("shingles")).first()[0] or 0
     workers = members.sparkSession.sparkContext.defaultParallelism
-    bins = max(-(-small_total // (TILE_SHINGLES // 4)), 4 * workers)
+    bins = max(-(-small_total // TILE_SHINGLES), 4 * workers)
     sized = members.join(sizes.select("cluster", "shingles"), "cluster")
     in_bins = (
         sized.where(F.col("shingles") <= TILE_SHINGLES)
@@ -323,7 +351,9 @@ def similarity_components(docs: DataFrame) -> DataFrame:
         "members",
     )
     texts = docs.select(F.col("doc_id").cast("bigint").alias("rep"), F.col("text").cast("string"))
-    chosen = stored(texts.join(members, "rep").dropDuplicates(["rep", "text"]), "member-texts")
+    # Shuffled at every size: a plan that moves texts only beyond some size is no plan.
+    chosen = texts.join(members.hint("shuffle_hash"), "rep").dropDuplicates(["rep", "text"])
+    chosen = stored(chosen, "member-texts")
     joined = components(links_in_clusters(chosen))
     roots = joined.select(F.col("node").alias("rep"), "component")
     found = stored(
