@@ -36,7 +36,7 @@ PERCENT = 80
 BANDS = 40
 ROWS_PER_BAND = 3
 #: Shingles that one traversal task holds on each side (8 bytes each).
-TILE_SHINGLES = 500_000
+TILE_SHINGLES = 250_000
 #: Sets in a leaf of a tree, and bits of a bitmap per token of a set of mean size.
 LEAF_SETS = 32
 BITS_PER_TOKEN = 32
@@ -139,7 +139,13 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 def _possible(a: Node, b: Node) -> list[tuple[int, int]]:
     """Pairs of two leaves' sets that may link by their bits and sizes, likeliest first."""
     (bits_a, size_a, hidden_a), (bits_b, size_b, hidden_b) = a.each, b.each
-    shared = np.stack([np.bitwise_count(row & bits_b).sum(axis=1, dtype=np.int64) for row in bits_a])
+    step = max(1, 2**20 // bits_b.size)
+    shared = np.concatenate(
+        [
+            np.bitwise_count(bits_a[k : k + step, None, :] & bits_b).sum(axis=2, dtype=np.int64)
+            for k in range(0, len(bits_a), step)
+        ]
+    )
     bound = shared + np.minimum(hidden_a[:, None], hidden_b)
     bound = np.minimum(bound, np.minimum(size_a[:, None], size_b))
     i, j = np.nonzero(enough(bound, size_a[:, None] + size_b))
@@ -148,8 +154,8 @@ def _possible(a: Node, b: Node) -> list[tuple[int, int]]:
 
 
 def spanning_links(sets: list[np.ndarray], free: int | None = None) -> list[tuple[int, int]]:
-    """Links that connect what all links connect. Sets from position ``free`` on are
-    known to be connected already; they are not compared with each other."""
+    """Pairs that connect what the links connect, as stars. Sets from position ``free`` on
+    are known to be connected already; they are not compared with each other."""
     if len(sets) == 2 and free is None:
         return [(0, 1)] if similar(sets[0], sets[1]) else []
     free = len(sets) if free is None else free
@@ -165,7 +171,6 @@ def spanning_links(sets: list[np.ndarray], free: int | None = None) -> list[tupl
     roots = [tree_of(sets, 0, free, width)]
     if free < len(sets):
         roots.append(tree_of(sets, free, len(sets), width))
-    links: list[tuple[int, int]] = []
     todo = [(roots[0], roots[-1])] if len(roots) == 2 else []
     todo.append((roots[0], roots[0]))
     while todo:
@@ -190,9 +195,11 @@ def spanning_links(sets: list[np.ndarray], free: int | None = None) -> list[tupl
                 continue
         for i, j in _possible(a, b):
             if group[i] != group[j] and similar(sets[i], sets[j]):
-                links.append((order[i], order[j]))
                 group[group == group[j]] = group[i]
-    return links
+    # The connected ones stand for their group.
+    first = {int(group[free]): free} if free < len(sets) else {}
+    centre = [first.setdefault(g, i) for i, g in enumerate(group.tolist())]
+    return [(order[i], order[c]) for i, c in enumerate(centre) if i != c and i < free]
 
 
 def _shingle_sets(texts: pa.Array) -> list[np.ndarray]:
