@@ -2,4 +2,24 @@
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+URL_FILTER = r"""
+WITH parts AS (
+  SELECT page_id,
+    translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''),
+              'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages),
+rules(rule_host, rule_path, verdict) AS (VALUES
+  ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
+  ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+fits AS (
+  SELECT page_id, arg_max(struct_pack(rule := rule_host || rule_path, verdict := verdict),
+                          length(rule_host || rule_path)) AS best
+  FROM parts JOIN rules
+    ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+  GROUP BY page_id)
+SELECT parts.page_id, host, path, best.rule AS rule, coalesce(best.verdict, 'allow') AS verdict
+FROM parts LEFT JOIN fits USING (page_id)
+"""
+
+ORACLES: dict[str, str] = {"op3_bloom_url_filter": URL_FILTER}
