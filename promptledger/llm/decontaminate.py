@@ -10,8 +10,9 @@
    match 2, mismatch -1, gap -1. Inserted, dropped and replaced words cost little, so edited
    and paraphrased copies score high, unrelated text with a few equal words low.
 
-The test items are the small side: they are cut into blocks of bounded bytes, and each block
-is carried by the tasks that read the corpus. No document moves.
+The test items are the small side. They are cut into blocks of bounded bytes; a counting pass
+over the corpus is made per block, and the blocks' seeds are carried by the tasks that read
+the corpus. No document moves.
 
 Result: one row per document and item with at least the least score. Null and blank texts
 hold nothing. Items without words match nothing. Repeated documents or items each report
@@ -22,7 +23,6 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -196,52 +196,56 @@ def _stretches(places: np.ndarray, reach: int) -> list[tuple[int, int]]:
     return [(int(p[0]), int(p[-1])) for p in np.split(places, cuts)]
 
 
-def _aligned(batches: Iterable[pa.RecordBatch], items: Items, least: float) -> Iterator[pa.RecordBatch]:
-    sizes, sieve = _sizes(items), _sieve(items.grams)
-    for batch in batches:
-        ids = batch.column(0)
-        for lo, _, words in plain_words(batch.column(1)):
-            rows, owners, places = [], [], []
-            for at, hashes in _windows(words, sizes):
-                hit = _member(hashes, items.grams, sieve)
-                a = np.searchsorted(items.grams, hashes[hit], side="left")
-                n = np.searchsorted(items.grams, hashes[hit], side="right") - a
-                each = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                places.append(np.repeat(at[hit], n))
-                owners.append(items.owner[each])
-                rows.append(np.searchsorted(words.bounds, places[-1], side="right") - 1)
-            row, owner, place = map(np.concatenate, (rows, owners, places))
-            order = np.lexsort((place, owner, row))
-            row, owner, place = row[order], owner[order], place[order]
+@dataclass
+class Finder:
+    """Finds the passages of a block of items in texts by its seeds."""
+
+    seeds: Items
+    least: float
+
+    def __post_init__(self):
+        self.sizes, self.sieve = _sizes(self.seeds), _sieve(self.seeds.grams)
+
+    def passages(self, texts: pa.Array) -> Iterator[tuple[int, int, float, int, int]]:
+        """Row, item id, score, first and last word."""
+        for lo, _, words in plain_words(texts):
+            row, owner, place = self._hits(words)
             cuts = np.flatnonzero((np.diff(row) != 0) | (np.diff(owner) != 0)) + 1
-            found = []
             for part in np.split(np.arange(len(row)), cuts) if len(row) else []:
                 r, k = int(row[part[0]]), int(owner[part[0]])
-                item = items.words[k]
-                low, high = int(words.bounds[r]), int(words.bounds[r + 1])
-                reach = len(item) + len(item) // 2
-                scored = []
-                for begin, end in _stretches(place[part], reach):
-                    begin, end = max(low, begin - reach), min(high, end + reach + SEED_WORDS)
-                    if shared_words(item, words.hashes[begin:end]) < least * len(item):
-                        continue  # no alignment has more matches
-                    score, first, last = align(item, words.hashes[begin:end])
-                    scored.append((score, begin - low + first, begin - low + last))
-                if scored:
-                    score, first, last = max(scored, key=lambda s: (s[0], -s[1]))
-                    if score >= least:
-                        found.append((lo + r, items.ids[k], score, first, last))
-            columns = list(zip(*found, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays(
-                [
-                    ids.take(pa.array(columns[0], pa.int64())),
-                    pa.array(columns[1], pa.int64()),
-                    pa.array(columns[2], pa.float64()),
-                    pa.array(columns[3], pa.int64()),
-                    pa.array(columns[4], pa.int64()),
-                ],
-                ["doc_id", "item_id", "score", "first_word", "last_word"],
-            )
+                best = self._best(words, r, self.seeds.words[k], place[part])
+                if best is not None:
+                    yield lo + r, int(self.seeds.ids[k]), *best
+
+    def _hits(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, item and word of each seed, in this order."""
+        grams = self.seeds.grams
+        owners, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for at, hashes in _windows(words, self.sizes):
+            hit = _member(hashes, grams, self.sieve)
+            first = np.searchsorted(grams, hashes[hit], side="left")
+            count = np.searchsorted(grams, hashes[hit], side="right") - first
+            each = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
+            places.append(np.repeat(at[hit], count))
+            owners.append(self.seeds.owner[each])
+        place, owner = np.concatenate(places), np.concatenate(owners)
+        row = np.searchsorted(words.bounds, place, side="right") - 1
+        order = np.lexsort((place, owner, row))
+        return row[order], owner[order], place[order]
+
+    def _best(self, words: Words, row: int, item: np.ndarray, places: np.ndarray):
+        """Score, first and last word of the best passage of the row, if good enough."""
+        low, high = int(words.bounds[row]), int(words.bounds[row + 1])
+        reach = len(item) + len(item) // 2
+        best = None
+        for begin, end in _stretches(places, reach):
+            begin, end = max(low, begin - reach), min(high, end + reach + SEED_WORDS)
+            if shared_words(item, words.hashes[begin:end]) < self.least * len(item):
+                continue  # no alignment has more matches
+            score, first, last = align(item, words.hashes[begin:end])
+            if score >= self.least and (best is None or score > best[0]):
+                best = score, begin - low + first, begin - low + last
+        return best
 
 
 def item_blocks(items: DataFrame) -> Iterator[Items]:
@@ -258,15 +262,48 @@ def item_blocks(items: DataFrame) -> Iterator[Items]:
             yield Items.of([r.item_id for r in held], [r.text for r in held])
 
 
+def finders(docs: DataFrame, items: DataFrame, least: float = LEAST_SCORE) -> list[Finder]:
+    """One per block of items, with seeds that are rare among these documents."""
+    documents = docs.count()
+    return [
+        Finder(rare_seeds(block, seed_counts(docs, block), documents), least) for block in item_blocks(items)
+    ]
+
+
 def contaminated(docs: DataFrame, items: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
     """Documents that hold a passage of an item: doc_id, item_id, score, first_word and
     last_word (the passage's words in the document, from 0)."""
-    documents = docs.count()
+    blocks = finders(docs, items, least)
+
+    def report(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [hit for block in blocks for hit in block.passages(batch.column(1))]
+            rows, item, score, first, last = list(zip(*found, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0).take(pa.array(rows, pa.int64())),
+                    pa.array(item, pa.int64()),
+                    pa.array(score, pa.float64()),
+                    pa.array(first, pa.int64()),
+                    pa.array(last, pa.int64()),
+                ],
+                ["doc_id", "item_id", "score", "first_word", "last_word"],
+            )
+
     rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    found = []
-    for block in item_blocks(items):
-        seeds = rare_seeds(block, seed_counts(rows, block), documents)
-        found.append(rows.mapInArrow(lambda b, seeds=seeds: _aligned(b, seeds, least), HIT_SCHEMA))
-    if not found:
-        return docs.sparkSession.createDataFrame([], HIT_SCHEMA)
-    return reduce(DataFrame.unionAll, found)
+    return rows.mapInArrow(report, HIT_SCHEMA)
+
+
+def clean(docs: DataFrame, items: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
+    """Rows of the documents, all columns, that hold no passage of an item."""
+    blocks = finders(docs, items, least)
+    at = docs.columns.index("text")
+
+    def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fine = np.ones(batch.num_rows, dtype=bool)
+            for block in blocks:
+                fine[[hit[0] for hit in block.passages(batch.column(at))]] = False
+            yield batch.filter(pa.array(fine))
+
+    return docs.mapInArrow(keep, docs.schema)

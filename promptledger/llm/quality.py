@@ -255,6 +255,20 @@ def scored(docs: DataFrame, trees: Trees) -> DataFrame:
     return rows.mapInArrow(judge, "doc_id BIGINT, score DOUBLE, predicted INT")
 
 
+def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows of the documents, all columns, that trees fitted to all labels (doc_id, quality)
+    score 0.5 or more."""
+    trees = train(*labelled_statistics(docs, labels.select("doc_id", F.col("quality").alias("label"))))
+    at = docs.columns.index("text")
+
+    def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, lines in statistics_of(batch.column(at)):
+                yield batch.slice(lo, hi - lo).filter(pa.array(trees.score(lines) >= 0.5))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1) -> DataFrame:
     """Train on labels (doc_id, quality) outside the held-out fold and score all documents:
     doc_id, held_out, score, predicted."""

@@ -372,3 +372,19 @@ def similarity_components(docs: DataFrame) -> DataFrame:
     return signed.join(found, ["fp1", "fp2", "n_shingles"], "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
     )
+
+
+def one_per_group(docs: DataFrame) -> DataFrame:
+    """Rows of the documents, all columns: of each group of linked documents the one with
+    the smallest id. Of rows that share an id one stays."""
+    found = similarity_components(docs)
+    gone = stored(
+        found.groupBy("doc_id")
+        .agg(F.min(F.col("component_id")).alias("component_id"), F.count("*").alias("rows"))
+        .where("doc_id <> component_id or rows > 1"),
+        "not-alone",
+    )
+    # Shuffled at every size, as the texts of candidates are.
+    single = docs.join(gone.select("doc_id").hint("shuffle_hash"), "doc_id", "left_anti")
+    repeated = docs.join(gone.where("doc_id = component_id").select("doc_id"), "doc_id", "left_semi")
+    return single.unionByName(repeated.dropDuplicates(["doc_id"])).select(*docs.columns)
