@@ -17,9 +17,9 @@ FINDING = (
     "STRUCT<type: STRING, match: STRING, line: INT, redacted: STRING, is_redacted: BOOLEAN>"
 )
 HIGH_ENTROPY = "high_entropy"
-FEW_LETTERS = 256
 _MARK = "\u0001"
 _WORD = "[0-9A-Za-z_]"
+_TOKEN = "[A-Za-z0-9_-]"
 _LOCAL = r"[A-Za-z0-9._%+\-]"
 
 
@@ -40,13 +40,17 @@ _PEM = "(?:RSA |EC |OPENSSH )?PRIVATE KEY-----"
 
 @dataclass(frozen=True)
 class Pattern:
-    """A detection pattern in Java syntax; ``group`` holds the matched secret."""
+    """A detection pattern in Java syntax; ``group`` holds the matched secret.
+
+    ``until``, if given, matches the part of a text that can hold matches.
+    """
 
     type: str
     java: str
     label: str
     group: int = 0
     keep: str = ""
+    until: str = ""
 
     @property
     def pattern(self) -> str:
@@ -66,11 +70,16 @@ PATTERNS = (
         "ssh_key",
         rf"-----BEGIN {_PEM}[\s\S]*?-----END {_PEM}",
         "[REDACTED:SSH_PRIVATE_KEY]",
+        until=rf"^[\s\S]*-----END {_PEM}",
     ),
+    # All starts in one run of token characters share its end, so only the first can
+    # match. Anchoring at the run and holding on to its first start keeps runs linear.
     Pattern(
         "jwt",
-        r"eyJ[A-Za-z0-9_-]{10,}+\.eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+",
+        rf"(?<!{_TOKEN})(?>({_TOKEN}*?)(?=eyJ))(eyJ{_TOKEN}{{10,}}+\.eyJ{_TOKEN}{{10,}}+\.{_TOKEN}{{10,}}+)",
         "[REDACTED:JWT]",
+        group=2,
+        keep="$1",
     ),
     Pattern(
         "aws_credential",
@@ -124,15 +133,24 @@ def chosen(types: Iterable[str] | None) -> list[Pattern]:
     return [p for p in PATTERNS if p.type in wanted]
 
 
+def scope(text: str, p: Pattern) -> str:
+    """The beginning of the text behind which no match starts. Without it every opening
+    mark that is never closed would be followed to the end of the text."""
+    return f"regexp_extract({text}, {raw(p.until)}, 0)" if p.until else text
+
+
 def hit(text: str, p: Pattern) -> str:
     """Whether a pattern matches anywhere in the text."""
-    found = f"rlike({text}, {p.pattern})"
+    found = f"rlike({scope(text, p)}, {p.pattern})"
     marker = _MARKERS.get(p.type)
     return f"(contains({text}, '{marker}') AND {found})" if marker else found
 
 
 def replaced(text: str, p: Pattern) -> str:
-    return f"regexp_replace({text}, {p.pattern}, {p.replacement})"
+    if not p.until:
+        return f"regexp_replace({text}, {p.pattern}, {p.replacement})"
+    head = f"regexp_replace(hd, {p.pattern}, {p.replacement})"
+    return let("hd", scope(text, p), f"concat({head}, substring({text}, length(hd) + 1))")
 
 
 def redact(text: str, types: Iterable[str] | None = None) -> str:
@@ -184,32 +202,22 @@ def _finding(kind: str, match: str, line: str, label: str, done: bool) -> str:
 def pattern_findings(text: str, p: Pattern) -> str:
     """All matches of one pattern in ``text``; the line is that of ``text`` itself."""
     each = _finding(p.type, shown("m"), "get(at, k)", p.label, True)
-    return let(
-        "ms",
-        f"regexp_extract_all({text}, {p.pattern}, {p.group})",
-        let("at", match_lines(text, "ms", p.pattern), f"transform(ms, (m, k) -> {each})"),
-    )
+    numbered = let("at", match_lines("hd", "ms", p.pattern), f"transform(ms, (m, k) -> {each})")
+    matches = f"regexp_extract_all(hd, {p.pattern}, {p.group})"
+    return let("hd", scope(text, p), let("ms", matches, numbered))
 
 
 def shannon_entropy(word: str) -> str:
     """Bits per character, rounded to 9 places; 0 for the empty string.
 
-    With few distinct characters, a character's count is what its removal takes off the
-    length: a fast byte search for each. With many, as in long text without spaces, the
-    characters are sorted and their runs counted instead.
+    The characters are sorted and their runs counted, whatever the alphabet.
     """
-    removal = "transform(lt, c -> length(wd) - length(replace(wd, c, '')))"
-    sorted_runs = let("o", "sort_array(filter(split(wd, ''), c -> c <> ''))", runs("o", "(a = b)"))
-    counts = (
-        f"CASE WHEN size(lt) <= {FEW_LETTERS} THEN {removal} "
-        f"ELSE transform({sorted_runs}, g -> size(g)) END"
-    )
+    letters = "sort_array(filter(split(wd, ''), c -> c <> ''))"
+    counts = f"transform({let('o', letters, runs('o', '(a = b)'))}, g -> size(g))"
     bits = (
         f"aggregate({counts}, 0.0D, (n, x) -> n - x / length(wd) * log2(x / length(wd)))"
     )
-    letters = "filter(array_distinct(split(wd, '')), c -> c <> '')"
-    total = let("lt", letters, f"round({bits}, 9)")
-    return let("wd", word, f"CASE WHEN length(wd) = 0 THEN 0.0D ELSE {total} END")
+    return let("wd", word, f"CASE WHEN length(wd) = 0 THEN 0.0D ELSE round({bits}, 9) END")
 
 
 def high_entropy_findings(clean: str, threshold: float = 4.5) -> str:

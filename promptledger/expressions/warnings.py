@@ -19,32 +19,32 @@ def _warning(severity: str, code: str, line: str, message: str, hint: str) -> st
 
 def duplicate_warnings(repeats: str) -> str:
     message = (
-        "concat('Duplicate content block detected (first at line ', d.first_line, "
-        "', repeated near line ', d.repeat_line, ')')"
+        "concat('Lines repeat an earlier block (first at line ', d.first_line, "
+        "', again at line ', d.repeat_line, ')')"
     )
-    hint = "Remove repeated instructions to save tokens"
+    hint = "Leave out what is said before to save tokens"
     warning = _warning("warning", "'DUPLICATE_BLOCK'", "d.repeat_line", message, hint)
     return f"transform({repeats}, d -> {warning})"
 
 
 def long_line_warnings(found: str) -> str:
-    message = "concat('Line ', x.line, ' is ', x.bytes, ' chars — may be raw pasted data')"
-    hint = "Consider summarising or removing raw data before sending"
+    message = "concat('Line ', x.line, ' is ', x.bytes, ' bytes long, perhaps pasted data')"
+    hint = "Try summarising long data, or leave it out"
     warning = _warning("info", "'LONG_LINE'", "x.line", message, hint)
     return f"transform({found}, x -> {warning})"
 
 
 def fill_warnings(tokens: str, limit: int) -> str:
-    message = f"concat('Context is ', {tokens}, ' tokens — above 60% fill threshold')"
-    hint = "Compress the payload before sending"
+    message = f"concat('Context holds ', {tokens}, ' tokens, more than {limit}')"
+    hint = "Shorten the text first"
     warning = _warning("warning", "'CONTEXT_FILL'", "NULL", message, hint)
     return f"CASE WHEN {tokens} > {limit} THEN array({warning}) ELSE {empty(WARNING)} END"
 
 
 def secret_warnings(findings: str) -> str:
     code = "concat('SECRET_', upper(f.type))"
-    message = "concat('Potential ', f.type, ' detected at line ', f.line, ': ', f.match)"
-    hint = "Redact the payload before sending"
+    message = "concat('Possible ', f.type, ' on line ', f.line, ': ', f.match)"
+    hint = "Scrub the text first"
     return f"transform({findings}, f -> {_warning('error', code, 'f.line', message, hint)})"
 
 

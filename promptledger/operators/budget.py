@@ -94,7 +94,7 @@ def first_breach(sessions: DataFrame, thresholds: Thresholds = DEFAULTS) -> Data
         .where(reached(F.col("upto")) & ~reached(F.col("before")))
         .drop("upto")
     )
-    candidates = spending.join(F.broadcast(crossing), ["date", "minute"])
+    candidates = spending.join(crossing, ["date", "minute"])
     summed = running_sums(
         candidates, ["date", "level"], ["ended_at", "id"], {"spent": "cost_usd"}
     )

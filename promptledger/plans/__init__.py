@@ -1 +1 @@
-"""Helpers that shape physical work: shared storage, spreading, ordered scans."""
+"""Helpers that shape physical work: shared storage, ordered scans."""

@@ -48,24 +48,36 @@ def load_payloads(
     fmt: str = "parquet",
     id_column: str = "payload_id",
     text_column: str = "text",
+    model_column: str | None = None,
 ) -> DataFrame:
-    """Payloads as ``(payload_id, text)``.
+    """Payloads as ``(payload_id, text)``, with ``model`` where a column for it is named.
 
-    ``text`` takes every file as one payload named by its path; ``parquet``, ``orc``
-    and ``json`` take one payload per record.
+    ``text`` takes every file as one payload, whose id is a 64-bit hash of its path;
+    ``parquet``, ``orc`` and ``json`` take one payload per record.
     """
     if fmt == "text":
         return spark.read.text(path, wholetext=True).select(
-            F.input_file_name().alias("payload_id"), F.col("value").alias("text")
+            F.xxhash64(F.input_file_name()).alias("payload_id"), F.col("value").alias("text")
         )
     if fmt == "json":
-        schema = f"`{id_column}` BIGINT, `{text_column}` STRING"
-        source = spark.read.schema(schema).json(path)
+        source = spark.read.schema(_payload_schema(id_column, text_column, model_column)).json(path)
     else:
         source = spark.read.format(fmt).load(path)
-    return source.select(
-        F.col(id_column).alias("payload_id"), F.col(text_column).alias("text")
-    )
+    return _as_payloads(source, id_column, text_column, model_column)
+
+
+def _payload_schema(id_column: str, text_column: str, model_column: str | None) -> str:
+    model = f", `{model_column}` STRING" if model_column else ""
+    return f"`{id_column}` BIGINT, `{text_column}` STRING{model}"
+
+
+def _as_payloads(
+    source: DataFrame, id_column: str, text_column: str, model_column: str | None
+) -> DataFrame:
+    named = {"payload_id": id_column, "text": text_column}
+    if model_column:
+        named["model"] = model_column
+    return source.select(*(F.col(column).alias(name) for name, column in named.items()))
 
 
 def stream_payloads(
@@ -74,13 +86,12 @@ def stream_payloads(
     fmt: str = "parquet",
     id_column: str = "payload_id",
     text_column: str = "text",
+    model_column: str | None = None,
 ) -> DataFrame:
     """Payloads as they arrive in a folder."""
-    schema = f"`{id_column}` BIGINT, `{text_column}` STRING"
+    schema = _payload_schema(id_column, text_column, model_column)
     arriving = spark.readStream.schema(schema).format(fmt).load(path)
-    return arriving.select(
-        F.col(id_column).alias("payload_id"), F.col(text_column).alias("text")
-    )
+    return _as_payloads(arriving, id_column, text_column, model_column)
 
 
 def stream_sessions(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -101,7 +112,14 @@ def load_sessions(spark: SparkSession, path: str, fmt: str = "parquet") -> DataF
 
 
 def write_sessions(sessions: DataFrame, path: str) -> None:
-    """Append to a stored ledger, in folders by the day sessions ended."""
+    """Append to a stored ledger, in folders by the day sessions ended.
+
+    Columns of other types would make the whole ledger unreadable, so they are refused.
+    """
+    kinds = dict(sessions.dtypes)
+    wrong = [f.name for f in SESSION_SCHEMA if kinds.get(f.name, f.dataType.simpleString()) != f.dataType.simpleString()]
+    if wrong:
+        raise ValueError(f"columns with another type than the ledger's: {wrong}")
     dated = sessions.withColumn(END_DATE, F.to_date("ended_at"))
     dated.write.mode("append").partitionBy(END_DATE).parquet(path)
 

@@ -4,25 +4,32 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from promptledger.operators.scrubbing import scrubbed
-from promptledger.plans.spread import spread
-from promptledger.plans.storage import fresh_path
-from promptledger.streaming.sinks import batch_writer, run_available
+from promptledger.streaming.sinks import batch_writer, run_available, stored_batches
 
+GATED = T.StructType(
+    [
+        T.StructField("payload_id", T.LongType()),
+        T.StructField("text", T.StringType()),
+        T.StructField("findings", T.LongType()),
+        T.StructField("blocked", T.BooleanType()),
+    ]
+)
 
-def stream_scrub(payloads: DataFrame, entropy: float = 4.5) -> DataFrame:
+
+def stream_scrub(payloads: DataFrame, progress: str, output: str, entropy: float = 4.5) -> DataFrame:
     """Clean text of arriving payloads, kept apart by whether anything was found.
 
     Stateless. One write per batch puts passed and blocked payloads in folders of their
-    own, so each payload is scanned once.
+    own under ``output``, so each payload is scanned once. The folder ``progress``
+    remembers what was read: a later run goes on with what has arrived since.
     """
-    spark = payloads.sparkSession
-    path = fresh_path(spark, "stream-scrub")
-    store = batch_writer(path, "blocked")
+    store = batch_writer(output, "blocked")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        gated = scrubbed(spread(batch, "payload_id"), None, entropy).select(
+        gated = scrubbed(batch, None, entropy).select(
             "payload_id",
             F.col("clean").alias("text"),
             F.size("findings").cast("bigint").alias("findings"),
@@ -30,6 +37,7 @@ def stream_scrub(payloads: DataFrame, entropy: float = 4.5) -> DataFrame:
         )
         store(gated, batch_id)
 
-    run_available(payloads, "scrub", "append", write)
-    stored = spark.read.parquet(path).drop("batch_id")
-    return stored.withColumn("blocked", F.col("blocked").cast("boolean"))
+    stored_batches(payloads.sparkSession, output, GATED, "blocked")
+    run_available(payloads, "append", write, progress)
+    stored = stored_batches(payloads.sparkSession, output, GATED, "blocked")
+    return stored.select(*GATED.fieldNames())

@@ -1,95 +1,104 @@
-"""Continuous daily spend, ticks with alerts, and idempotent ingest."""
+"""Continuous ledger: ended sessions, daily spend, ticks with alerts.
+
+Arriving sessions are stored batch by batch under ``output``; the folder ``progress``
+remembers what was read, so a later run goes on where the last one stopped. A session that
+ends again replaces itself: the newest end of an id counts, in whatever batch it arrives,
+and sums are taken after that. Sums over a stream's own windows could not take back an end.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from promptledger.operators.budget import alerts_from, burn_from, ticks_from
-from promptledger.operators.ledger import tokens_total
-from promptledger.plans.storage import fresh_path
+from promptledger.operators.budget import alerts_from, burn_from, tick_totals, ticks_from
+from promptledger.operators.ledger import daily_spend
 from promptledger.settings import DEFAULTS, Thresholds
-from promptledger.sources.pricing import USD, exact
-from promptledger.streaming.sinks import batch_writer, run_available
-
-
-def windowed_spend(sessions: DataFrame, width: str, lateness: str) -> DataFrame:
-    """Spend and tokens per event-time window of ended sessions."""
-    ended = sessions.where(F.col("ended_at").isNotNull())
-    return (
-        ended.withWatermark("ended_at", lateness)
-        .groupBy(F.window("ended_at", width).alias("w"))
-        .agg(
-            F.sum(exact(F.col("cost_usd"))).cast(USD).alias("spent"),
-            F.sum(tokens_total()).alias("tokens"),
-        )
-        .select(F.col("w.start").alias("start"), "spent", "tokens")
-    )
-
-
-def latest_windows(spark: SparkSession, path: str) -> DataFrame:
-    """The newest value of each window over all stored batches."""
-    stored = spark.read.parquet(path)
-    return (
-        stored.groupBy("start")
-        .agg(F.max_by(F.struct("spent", "tokens"), "batch_id").alias("v"))
-        .select("start", "v.spent", "v.tokens")
-    )
-
-
-def stream_daily_spend(sessions: DataFrame, lateness: str = "1 day") -> DataFrame:
-    """Daily spend of a ledger stream, late sessions within the watermark included.
-
-    Update mode emits a day again whenever it changes; the reader keeps the last value,
-    so a replayed batch changes nothing.
-    """
+from promptledger.sources.tables import SESSION_SCHEMA
+from promptledger.streaming.sinks import batch_writer, run_available, stored_batches
+
+SESSIONS, ALERTS = "sessions", "alerts"
+
+
+def newest_ends(sessions: DataFrame, *later: str) -> DataFrame:
+    """One row per id: the newest end, of equal ends the one later by the given columns."""
+    order = [F.col(c).desc() for c in ("ended_at", *later, "cost_usd")]
+    numbered = sessions.withColumn("_n", F.row_number().over(Window.partitionBy("id").orderBy(*order)))
+    return numbered.where("_n = 1").drop("_n")
+
+
+def stored_sessions(spark: SparkSession, output: str) -> DataFrame:
+    """The ended sessions that streams have stored, each id once."""
+    batches = stored_batches(spark, f"{output}/{SESSIONS}", SESSION_SCHEMA)
+    return newest_ends(batches, "batch_id").drop("batch_id")
+
+
+def stream_unique_sessions(sessions: DataFrame, progress: str, output: str) -> DataFrame:
+    """Ended sessions of a stream, each id with its newest end."""
+    return _run(sessions, progress, output, lambda batch_id: None)
+
+
+def _run(sessions: DataFrame, progress: str, output: str, after) -> DataFrame:
     spark = sessions.sparkSession
-    path = fresh_path(spark, "stream-daily")
-    run_available(
-        windowed_spend(sessions, "1 day", lateness), "daily", "update", batch_writer(path)
-    )
-    return latest_windows(spark, path).select(
-        F.to_date("start").alias("date"),
-        F.col("spent").cast("double").alias("cost_usd"),
-        F.col("tokens").alias("tokens_total"),
-    )
+    store = batch_writer(f"{output}/{SESSIONS}")
+    stored_sessions(spark, output)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        store(newest_ends(batch.select(*SESSION_SCHEMA.fieldNames())), batch_id)
+        after(batch_id)
+
+    run_available(sessions.where(F.col("ended_at").isNotNull()), "append", write, progress)
+    return stored_sessions(spark, output)
+
+
+def stream_daily_spend(sessions: DataFrame, progress: str, output: str) -> DataFrame:
+    """Daily spend of a ledger stream: date, cost_usd, tokens_total."""
+    return daily_spend(stream_unique_sessions(sessions, progress, output))
+
+
+ALERT_KEYS = ("date", "tick")
 
 
 def stream_alerts(
     sessions: DataFrame,
+    progress: str,
+    output: str,
     width_seconds: int = 3600,
-    lateness: str = "1 day",
     thresholds: Thresholds = DEFAULTS,
 ) -> DataFrame:
     """Budget state, burn rate and projection at each tick of a ledger stream.
 
-    The stream keeps tick totals only. Ordering between ticks, which streams cannot
-    express, happens on the stored totals.
+    Alerts are renewed with every batch, so a reader of ``output`` sees them while the
+    stream runs; only the newest two states are kept. Ordering between ticks, which streams
+    cannot express, happens on tick totals, one row per tick.
     """
     spark = sessions.sparkSession
-    path = fresh_path(spark, "stream-ticks")
-    totals = windowed_spend(sessions, f"{width_seconds} seconds", lateness)
-    run_available(totals, "ticks", "update", batch_writer(path))
-    second = F.unix_timestamp("start") - F.unix_timestamp(F.date_trunc("day", "start"))
-    stored = latest_windows(spark, path).select(
-        F.to_date("start").alias("date"),
-        F.floor(second / F.lit(width_seconds)).cast("int").alias("tick"),
-        "spent",
-        "tokens",
-    )
-    burned = burn_from(ticks_from(stored, width_seconds), width_seconds)
+    path = f"{output}/{ALERTS}"
+
+    def renew(batch_id: int) -> None:
+        alerts = alerts_of(stored_sessions(spark, output), width_seconds, thresholds)
+        alerts.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        # Replays renew the same state; a reader of the one before is not disturbed.
+        alerts.limit(0).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id - 2}")
+
+    _run(sessions, progress, output, renew)
+    return stored_alerts(spark, output, width_seconds, thresholds)
+
+
+def alerts_of(sessions: DataFrame, width_seconds: int, thresholds: Thresholds = DEFAULTS) -> DataFrame:
+    burned = burn_from(ticks_from(tick_totals(sessions, width_seconds), width_seconds), width_seconds)
     priced = burned.withColumn("spend_usd", F.col("spend").cast("double")).drop("spend")
     return alerts_from(priced, thresholds)
 
 
-def stream_unique_sessions(sessions: DataFrame, lateness: str = "1 day") -> DataFrame:
-    """Ended sessions of a stream, exact repeats of an id dropped."""
-    spark = sessions.sparkSession
-    path = fresh_path(spark, "stream-sessions")
-    unique = (
-        sessions.where(F.col("ended_at").isNotNull())
-        .withWatermark("ended_at", lateness)
-        .dropDuplicatesWithinWatermark(["id"])
-    )
-    run_available(unique, "sessions", "append", batch_writer(path))
-    return spark.read.parquet(path).drop("batch_id")
+def stored_alerts(
+    spark: SparkSession, output: str, width_seconds: int = 3600, thresholds: Thresholds = DEFAULTS
+) -> DataFrame:
+    """The newest state of the alerts."""
+    nothing = spark.createDataFrame([], SESSION_SCHEMA)
+    schema = T.StructType(alerts_of(nothing, width_seconds, thresholds).schema.fields)
+    states = stored_batches(spark, f"{output}/{ALERTS}", schema)
+    newest = states.agg(F.max("batch_id").alias("newest"))
+    return states.join(newest, F.col("batch_id") == F.col("newest")).drop("batch_id", "newest")

@@ -1,19 +1,22 @@
-"""Replay-safe parquet sinks for foreachBatch."""
+"""Replay-safe parquet sinks for foreachBatch, and folders that outlive a run."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
-from promptledger.plans.storage import fresh_path
 
+def run_available(stream: DataFrame, mode: str, write: Callable, progress: str) -> None:
+    """Process what has arrived since the last run, then stop.
 
-def run_available(stream: DataFrame, name: str, mode: str, write: Callable) -> None:
-    """Process everything available now, then stop; ``write(batch, batch_id)`` stores it."""
+    ``write(batch, batch_id)`` stores a batch. ``progress`` is the folder that remembers
+    how far earlier runs came; the same folder resumes, another one starts anew.
+    """
     query = (
         stream.writeStream.outputMode(mode)
-        .option("checkpointLocation", fresh_path(stream.sparkSession, f"{name}-progress"))
+        .option("checkpointLocation", progress)
         .trigger(availableNow=True)
         .foreachBatch(write)
         .start()
@@ -31,3 +34,15 @@ def batch_writer(path: str, *partitions: str) -> Callable[[DataFrame, int], None
         writer.parquet(f"{path}/batch_id={batch_id}")
 
     return write
+
+
+def stored_batches(
+    spark: SparkSession, path: str, schema: T.StructType, *partitions: str
+) -> DataFrame:
+    """All rows stored in a folder with their ``batch_id``; none before the first batch."""
+    first = spark.createDataFrame([], schema).write.mode("ignore")
+    if partitions:
+        first = first.partitionBy(*partitions)
+    first.parquet(f"{path}/batch_id=-1")
+    numbered = T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])
+    return spark.read.schema(numbered).parquet(path)

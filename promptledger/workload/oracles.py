@@ -266,22 +266,22 @@ LONG = """long_lined AS (SELECT payload_id, i AS line, strlen(line) AS bytes FRO
 WARNINGS = f"""raised AS (
  SELECT payload_id, 1 AS feed, repeat_line AS pos, 'warning' AS severity,
   'DUPLICATE_BLOCK' AS code, repeat_line AS line,
-  'Duplicate content block detected (first at line ' || first_line
-   || ', repeated near line ' || repeat_line || ')' AS message,
-  'Remove repeated instructions to save tokens' AS hint FROM repeats
+  'Lines repeat an earlier block (first at line ' || first_line
+   || ', again at line ' || repeat_line || ')' AS message,
+  'Leave out what is said before to save tokens' AS hint FROM repeats
  UNION ALL
  SELECT payload_id, 2, line, 'info', 'LONG_LINE', line,
-  'Line ' || line || ' is ' || bytes || ' chars — may be raw pasted data',
-  'Consider summarising or removing raw data before sending' FROM long_lined
+  'Line ' || line || ' is ' || bytes || ' bytes long, perhaps pasted data',
+  'Try summarising long data, or leave it out' FROM long_lined
  UNION ALL
  SELECT payload_id, 3, 1, 'warning', 'CONTEXT_FILL', NULL,
-  'Context is ' || n || ' tokens — above 60% fill threshold',
-  'Compress the payload before sending'
+  'Context holds ' || n || ' tokens, more than 60000',
+  'Shorten the text first'
   FROM (SELECT payload_id, {tokens('text')} AS n FROM planted) WHERE n > 60000
  UNION ALL
  SELECT payload_id, 4, seq, 'error', 'SECRET_' || upper(type), line,
-  'Potential ' || type || ' detected at line ' || line || ': ' || match,
-  'Redact the payload before sending' FROM findings),
+  'Possible ' || type || ' on line ' || line || ': ' || match,
+  'Scrub the text first' FROM findings),
 warned AS (SELECT payload_id, row_number() OVER (PARTITION BY payload_id ORDER BY feed, pos)
   AS seq, severity, code, CAST(line AS BIGINT) AS line, message, hint FROM raised)"""
 WARNING_CTES = ctes(

@@ -720,28 +720,40 @@ def session_budget(spark, sf_dir):
 # --- streams -----------------------------------------------------------------------
 
 
+def folders(spark, name):
+    """Fresh folders for the progress and the output of one run."""
+    return fresh_path(spark, f"{name}-progress"), fresh_path(spark, name)
+
+
 @query
 def stream_daily_spend(spark, sf_dir):
-    return shown_days(live.stream_daily_spend(views.ledger_stream(spark, sf_dir)))
+    stream = views.ledger_stream(spark, sf_dir)
+    return shown_days(live.stream_daily_spend(stream, *folders(spark, "daily")))
 
 
 @query
 def stream_alerts(spark, sf_dir):
-    alerts = live.stream_alerts(
-        views.ledger_stream(spark, sf_dir), 3600, thresholds=REPORT_LIMITS
-    )
+    stream = views.ledger_stream(spark, sf_dir)
+    alerts = live.stream_alerts(stream, *folders(spark, "alerts"), 3600, REPORT_LIMITS)
     return shown_days(alerts)
 
 
 @query
 def stream_scrub(spark, sf_dir):
-    found = gate.stream_scrub(views.planted_stream(spark, sf_dir))
+    found = gate.stream_scrub(views.planted_stream(spark, sf_dir), *folders(spark, "scrub"))
     return found.select("payload_id", digest("text").alias("sha256"), "findings", "blocked")
 
 
 @query
 def stream_ledger_dedup(spark, sf_dir):
+    """Every session ends twice, first an hour earlier at another cost."""
     sessions = views.ledger_stream(spark, sf_dir)
-    twice = sessions.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
-    unique = live.stream_unique_sessions(twice)
+    early = F.struct(
+        (F.col("ended_at") - F.expr("INTERVAL 1 HOUR")).alias("ended_at"), (F.col("cost_usd") + 1).alias("cost_usd")
+    )
+    ends = F.explode(F.array(early, F.struct("ended_at", "cost_usd")))
+    twice = sessions.withColumn("end", ends).withColumns(
+        {"ended_at": F.col("end.ended_at"), "cost_usd": F.col("end.cost_usd")}
+    )
+    unique = live.stream_unique_sessions(twice.drop("end"), *folders(spark, "sessions"))
     return shown_days(ledger.daily_spend(unique))

@@ -66,7 +66,7 @@ def test_warnings_come_in_report_order(texts):
     ]
     assert [r.severity for r in rows] == ["warning", "warning", "info", "error"]
     assert rows[0].message == (
-        "Duplicate content block detected (first at line 1, repeated near line 8)"
+        "Lines repeat an earlier block (first at line 1, again at line 8)"
     )
 
 

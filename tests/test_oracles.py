@@ -3,11 +3,12 @@
 import duckdb
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from promptledger.workload.oracles import ORACLES
+from promptledger.workload.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "documents conversations events pages".split()
-QUERIES, ORACLES = queries(), oracle_sql()
 
 
 @pytest.fixture(scope="module")

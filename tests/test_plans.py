@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 from promptledger.operators import caching, ledger, payloads, redundancy, scrubbing
 from promptledger.operators import pairs as pairing
 from promptledger.plans import storage
-from promptledger.plans.spread import spread
 from promptledger.sources import tables
 from promptledger.sources.pricing import pricing
 from promptledger.workload import views
@@ -116,13 +115,6 @@ def test_shared_blocks_shuffle_hashes_only(documents):
     assert "text" not in exchange
 
 
-def test_spread_leaves_large_inputs_alone(spark):
-    many = spark.range(0, 100, 1, 64).withColumnRenamed("id", "payload_id")
-    few = spark.range(0, 100, 1, 2).withColumnRenamed("id", "payload_id")
-    assert "Exchange" not in plan_of(spread(many, "payload_id"))
-    assert "Exchange" in plan_of(spread(few, "payload_id"))
-
-
 def test_shared_folder_comes_from_the_session(spark):
     assert storage.shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
     assert storage.fresh_path(spark, "a") != storage.fresh_path(spark, "a")

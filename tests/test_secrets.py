@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 
@@ -140,3 +141,29 @@ def test_counts_by_type(texts):
     table = texts("a@b.co c@d.ee", "a@b.co", "123-45-6789")
     rows = {r.type: (r.findings, r.payloads) for r in scrubbing.findings_by_type(table).collect()}
     assert rows == {"email": (3, 2), "ssn": (1, 1)}
+
+
+@pytest.mark.parametrize(
+    ("kind", "unit", "sizes"),
+    [("ssh_key", "-----BEGIN PRIVATE KEY-----\n", (4_000, 32_000)), ("jwt", "eyJ", (20_000, 160_000))],
+)
+def test_opened_and_never_closed_is_linear(texts, kind, unit, sizes):
+    def seconds(count):
+        table = scrubbing.redacted(texts(unit * count), (kind,))
+        begin = time.perf_counter()
+        assert table.first().clean == unit * count
+        return time.perf_counter() - begin
+
+    seconds(10)
+    small, large = map(seconds, sizes)
+    # Eight times the text; quadratic work would take 64 times as long.
+    assert large < 20 * max(small, 0.2)
+
+
+def test_keys_before_an_unclosed_one_are_found(texts):
+    key = "-----BEGIN RSA PRIVATE KEY-----\nx\n-----END RSA PRIVATE KEY-----"
+    table = texts(f"a {key} b {key}\n-----BEGIN PRIVATE KEY-----\nc", "x-eyJeyJ" + "a" * 20 + ".eyJ" + "b" * 12 + "." + "c" * 12)
+    rows = scrubbing.redacted(table, ("ssh_key", "jwt")).orderBy("payload_id").collect()
+    label = "[REDACTED:SSH_PRIVATE_KEY]"
+    assert rows[0].clean == f"a {label} b {label}\n-----BEGIN PRIVATE KEY-----\nc"
+    assert rows[1].clean == "x-[REDACTED:JWT]"

@@ -1,5 +1,8 @@
+import pytest
+
 from promptledger.operators import reporting, scrubbing
 from promptledger.plans.storage import fresh_path
+from promptledger.operators import ledger
 from promptledger.sources import tables
 from promptledger.workload import views
 
@@ -11,7 +14,7 @@ def test_whole_files_are_payloads(spark, tmp_path):
     (tmp_path / "b.txt").write_text("mail a@b.co")
     rows = tables.load_payloads(spark, str(tmp_path), "text").collect()
     assert sorted(r.text for r in rows) == ["mail a@b.co", "one\ntwo\n"]
-    assert all(r.payload_id.startswith("file:") for r in rows)
+    assert len({r.payload_id for r in rows}) == len(rows) and all(isinstance(r.payload_id, int) for r in rows)
 
 
 def test_json_payloads(spark, tmp_path):
@@ -47,3 +50,24 @@ def test_audit_lines_hold_hashes_only(spark, texts):
     lines = [r.value for r in spark.read.text(path).collect()]
     digest = "2cf24dba5fb0a30e26e83b2ac5b9e29e1b161e5c1fa7425e73043362938b9824"
     assert len(lines) == 2 and all(x.endswith(f"Z sha256={digest}") for x in lines)
+
+
+def test_text_files_become_ledger_sessions(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("some words")
+    payloads = tables.load_payloads(spark, str(tmp_path / "in"), "text")
+    sessions = ledger.analysis_sessions(payloads, "files")
+    tables.write_sessions(sessions, str(tmp_path / "ledger"))
+    assert tables.load_sessions(spark, str(tmp_path / "ledger")).first().tag == "files"
+
+
+def test_other_types_are_refused(spark, tmp_path):
+    wrong = spark.sql("SELECT 'x' AS id, current_timestamp() AS ended_at")
+    with pytest.raises(ValueError, match="id"):
+        tables.write_sessions(wrong, str(tmp_path / "ledger"))
+
+
+def test_model_of_each_payload(spark, tmp_path):
+    path = str(tmp_path / "p")
+    spark.sql("SELECT 1L AS payload_id, 'a b' AS text, 'gpt-4o' AS m").write.parquet(path)
+    assert tables.load_payloads(spark, path, model_column="m").first().model == "gpt-4o"
