@@ -7,8 +7,9 @@ packed by itself, which can waste less than one sequence per group.
 
 Within a group best fit places the pieces by falling length. A local search then empties
 the least full sequence: it moves a piece out, exchanges one piece for a smaller one, one
-for two smaller in sum, or two for one smaller than both. Each step increases the sum of
-squared fills, so the search ends; it stops when the least full ones can't be emptied.
+for two smaller in sum, or two for one smaller than both. If none of the least full ones can
+be emptied, they exchange pieces among themselves to make some fuller. Each step increases
+the sum of squared fills, so the search ends.
 
 Result: one row per piece. Null and empty texts hold the end id only. Repeated rows are
 packed as often as they occur. An empty table gives an empty result. Other columns of the
@@ -29,8 +30,10 @@ from promptledger.llm.tokens import token_chunks
 
 CAPACITY = 2048
 END_ID = 0
-#: Sequences in a row that the search may fail to empty before it stops.
-TRIES = 32
+#: The search tries to empty so many of the least full sequences, and lets them exchange
+#: pieces among themselves so many times, before it stops.
+TRIES = 8
+ROUNDS = 6
 #: Pieces that one task packs together.
 GROUP_PIECES = 16_384
 
@@ -117,16 +120,45 @@ class _Search:
     def run(self) -> None:
         spare = int((self.capacity - self.fill[self.fill > 0]).sum())
         stuck: set[int] = set()
-        while spare >= self.capacity and len(stuck) < TRIES:
-            used = [b for b in np.flatnonzero((self.fill > 0) & (self.fill < self.capacity)) if b not in stuck]
-            if not used:
-                return
-            victim = min(used, key=self.fill.__getitem__)
-            if self.empty(victim):
-                spare -= self.capacity
+        rounds = 0
+        while spare >= self.capacity and rounds < ROUNDS:
+            used = [b for b in self.least_full(TRIES) if b not in stuck]
+            if used:
+                if self.empty(used[0]):
+                    spare -= self.capacity
+                    stuck.clear()
+                else:
+                    stuck.add(used[0])
+            elif self.fill_up():
                 stuck.clear()
+                rounds += 1
             else:
-                stuck.add(victim)
+                return
+
+    def least_full(self, count: int) -> list[int]:
+        """The least full of the bins that are neither empty nor full."""
+        used = np.flatnonzero((self.fill > 0) & (self.fill < self.capacity))
+        return used[np.argsort(self.fill[used], kind="stable")][:count].tolist()
+
+    def fill_up(self) -> bool:
+        """Exchange one for one between the least full bins while that makes any fuller."""
+        bins, lengths, fill = self.bins, self.lengths, self.fill
+        changed = False
+        for target in reversed(self.least_full(TRIES)):
+            low = self.least_full(TRIES)
+            items = self.pool[np.isin(bins[self.pool], low)]
+            own, other = items[bins[items] == target], items[bins[items] != target]
+            if not len(own) or not len(other):
+                continue
+            more = lengths[other] - lengths[own][:, None]
+            better = (more > 0) & (more <= self.capacity - fill[target]) & (fill[target] + more > fill[bins[other]])
+            if better.any():
+                i, j = np.unravel_index(np.argmax(np.where(better, more, 0)), more.shape)
+                giver = int(bins[other[j]])
+                self.put(own[i], giver)
+                self.put(other[j], target)
+                changed = True
+        return changed
 
     def empty(self, victim: int) -> bool:
         """Whether steps that each leave less in the bin have emptied it."""

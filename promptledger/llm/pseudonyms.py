@@ -66,10 +66,6 @@ FIRST_DAY = "1800-01-01"
 DAY_BASES = (189, 773)
 
 
-def text_of(value: str) -> Column:
-    return F.lit(value)
-
-
 def digest(key: str, kind: str, *parts: Column) -> Column:
     """Hexadecimal keyed hash of the parts."""
     return F.sha2(F.concat_ws(":", F.lit(key), F.lit(kind), *parts), 256)
@@ -185,7 +181,7 @@ def rest_by_97(account: Column, country_and_check: Column) -> Column:
     """The remainder of an IBAN whose first four characters have moved to its end."""
 
     def add(total: Column, c: Column) -> Column:
-        return F.when(c.between("0", "9"), (total * 10 + F.expr("0") + F.ascii(c) - 48) % 97).otherwise(
+        return F.when(c.between("0", "9"), (total * 10 + F.ascii(c) - 48) % 97).otherwise(
             (total * 100 + F.ascii(c) - 55) % 97
         )
 
@@ -300,17 +296,24 @@ def pseudonym(value: Column, key: str) -> Column:
 
 def pseudonymised(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Replace personal data in the text column; adds ``n_values``."""
+    old, new = (_free_name(docs, name) for name in ("_found", "_new"))
     found = F.when(F.col(text).rlike(HINT), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
-    named = docs.drop("n_values").withColumn("_found", found)
-    values = F.transform("_found", lambda m: pseudonym(m, key))
-    changed = named.withColumn("_new", F.when(F.size("_found") > 0, values))
+    named = docs.drop("n_values").withColumn(old, found)
+    values = F.transform(old, lambda m: pseudonym(m, key))
+    changed = named.withColumn(new, F.when(F.size(old) > 0, values))
     gaps = F.split(F.col(text), ANY, -1)
-    filled = F.zip_with("_found", "_new", lambda old, new: F.coalesce(new, old))
-    joined = F.array_join(F.flatten(F.zip_with(gaps, filled, lambda gap, value: F.array(gap, F.coalesce(value, F.lit(""))))), "")
-    count = F.coalesce(F.size(F.filter("_new", lambda v: v.isNotNull())), F.lit(0))
+    filled = F.zip_with(old, new, lambda before, after: F.coalesce(after, before))
+    parts = F.zip_with(gaps, filled, lambda gap, value: F.array(gap, F.coalesce(value, F.lit(""))))
+    replaced = F.size(F.filter(new, lambda v: v.isNotNull()))
     return changed.withColumns(
         {
-            text: F.when(F.size("_found") > 0, joined).otherwise(F.col(text)),
-            "n_values": F.when(F.col("_new").isNull(), 0).otherwise(count).cast("bigint"),
+            text: F.when(F.size(old) > 0, F.array_join(F.flatten(parts), "")).otherwise(F.col(text)),
+            "n_values": F.when(F.col(new).isNull(), 0).otherwise(replaced).cast("bigint"),
         }
-    ).drop("_found", "_new")
+    ).drop(old, new)
+
+
+def _free_name(docs: DataFrame, name: str) -> str:
+    while name in docs.columns:
+        name += "_"
+    return name

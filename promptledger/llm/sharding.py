@@ -92,8 +92,9 @@ def shuffled(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFra
     spark = docs.sparkSession
     docs = docs.drop("shard", "slot")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    whole = F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))
-    keyed = docs.withColumn("_key", whole).withColumn(
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    # Kept in one struct, columns of any name do not clash with those added here.
+    keyed = docs.select(F.struct(*columns).alias("_row"), F.xxhash64(*columns).alias("_key")).withColumn(
         "_part", F.pmod(F.xxhash64("_key", F.lit(seed)), F.lit(parts)).cast("int")
     )
     known = {r["_part"]: r["count"] for r in keyed.groupBy("_part").count().collect()}
@@ -127,5 +128,5 @@ def shuffled(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFra
         dealt.withColumn("_again", again)
         .join(F.broadcast(first), ["shard", "_chunk"])
         .withColumn("slot", F.col("_first") + F.col("_again") - 1)
-        .select(*(F.col(f"`{c}`") for c in docs.columns), "shard", "slot")
+        .select("_row.*", "shard", "slot")
     )
