@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from promptledger.operators.ledger import tokens_total
 from promptledger.plans.ordered import running_sums
+from promptledger.plans.storage import stored
 from promptledger.settings import DEFAULTS, Thresholds
 from promptledger.sources.pricing import USD, exact
 
@@ -111,6 +112,10 @@ def first_breach(sessions: DataFrame, thresholds: Thresholds = DEFAULTS) -> Data
     )
 
 
+#: Calendar days that ticks may span; a mistaken date fails instead of making more.
+MOST_DAYS = 36_600
+
+
 def tick_totals(sessions: DataFrame, width_seconds: int) -> DataFrame:
     """Spend and tokens per tick, a slice of the day of fixed width."""
     if DAY_SECONDS % width_seconds:
@@ -132,9 +137,15 @@ def ticks_from(totals: DataFrame, width_seconds: int) -> DataFrame:
     """
     span = totals.agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
     last = DAY_SECONDS // width_seconds - 1
+    too_long = F.raise_error(F.concat(F.lit("ticks of more days than allowed: "), "lo", F.lit(" to "), "hi"))
+    days = F.when(F.datediff("hi", "lo") < MOST_DAYS, F.expr("sequence(lo, hi, interval 1 day)")).otherwise(
+        too_long.cast("array<date>")
+    )
+    # One row makes the days; dealt out, many tasks make their ticks.
     grid = (
         span.where("lo IS NOT NULL")
-        .select(F.explode(F.expr("sequence(lo, hi, interval 1 day)")).alias("date"))
+        .select(F.explode(days).alias("date"))
+        .repartition("date")
         .select("date", F.explode(F.sequence(F.lit(0), F.lit(last))).alias("tick"))
     )
     upto = (
@@ -176,13 +187,13 @@ def burn_from(ticks: DataFrame, width_seconds: int) -> DataFrame:
 
 def spend_ticks(sessions: DataFrame, width_seconds: int = 3600) -> DataFrame:
     """Running day spend at each tick."""
-    ticks = ticks_from(tick_totals(sessions, width_seconds), width_seconds)
+    ticks = ticks_from(stored(tick_totals(sessions, width_seconds), "ticks"), width_seconds)
     return ticks.withColumn("spend_usd", F.col("spend").cast("double")).drop("spend")
 
 
 def burn_rate(sessions: DataFrame, width_seconds: int = 3600) -> DataFrame:
     """Running day spend and burn rate at each tick."""
-    ticks = ticks_from(tick_totals(sessions, width_seconds), width_seconds)
+    ticks = ticks_from(stored(tick_totals(sessions, width_seconds), "ticks"), width_seconds)
     burned = burn_from(ticks, width_seconds)
     return burned.withColumn("spend_usd", F.col("spend").cast("double")).drop("spend")
 

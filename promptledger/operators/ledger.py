@@ -68,8 +68,13 @@ def newest_first(sessions: DataFrame) -> DataFrame:
     return sessions.orderBy(F.desc("id"))
 
 
-def select_sessions(sessions: DataFrame, which: str | int = "last") -> DataFrame:
-    """The sessions to report: ``"all"`` newest first, ``"last"``, or one id."""
+def select_sessions(
+    sessions: DataFrame, which: str | int = "last", tag: str | None = None
+) -> DataFrame:
+    """The sessions to report, of one tag if given: ``"all"`` newest first, ``"last"``, or
+    one id."""
+    if tag is not None:
+        sessions = sessions.where(F.col("tag") == tag)
     if which == "all":
         return newest_first(sessions)
     if which in ("last", ""):

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from promptledger import functions as fn
+from promptledger.plans.storage import stored
 from promptledger.settings import DEFAULTS, Thresholds
 
 
@@ -35,7 +36,10 @@ def shared_blocks(payloads: DataFrame, thresholds: Thresholds = DEFAULTS) -> Dat
     and boilerplate found everywhere is combined before the shuffle. The aggregates hold
     plain numbers, which keeps them in a hash table; a struct would force a sort.
     """
-    blocks = hashed_blocks(payloads, thresholds)
+    return _shared(hashed_blocks(payloads, thresholds))
+
+
+def _shared(blocks: DataFrame) -> DataFrame:
     grouped = blocks.groupBy("key", "key2").agg(
         F.min("payload_id").alias("first_payload"),
         F.min_by("first_line", "payload_id").alias("first_line"),
@@ -52,24 +56,16 @@ def shared_blocks(payloads: DataFrame, thresholds: Thresholds = DEFAULTS) -> Dat
     )
 
 
-def shared_block_members(
-    payloads: DataFrame, thresholds: Thresholds = DEFAULTS, salts: int = 16
-) -> DataFrame:
+def shared_block_members(payloads: DataFrame, thresholds: Thresholds = DEFAULTS) -> DataFrame:
     """Every payload that holds a corpus-wide repeated window, with its first holder.
 
-    The member side is split by payload over ``salts`` sub-keys and the much smaller
-    shared side is repeated for each of them, so a block that sits in a third of all
-    payloads is joined by many tasks.
+    Windows are hashed once; keys and positions are stored. So is the much smaller shared
+    side: a join of two stored tables is one whose hot keys adaptive execution can split,
+    so a block that sits in a third of all payloads is joined by many tasks.
     """
-    salt = F.pmod(F.xxhash64("payload_id"), F.lit(salts)).cast("int")
-    members = hashed_blocks(payloads, thresholds).withColumn("salt", salt)
-    shared = (
-        shared_blocks(payloads, thresholds)
-        .where("payloads > 1")
-        .withColumnRenamed("first_line", "source_line")
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    )
-    joined = members.join(shared, ["key", "key2", "salt"])
+    members = stored(hashed_blocks(payloads, thresholds), "blocks")
+    shared = stored(_shared(members).where("payloads > 1"), "shared-blocks")
+    joined = members.join(shared.withColumnRenamed("first_line", "source_line"), ["key", "key2"])
     return joined.select(
         "payload_id", "first_line", "copies", "first_payload", "source_line", "payloads"
     )

@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from promptledger.operators.budget import alerts_from, burn_from, tick_totals, ticks_from
 from promptledger.operators.ledger import daily_spend
+from promptledger.plans.storage import stored
 from promptledger.settings import DEFAULTS, Thresholds
 from promptledger.sources.tables import SESSION_SCHEMA
 from promptledger.streaming.sinks import batch_writer, run_available, stored_batches
@@ -88,7 +89,8 @@ def stream_alerts(
 
 
 def alerts_of(sessions: DataFrame, width_seconds: int, thresholds: Thresholds = DEFAULTS) -> DataFrame:
-    burned = burn_from(ticks_from(tick_totals(sessions, width_seconds), width_seconds), width_seconds)
+    totals = stored(tick_totals(sessions, width_seconds), "ticks")
+    burned = burn_from(ticks_from(totals, width_seconds), width_seconds)
     priced = burned.withColumn("spend_usd", F.col("spend").cast("double")).drop("spend")
     return alerts_from(priced, thresholds)
 

@@ -671,6 +671,7 @@ ORACLES["session_last"] = LEDGER_CTES + (
     f"SELECT {_SHOWN} FROM ledger WHERE id = (SELECT max(id) FROM ledger)"
 )
 ORACLES["sessions_newest"] = LEDGER_CTES + f"SELECT {_SHOWN} FROM ledger ORDER BY id DESC"
+ORACLES["sessions_selected"] = LEDGER_CTES + f"SELECT {_SHOWN} FROM ledger WHERE tag = 'purchase'"
 _DAILY = LEDGER_CTES.rstrip() + f",\n{DAILY}\n"
 _DAY = "CAST(date AS VARCHAR) AS date"
 ORACLES["daily_spend"] = _DAILY + f"SELECT {_DAY}, cost_usd, tokens_total FROM daily"

@@ -562,6 +562,11 @@ def sessions_newest(spark, sf_dir):
     return shown_sessions(ledger.newest_first(views.ledger(spark, sf_dir)))
 
 
+@query
+def sessions_selected(spark, sf_dir):
+    return shown_sessions(ledger.select_sessions(views.ledger(spark, sf_dir), "all", "purchase"))
+
+
 @query
 def daily_spend(spark, sf_dir):
     return shown_days(ledger.daily_spend(views.ledger(spark, sf_dir)))
