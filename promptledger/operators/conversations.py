@@ -92,7 +92,8 @@ def conversation_sections(turns: DataFrame) -> DataFrame:
         labelled.withColumn("part", F.sum("opens").over(upto))
         .groupBy("conv_id", CHUNK, "part")
         .agg(
-            F.first("type").alias("type"),
+            # A section has one type; as a number it stays in a hash aggregate.
+            F.max((F.col("type") == DYNAMIC).cast("int")).alias("dynamic"),
             F.sum("opens").alias("opens"),
             F.min("line").alias("line_start"),
             F.max("line").alias("line_end"),
@@ -113,7 +114,7 @@ def conversation_sections(turns: DataFrame) -> DataFrame:
         .withColumn("island", F.col("base") + F.col("part"))
         .groupBy("conv_id", "island")
         .agg(
-            F.first("type").alias("type"),
+            F.max("dynamic").alias("dynamic"),
             F.min("line_start").alias("line_start"),
             F.max("line_end").alias("line_end"),
             F.sum("non_space").alias("non_space"),
@@ -123,7 +124,7 @@ def conversation_sections(turns: DataFrame) -> DataFrame:
     # A blank-only section can only be the first one, and leaves no other trace.
     return whole.where("non_space > 0").select(
         "conv_id",
-        "type",
+        F.when(F.col("dynamic") == 1, DYNAMIC).otherwise(STABLE).alias("type"),
         "line_start",
         "line_end",
         fn.tokens_from("non_space", "words").alias("tokens"),
