@@ -263,6 +263,7 @@ def links_in_clusters(members: DataFrame) -> DataFrame:
             F.max(F.struct("degree", F.negative("rep").alias("rep"))).alias("top"),
         ),
         "cluster-sizes",
+        members.count(),
     )
     small_total = sizes.where(F.col("shingles") <= TILE_SHINGLES).agg(F.sum("shingles")).first()[0] or 0
     workers = members.sparkSession.sparkContext.defaultParallelism
@@ -335,19 +336,24 @@ def links_in_clusters(members: DataFrame) -> DataFrame:
 def similarity_components(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest linked id)."""
     signed = stored(signatures(docs), "signatures")
+    rows = signed.count()
     classes = stored(
         signed.where("n_shingles > 0")
         .groupBy("fp1", "fp2", "n_shingles")
         .agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")),
         "classes",
+        rows * BANDS // 4,
     )
     keys = classes.select("rep", F.explode("bands").alias("key"))
     leaders = stored(
         keys.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("holders")).where("holders > 1"),
         "leaders",
+        rows * BANDS,
     )
     met = stored(
-        keys.join(leaders, "key").groupBy("rep", "leader").agg(F.sum("holders").alias("holders")), "meetings"
+        keys.join(leaders, "key").groupBy("rep", "leader").agg(F.sum("holders").alias("holders")),
+        "meetings",
+        rows * BANDS,
     )
     clusters = components(met.select(F.col("rep").alias("a"), F.col("leader").alias("b")))
     degrees = met.groupBy("rep").agg(F.sum("holders").alias("degree"))
@@ -356,6 +362,7 @@ def similarity_components(docs: DataFrame) -> DataFrame:
         .join(degrees, "rep")
         .join(classes.select("rep", "n_shingles"), "rep"),
         "members",
+        rows,
     )
     texts = docs.select(F.col("doc_id").cast("bigint").alias("rep"), F.col("text").cast("string"))
     # Shuffled at every size: a plan that moves texts only beyond some size is no plan.
@@ -368,6 +375,7 @@ def similarity_components(docs: DataFrame) -> DataFrame:
         .join(roots, "rep", "left")
         .select("fp1", "fp2", "n_shingles", F.coalesce("component", "rep").alias("component_id")),
         "class-components",
+        rows,
     )
     return signed.join(found, ["fp1", "fp2", "n_shingles"], "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
@@ -383,6 +391,7 @@ def one_per_group(docs: DataFrame) -> DataFrame:
         .agg(F.min(F.col("component_id")).alias("component_id"), F.count("*").alias("rows"))
         .where("doc_id <> component_id or rows > 1"),
         "not-alone",
+        docs.count(),
     )
     # Shuffled at every size, as the texts of candidates are.
     single = docs.join(gone.select("doc_id").hint("shuffle_hash"), "doc_id", "left_anti")

@@ -8,25 +8,36 @@ from pyspark.sql import functions as F
 from promptledger.plans.storage import fresh_path
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+#: Narrow rows that one task writes of a table whose size is known.
+ROWS_PER_TASK = 500_000
+
+
+def tasks_for(df: DataFrame, rows: int) -> int:
+    """Tasks for so many narrow rows; their number grows with the rows."""
+    return max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-rows // ROWS_PER_TASK))
+
+
+def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write to the folder in ``spark.checkpoint.dir`` and read back.
 
     Later plans start from the files, so a lost executor repeats only what follows, and
     joins on them shuffle both sides, which lets adaptive execution split a hot key.
+    ``rows``, at most how many narrow rows there are, keeps tasks and files few.
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(tasks_for(df, rows))).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _are_stars(edges: DataFrame) -> bool:
+def _are_stars(edges: DataFrame, rows: int) -> bool:
     """Whether each node has one smaller neighbour at most, which has none itself."""
     ends = edges.select(F.col("v").alias("node"), F.lit(1).alias("lower"), F.lit(0).alias("upper")).unionAll(
         edges.select("u", F.lit(0), F.lit(1))
     )
     ends = ends.groupBy("node").agg(F.sum("lower").alias("lower"), F.max("upper").alias("upper"))
-    return ends.where("lower > 1 or (lower > 0 and upper > 0)").isEmpty()
+    odd = ends.where("lower > 1 or (lower > 0 and upper > 0)").coalesce(tasks_for(edges, rows))
+    return odd.count() == 0
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -43,17 +54,19 @@ def components(links: DataFrame) -> DataFrame:
         links.where(F.col("a") != F.col("b")).select(high.alias("v"), low.alias("u")).distinct(),
         "links",
     )
-    while not _are_stars(edges):
+    rows = 2 * edges.count()  # a round makes no more than one for each link and node
+    while not _are_stars(edges, rows):
         both = edges.select("v", "u").unionAll(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))
         least = stored(
-            both.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("m")), "smallest"
+            both.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("m")), "smallest", rows
         )
         large = stored(
             both.where("u > v").join(least, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).distinct(),
             "large-star",
+            rows,
         )
-        least = stored(large.groupBy("v").agg(F.min("u").alias("m")), "smallest")
+        least = stored(large.groupBy("v").agg(F.min("u").alias("m")), "smallest", rows)
         small = large.join(least, "v").where("u <> m").select(F.col("u").alias("v"), F.col("m").alias("u"))
-        edges = stored(small.unionAll(least.select("v", F.col("m").alias("u"))).distinct(), "links")
+        edges = stored(small.unionAll(least.select("v", F.col("m").alias("u"))).distinct(), "links", rows)
     roots = edges.select(F.col("u").alias("node")).distinct().withColumn("component", F.col("node"))
     return edges.select(F.col("v").alias("node"), F.col("u").alias("component")).unionAll(roots)
