@@ -166,8 +166,12 @@ def model_of(rows: Iterable[Row]) -> Model:
 
 def identified(docs: DataFrame, model: Model) -> DataFrame:
     """All documents: doc_id, lang_pred, score."""
+    # A worker loads a broadcast model once and keeps what it remembers between tasks. Its
+    # size is bounded by the sample it was fitted to.
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def judge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
         for batch in batches:
             found = [model.predict(text) for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
