@@ -1,18 +1,17 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
-
-1. ``seed_counts`` counts in the whole corpus how many documents hold each word n-gram of
-   the test items.
-2. Seeds are the item n-grams held by few documents; in an item of which too few are rare,
-   its rarest ones are seeds as well, so every item can be found.
-3. Documents holding a seed are aligned with its item, word by word, around the seeds; case
-   and ASCII punctuation do not count. The
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
+
+1. All word n-grams of the test items are seeds, however many documents hold them: a passage
+   that is in many documents is found like any other, whichever part of it a copy keeps.
+2. Around its seeds a document is first held against bounds that no alignment can exceed
+   (``shared_words``, ``most_score``). They drop nearly all that share but common phrases.
+3. What is left is aligned with the item, word by word; case and ASCII punctuation do not
+   count. The
    score is the best local alignment's, as a share of what the item scores against itself:
    match 2, mismatch -1, gap -1. Inserted, dropped and replaced words cost little, so edited
    and paraphrased copies score high, unrelated text with a few equal words low.
 
-The test items are the small side. They are cut into blocks of bounded bytes; a counting pass
-over the corpus is made per block, and the blocks' seeds are carried by the tasks that read
-the corpus. No document moves.
+The test items are the small side. They are cut into blocks of bounded bytes, which are
+carried by the tasks that read the corpus. No document moves.
 
 Result: one row per document and item with at least the least score. Null and blank texts
 hold nothing. Items without words match nothing. Repeated documents or items each report
@@ -33,11 +32,6 @@ from pyspark.sql import functions as F
 from promptledger.llm.textgrams import IS_MARK, Words, text_chunks
 
 SEED_WORDS = 3
-#: Seeds are in at most one document of so many, but at least in ``RARE_DOCS``.
-RARE_SHARE = 1 / 2_000
-RARE_DOCS = 20
-#: Seeds that each item gets at least, rare or not, as far as it has n-grams.
-LEAST_SEEDS = 8
 LEAST_SCORE = 0.5
 #: Bytes of test items carried by a task at a time.
 BLOCK_BYTES = 16 << 20
@@ -76,9 +70,6 @@ class Items:
         order = np.argsort(joined[0], kind="stable")
         return cls(np.array(ids), words, *(x[order] for x in joined))
 
-    def chosen(self, keep: np.ndarray) -> Items:
-        return Items(self.ids, self.words, self.grams[keep], self.owner[keep], self.place[keep])
-
 
 def window_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
     """Hashes of the n-word windows of a word sequence; a shorter one is one window."""
@@ -116,44 +107,6 @@ def _sizes(items: Items) -> list[int]:
     return sorted({min(SEED_WORDS, len(w)) for w in items.words if len(w)})
 
 
-def seed_counts(docs: DataFrame, items: Items) -> np.ndarray:
-    """How many documents hold each distinct n-gram of the items."""
-    distinct = np.unique(items.grams)
-    sizes, sieve = _sizes(items), _sieve(distinct)
-
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = np.zeros(len(distinct), dtype=np.int64)
-        for batch in batches:
-            for _, _, words in plain_words(batch.column(0)):
-                for at, hashes in _windows(words, sizes):
-                    hit = _member(hashes, distinct, sieve)
-                    rows = np.searchsorted(words.bounds, at[hit], side="right")
-                    pairs = np.unique(rows * len(distinct) + np.searchsorted(distinct, hashes[hit]))
-                    totals += np.bincount(pairs % len(distinct), minlength=len(distinct))
-        held = np.flatnonzero(totals)
-        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(totals[held])], ["gram", "docs"])
-
-    counted = (
-        docs.select(F.col("text").cast("string"))
-        .mapInArrow(count, "gram BIGINT, docs BIGINT")
-        .groupBy("gram")
-        .agg(F.sum("docs").alias("docs"))
-    )
-    totals = np.zeros(len(distinct), dtype=np.int64)
-    for row in counted.toLocalIterator():  # no more rows than the block of items has n-grams
-        totals[row.gram] = row.docs
-    return totals[np.searchsorted(distinct, items.grams)]
-
-
-def rare_seeds(items: Items, counts: np.ndarray, documents: int) -> Items:
-    """The items' rare n-grams, and the rarest of each item that has too few."""
-    by_rarity = np.lexsort((items.grams, counts, items.owner))
-    first = np.searchsorted(items.owner[by_rarity], items.owner[by_rarity])
-    rank = np.empty(len(counts), dtype=np.int64)
-    rank[by_rarity] = np.arange(len(counts)) - first
-    return items.chosen((counts <= max(RARE_DOCS, documents * RARE_SHARE)) | (rank < LEAST_SEEDS))
-
-
 def align(item: np.ndarray, text: np.ndarray) -> tuple[float, int, int]:
     """Best local alignment: its share of the item's own score, first and last text word."""
     best, first, last = 0, 0, -1
@@ -181,15 +134,25 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[float, int, int]:
     return best / (MATCH * len(item)), first, last
 
 
-def shared_words(item: np.ndarray, text: np.ndarray) -> int:
-    """Words in common, each as often as it occurs in both."""
-    known, wanted = np.unique(item, return_counts=True)
+def shared_words(known: np.ndarray, wanted: np.ndarray, text: np.ndarray) -> int:
+    """Words in common with an item, given by its distinct words and how often it has each;
+    a word counts as often as it occurs in both."""
     at = np.searchsorted(known, text)
     at[at == len(known)] = 0
     held = np.bincount(at[known[at] == text], minlength=len(known))
     return int(np.minimum(held, wanted).sum())
 
 
+def most_score(known: np.ndarray, text: np.ndarray) -> int:
+    """What no local alignment exceeds: every word of the text inside it is a match, or a
+    mismatch or gap, and only words of the item can match."""
+    total = np.zeros(len(text) + 1, dtype=np.int64)
+    at = np.searchsorted(known, text)
+    at[at == len(known)] = 0
+    np.cumsum(np.where(known[at] == text, MATCH, max(MISMATCH, GAP)), out=total[1:])
+    return int((total - np.minimum.accumulate(total)).max())
+
+
 def _stretches(places: np.ndarray, reach: int) -> list[tuple[int, int]]:
     """Runs of places no further apart than the reach."""
     cuts = np.flatnonzero(np.diff(places) > reach) + 1
@@ -205,6 +168,7 @@ class Finder:
 
     def __post_init__(self):
         self.sizes, self.sieve = _sizes(self.seeds), _sieve(self.seeds.grams)
+        self.known = [np.unique(words, return_counts=True) for words in self.seeds.words]
 
     def passages(self, texts: pa.Array) -> Iterator[tuple[int, int, float, int, int]]:
         """Row, item id, score, first and last word."""
@@ -213,7 +177,7 @@ class Finder:
             cuts = np.flatnonzero((np.diff(row) != 0) | (np.diff(owner) != 0)) + 1
             for part in np.split(np.arange(len(row)), cuts) if len(row) else []:
                 r, k = int(row[part[0]]), int(owner[part[0]])
-                best = self._best(words, r, self.seeds.words[k], place[part])
+                best = self._best(words, r, k, place[part])
                 if best is not None:
                     yield lo + r, int(self.seeds.ids[k]), *best
 
@@ -233,16 +197,21 @@ class Finder:
         order = np.lexsort((place, owner, row))
         return row[order], owner[order], place[order]
 
-    def _best(self, words: Words, row: int, item: np.ndarray, places: np.ndarray):
-        """Score, first and last word of the best passage of the row, if good enough."""
+    def _best(self, words: Words, row: int, k: int, places: np.ndarray):
+        """Score, first and last word of the row's best passage of item ``k``, if good enough."""
+        item, (known, wanted) = self.seeds.words[k], self.known[k]
         low, high = int(words.bounds[row]), int(words.bounds[row + 1])
-        reach = len(item) + len(item) // 2
+        # A passage has as many words as the item, and inserted ones that cost a gap each.
+        reach = len(item) + int(MATCH * (1 - min(self.least, 1)) * len(item))
         best = None
         for begin, end in _stretches(places, reach):
             begin, end = max(low, begin - reach), min(high, end + reach + SEED_WORDS)
-            if shared_words(item, words.hashes[begin:end]) < self.least * len(item):
+            text = words.hashes[begin:end]
+            if shared_words(known, wanted, text) < self.least * len(item):
                 continue  # no alignment has more matches
-            score, first, last = align(item, words.hashes[begin:end])
+            if most_score(known, text) < self.least * MATCH * len(item):
+                continue
+            score, first, last = align(item, text)
             if score >= self.least and (best is None or score > best[0]):
                 best = score, begin - low + first, begin - low + last
         return best
@@ -262,18 +231,15 @@ def item_blocks(items: DataFrame) -> Iterator[Items]:
             yield Items.of([r.item_id for r in held], [r.text for r in held])
 
 
-def finders(docs: DataFrame, items: DataFrame, least: float = LEAST_SCORE) -> list[Finder]:
-    """One per block of items, with seeds that are rare among these documents."""
-    documents = docs.count()
-    return [
-        Finder(rare_seeds(block, seed_counts(docs, block), documents), least) for block in item_blocks(items)
-    ]
+def finders(items: DataFrame, least: float = LEAST_SCORE) -> list[Finder]:
+    """One per block of items."""
+    return [Finder(block, least) for block in item_blocks(items)]
 
 
 def contaminated(docs: DataFrame, items: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
     """Documents that hold a passage of an item: doc_id, item_id, score, first_word and
     last_word (the passage's words in the document, from 0)."""
-    blocks = finders(docs, items, least)
+    blocks = finders(items, least)
 
     def report(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -296,7 +262,7 @@ def contaminated(docs: DataFrame, items: DataFrame, least: float = LEAST_SCORE)
 
 def clean(docs: DataFrame, items: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
     """Rows of the documents, all columns, that hold no passage of an item."""
-    blocks = finders(docs, items, least)
+    blocks = finders(items, least)
     at = docs.columns.index("text")
 
     def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -212,3 +212,41 @@ def test_items_in_several_blocks(spark, monkeypatch):
         spark.createDataFrame(docs, "doc_id BIGINT, text STRING"), spark.createDataFrame(items, "item_id BIGINT, text STRING")
     )
     assert {(r.doc_id, r.item_id) for r in found.collect()} == truth
+
+
+def hot_benchmark_case():
+    """Items that many documents hold: with the same edit, shortened, or exact but for one."""
+    draw = random.Random(11)
+    word = lambda: "".join(draw.choices("abcdefghij", k=5))
+    items = [[word() for _ in range(50)] for _ in range(3)]
+    edit = lambda words: [*words[:20], word(), word(), word(), *words[23:]]
+    passages = [edit(items[0])] * 30 + [items[1][:40]] * 30 + [items[2]] * 30
+    passages += [edit(items[2]), items[1][:20], items[0][:3], []]
+    docs = []
+    for n, passage in enumerate(passages):
+        before, after = ([word() for _ in range(draw.randint(0, 40))] for _ in range(2))
+        docs.append((n, [*before, *passage, *after]))
+    return docs, items
+
+
+def test_copies_of_hot_items_equal_brute_force(spark):
+    docs, items = hot_benchmark_case()
+    scores = {(n, k): plain_alignment(item, text) for n, text in docs for k, item in enumerate(items)}
+    truth = {pair: score for pair, score in scores.items() if score >= 0.5}
+    assert len(truth) == 91
+    documents = spark.createDataFrame([(n, " ".join(text)) for n, text in docs], "doc_id BIGINT, text STRING")
+    benchmark = spark.createDataFrame([(k, " ".join(item)) for k, item in enumerate(items)], "item_id BIGINT, text STRING")
+    found = decontaminate.contaminated(documents, benchmark).collect()
+    assert {(r.doc_id, r.item_id): r.score for r in found} == truth
+    kept = decontaminate.clean(documents, benchmark)
+    assert {r.doc_id for r in kept.collect()} == {n for n, _ in docs} - {n for n, _ in truth}
+
+
+def test_no_alignment_exceeds_the_bounds():
+    draw = np.random.default_rng(9)
+    for _ in range(200):
+        item, text = (draw.integers(0, 12, draw.integers(1, 25)).astype(np.uint64) for _ in range(2))
+        known, wanted = np.unique(item, return_counts=True)
+        score = decontaminate.align(item, text)[0] * 2 * len(item)
+        assert score <= decontaminate.most_score(known, text)
+        assert score <= 2 * decontaminate.shared_words(known, wanted, text)
