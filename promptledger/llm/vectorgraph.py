@@ -6,9 +6,11 @@ directions. Each shard's vectors query their own graph and those of the shards b
 every pair of shards meets once, in a task of its own.
 
 A query descends greedily and then searches the lowest layer with a beam. Vectors it comes
-across with a cosine of at least the threshold, in double precision, are links. Queries of a
-fixed random choice are audited against all vectors of the shard; while their recall is
-below ``RECALL`` the beam is doubled. A beam as wide as the shard compares all of it.
+across with a cosine of at least the threshold, in double precision, are links. Equal vectors
+are one vertex and one query. Queries of a fixed random choice are audited against all vectors
+of the shard: each of them that has links must reach ``RECALL`` by itself, or the beam is
+doubled. Where too few of them have links besides those of the largest group, more are audited.
+Where all would have to be, or ``WIDEST`` does not do, every vector is compared with every other.
 
 Result: one row per vector: vec_id, n_links, component_id, kept. A vector that is null, zero
 or has null or non-finite components, or whose label is null, links with nothing. Rows of
@@ -35,7 +37,11 @@ SHARD_BYTES = 4 << 20
 DEGREE = 24
 BEAM = 48
 RECALL = 0.99
+#: Queries audited at first, and how many of them must have links besides the largest group's.
 AUDITED = 512
+LINKED = 64
+#: Beam beyond which it costs less to compare all vectors of a shard.
+WIDEST = 4 * BEAM
 #: Vectors inserted or queried together.
 TOGETHER = 256
 
@@ -194,16 +200,50 @@ class Graph:
                 seen_by(np.full(len(front), q), self.order[front], cosine)
 
 
-def matches(queries: np.ndarray, members: np.ndarray, graph: Graph, audited: np.ndarray) -> np.ndarray:
-    """Which members each query is linked with, as a table of booleans."""
-    truth = queries[audited] @ members.T >= THRESHOLD
-    beam = BEAM
+def compared(queries: np.ndarray, members: np.ndarray) -> np.ndarray:
+    """Which members each query is linked with, all of them compared."""
+    found = np.zeros((len(queries), len(members)), dtype=bool)
+    for lo in range(0, len(queries), TOGETHER):
+        found[lo : lo + TOGETHER] = queries[lo : lo + TOGETHER] @ members.T >= THRESHOLD
+    return found
+
+
+def distinct(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first row of each set of equal ones, in order, and the set of each row."""
+    rows = np.ascontiguousarray(vectors + 0.0)  # no negative zeros
+    whole = rows.view(np.dtype((np.void, rows.dtype.itemsize * rows.shape[1]))).ravel()
+    _, first, number = np.unique(whole, return_index=True, return_inverse=True)
+    rank = np.argsort(np.argsort(first))
+    return np.sort(first), rank[number]
+
+
+def audit(queries: np.ndarray, members: np.ndarray, order: np.ndarray, alone: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Queries to audit and their true links: as many, in the given order, as it takes for
+    ``LINKED`` to have some besides those of the largest group, or all of them."""
+    size = AUDITED
     while True:
+        truth = compared(queries[order[:size]], members)
+        links = truth.sum(axis=1)
+        others = links > alone  # queries that are members find themselves
+        if others.any():
+            largest = truth[links.argmax()]
+            others &= ~(truth & largest).any(axis=1)
+        if size >= len(order) or others.sum() >= LINKED:
+            return order[:size], truth
+        size *= 4
+
+
+def matches(queries: np.ndarray, members: np.ndarray, salt: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Which members each query is linked with, as a table of booleans. ``salt`` is the
+    graph's, ``order`` the one in which queries are audited."""
+    audited, truth = audit(queries, members, order, members is queries)
+    if len(audited) == len(queries):
+        found = np.empty_like(truth)
+        found[audited] = truth
+        return found
+    graph, beam = Graph(members, salt), BEAM
+    while beam <= WIDEST and beam < len(members):
         found = np.zeros((len(queries), len(members)), dtype=bool)
-        if beam >= len(members):
-            for lo in range(0, len(queries), TOGETHER):
-                found[lo : lo + TOGETHER] = queries[lo : lo + TOGETHER] @ members.T >= THRESHOLD
-            return found
         for lo in range(0, len(queries), TOGETHER):
             part = queries[lo : lo + TOGETHER]
 
@@ -214,10 +254,15 @@ def matches(queries: np.ndarray, members: np.ndarray, graph: Graph, audited: np.
                 found[lo + q[exact], v[exact]] = True
 
             graph.query(part.astype(np.float32), beam, seen)
-        known = found[audited] | found[:, audited].T if members is queries else found[audited]
-        if (known & truth).sum() >= RECALL * truth.sum():
+        known = found[audited]
+        if members is queries:  # a query's own vector stands for its copies, and tells nothing
+            np.fill_diagonal(found, True)
+            known = known | found[:, audited].T
+            known[np.arange(len(audited)), audited] = truth[np.arange(len(audited)), audited] = False
+        if ((known & truth).sum(axis=1) >= RECALL * truth.sum(axis=1)).all():
             return found
         beam *= 2
+    return compared(queries, members)
 
 
 def smallest_linked(found: np.ndarray) -> np.ndarray:
@@ -253,9 +298,11 @@ def _shard_pair(table: pa.Table) -> pa.Table:
     asking, asking_ids = (members, member_ids) if alone else (vectors[~member], ids[~member])
     if not len(members) or not len(asking):
         return pa.table({"vec_id": ids[:0], "n_links": ids[:0], "a": ids[:0]})
-    graph = Graph(members, member_ids.astype(np.uint64))
-    audited = np.argsort(mix(asking_ids.astype(np.uint64) + np.uint64(1)), kind="stable")[:AUDITED]
-    found = matches(asking, members, graph, audited)
+    first, number = distinct(members)
+    points, salt = members[first], member_ids[first].astype(np.uint64)
+    first, asked = (first, number) if alone else distinct(asking)
+    order = np.argsort(mix(asking_ids[first].astype(np.uint64) + np.uint64(1)), kind="stable")
+    found = matches(points if alone else asking[first], points, salt, order)[asked][:, number]
     found[asking_ids[:, None] == member_ids] = False
     if alone:
         found |= found.T

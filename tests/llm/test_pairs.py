@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -147,6 +148,49 @@ def test_vectors_equal_brute_force(spark, monkeypatch, shard_bytes):
     assert all(r.kept == (r.component_id == n) for n, r in got.items())
 
 
+def vectors_with_a_large_group():
+    """Most links are those of one group; the others have one each."""
+    draw = np.random.default_rng(5)
+    near = lambda v: v + draw.normal(size=v.shape) * 0.02
+    centre, others = draw.normal(size=64), draw.normal(size=(900, 64))
+    copies = np.repeat(draw.normal(size=(1, 64)), 100, axis=0)
+    return np.concatenate([near(np.tile(centre, (600, 1))), copies, others, near(others)])
+
+
+@pytest.mark.parametrize("pair", [False, True])
+def test_small_groups_are_found_beside_a_large_one(pair):
+    lines = vectors_with_a_large_group()
+    lines = lines[np.random.default_rng(6).permutation(len(lines))]
+    home = np.arange(len(lines)) % 2 if pair else np.zeros(len(lines), dtype=int)
+    table = pa.table(
+        {"vec_id": np.arange(len(lines)), "home": home, "graph": np.zeros(len(lines), dtype=int), "embedding": list(lines)}
+    )
+    got = vectorgraph._shard_pair(table).to_pydict()
+    unit = lines / np.linalg.norm(lines, axis=1)[:, None]
+    linked = unit @ unit.T >= 0.93
+    np.fill_diagonal(linked, False)
+    if pair:
+        linked &= home[:, None] != home
+    links = dict(zip(got["vec_id"], got["n_links"], strict=True))
+    truth = linked.sum(axis=1)
+    small = [n for n in range(len(lines)) if 0 < truth[n] < 40]
+    assert sum(links[n] for n in small) >= 0.99 * sum(truth[n] for n in small)
+    assert all(links[n] <= truth[n] for n in links)
+    assert sum(links.values()) >= 0.99 * truth.sum()
+
+
+def test_few_links_are_not_taken_for_none(monkeypatch):
+    """Two shards with a single linked pair, whose query is not among the first audited."""
+    monkeypatch.setattr(vectorgraph, "AUDITED", 8)
+    monkeypatch.setattr(vectorgraph.Graph, "query", lambda *args: None)  # a graph that finds nothing
+    lines = np.random.default_rng(7).normal(size=(400, 64))
+    lines[399] = lines[16] + 0.01
+    home = np.arange(400) % 2
+    table = pa.table({"vec_id": np.arange(400), "home": home, "graph": np.zeros(400, dtype=int), "embedding": list(lines)})
+    got = vectorgraph._shard_pair(table).to_pydict()
+    assert {n for n, links in zip(got["vec_id"], got["n_links"], strict=True) if links} == {16, 399}
+
+
 def test_no_vectors(spark):
     empty = spark.createDataFrame([], "vec_id BIGINT, embedding ARRAY<FLOAT>, label INT")
     assert vectorgraph.near_duplicates(empty).count() == 0
