@@ -1,6 +1,6 @@
 """Near-duplicate embeddings by hierarchical navigable small-world graphs per shard.
 
-Vectors of one label and length are dealt by hash into shards of bounded bytes. Every shard
+Vectors of one label and length are dealt by hash into shards of bounded bytes and number. Every shard
 gets a graph: layers of fewer and fewer vectors, each linked to close ones in several
 directions. Each shard's vectors query their own graph and those of the shards before, so
 every pair of shards meets once, in a task of its own.
@@ -33,6 +33,8 @@ THRESHOLD = 0.93
 CLOSE = THRESHOLD - 1e-4
 #: Bytes of a shard's vectors, eight per component.
 SHARD_BYTES = 4 << 20
+#: Vectors of a shard, however short: the table of links found has this many squared.
+SHARD_VECTORS = 8_192
 #: Links of a vector in the lowest layer; half as many above.
 DEGREE = 24
 BEAM = 48
@@ -352,7 +354,13 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     sizes = stored(
         usable.groupBy("label", "dims")
         .count()
-        .select("label", "dims", F.ceil(F.col("count") * F.col("dims") * 8 / SHARD_BYTES).cast("int").alias("shards")),
+        .select(
+            "label",
+            "dims",
+            F.ceil(
+                F.greatest(F.col("count") * F.col("dims") * 8 / SHARD_BYTES, F.col("count") / SHARD_VECTORS)
+            ).cast("int").alias("shards"),
+        ),
         "vector-shards",
     )
     # One line per label and length; a vector goes to the graphs of its own and earlier shards.

@@ -191,6 +191,17 @@ def test_few_links_are_not_taken_for_none(monkeypatch):
     assert {n for n, links in zip(got["vec_id"], got["n_links"], strict=True) if links} == {16, 399}
 
 
+def test_short_vectors_come_in_bounded_shards(spark, monkeypatch):
+    monkeypatch.setattr(vectorgraph, "SHARD_VECTORS", 40)
+    asked = []
+    monkeypatch.setattr(vectorgraph, "stored", lambda df, name: asked.append((name, df)) or df)
+    rows = [(n, [float(n % 7), 1.0], 0) for n in range(400)]
+    table = spark.createDataFrame(rows, "vec_id BIGINT, embedding ARRAY<DOUBLE>, label INT")
+    monkeypatch.setattr(vectorgraph, "components", lambda links: links.select(links.b.alias("node"), links.a.alias("component")))
+    vectorgraph.near_duplicates(table)
+    assert dict(asked)["vector-shards"].first().shards == 10
+
+
 def test_no_vectors(spark):
     empty = spark.createDataFrame([], "vec_id BIGINT, embedding ARRAY<FLOAT>, label INT")
     assert vectorgraph.near_duplicates(empty).count() == 0
