@@ -10,8 +10,10 @@ kind        valid if                                                 kept
 ==========  =======================================================  =====================
 card        13 to 19 digits, plain or in groups, Luhn sum is 0       grouping, Luhn
 ssn         area not 000, 666, 9xx; group, serial not 0              form, validity
-iban        remainder by 97 is 1                                     country, letters
-phone       (123) 456-7890 and the like, country code or not         code, form
+iban        15 to 34 characters, plain or in groups of four,         country, letters, grouping
+            remainder by 97 is 1
+phone       (123) 456-7890 and the like, country code or not;        code, form
+            + and country code, digits in any groups
 ipv4        four numbers up to 255                                   form
 date        a day of 1800 to 2199: 2020-01-31, 2020/01/31,           form
             31.01.2020, 01/31/2020
@@ -38,26 +40,44 @@ _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _YEAR = "(?:18|19|20|21)[0-9]{2}"
 _MONTH = "(?:0[1-9]|1[0-2])"
 _DAY = "(?:0[1-9]|[12][0-9]|3[01])"
-#: Alternatives in the order they are tried at a position.
+_DATE = rf"(?:{_YEAR}-{_MONTH}-{_DAY}|{_YEAR}/{_MONTH}/{_DAY}|{_DAY}\.{_MONTH}\.{_YEAR}|{_MONTH}/{_DAY}/{_YEAR})"
+#: Country codes of telephone numbers.
+_CODE = (
+    "(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]"
+    "|(?:2[1-689]|3[578]|42|5[09]|6[7-9]|8[057-9]|9[679])[0-9])"
+)
+_OTHER = (
+    rf"(?:{_DATE}|(?:{_OCTET}\.){{3}}{_OCTET}|[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}"
+    r"|(?:[0-9]{4}[ \-]){3}[0-9]{4}|[0-9]{4}[ \-][0-9]{6}[ \-][0-9]{5})(?![0-9]|\.[0-9])"
+)
+#: Behind the plus: plain, grouped by blanks and hyphens, or by dots.
+_ABROAD = (
+    rf"\+(?![0-9]{{1,3}}[ .\-]{_OTHER}){_CODE}(?:[0-9]{{8,12}}"
+    r"|(?:[ \-](?:\([0-9]{1,4}\)[ \-]?)?|\([0-9]{1,4}\)[ \-]?)[0-9](?:[ \-]?[0-9]){5,11}"
+    r"|(?=\.(?:[0-9]\.?){7})(?:\.[0-9]{1,5}){3,5})"
+)
+#: Alternatives in the order they are tried at a position; those of IBAN are the valid ones of
+#: the text, as only the remainder tells where a grouped one ends.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[A-Za-z0-9](?:[A-Za-z0-9\-]*+\.)++[A-Za-z]{2,}",
     "hex": r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+)(?![0-9A-Za-z])",
-    "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}[A-Z0-9]{5,24}[0-9]{6}(?![0-9A-Za-z])",
+    "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
     "ipv4": rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])",
-    "date": (
-        rf"(?<![0-9./\-])(?:{_YEAR}-{_MONTH}-{_DAY}|{_YEAR}/{_MONTH}/{_DAY}"
-        rf"|{_DAY}\.{_MONTH}\.{_YEAR}|{_MONTH}/{_DAY}/{_YEAR})(?![0-9]|[./\-][0-9])"
-    ),
+    "date": rf"(?<![0-9./\-]){_DATE}(?![0-9]|[./\-][0-9])",
     "ssn": r"(?<![0-9\-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9]|-[0-9])",
     "phone": (
-        r"(?<![0-9+])(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .\-])[0-9]{3}[.\-][0-9]{4}(?![0-9]|-[0-9])"
+        r"(?<![0-9+])(?:(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .\-])[0-9]{3}[ .\-][0-9]{4}"
+        rf"|{_ABROAD})(?![0-9]|-[0-9])"
     ),
     "card": (
         r"(?<![0-9A-Za-z])(?:[0-9]{13,19}+|[0-9]{4}([ \-])[0-9]{4}\1[0-9]{4}\1[0-9]{4}"
         r"|[0-9]{4}([ \-])[0-9]{6}\2[0-9]{5})(?![0-9A-Za-z])"
     ),
 }
-ANY = "|".join(PATTERNS.values())
+BEFORE_IBAN = "|".join(PATTERNS[kind] for kind in ("email", "hex"))
+AFTER_IBAN = "|".join(PATTERNS[kind] for kind in ("ipv4", "date", "ssn", "phone", "card"))
+#: Candidates may overlap.
+IBAN_AHEAD = f"(?=({PATTERNS['iban']}))"
 #: Every kind has one of these.
 HINT = r"@|[0-9]{2}|[0-9][.][0-9]|[0-9A-Fa-f]{32}"
 
@@ -90,14 +110,14 @@ def feistel(a: Column, b: Column, base_a: Column, base_b: Column, key: str, kind
 
 
 def permuted_digits(digits: Column, key: str, kind: str) -> Column:
-    """A string of digits as another of the same length (2 to 36 digits)."""
+    """A string of digits as another of the same length (up to 36 digits)."""
     size = F.length(digits)
     left = F.floor(size / 2).cast("int")
     right = size - left
     base = lambda n: F.rpad(F.lit("1"), n + 1, "0").cast("bigint")
     pair = feistel(
-        F.substring(digits, F.lit(1), left),
-        F.substring(digits, left + 1, right),
+        F.concat(F.lit("0"), F.substring(digits, F.lit(1), left)),
+        F.concat(F.lit("0"), F.substring(digits, left + 1, right)),
         base(left),
         base(right),
         key,
@@ -189,24 +209,57 @@ def rest_by_97(account: Column, country_and_check: Column) -> Column:
     return F.aggregate(F.filter(characters, lambda c: c != ""), F.lit(0), add)
 
 
-def iban(value: Column, key: str) -> Column:
-    country, account = F.substring(value, 1, 2), F.substring(value, 5, 30)
-    tail = F.regexp_extract(account, "[0-9]+$", 0)
+def without_blanks(value: Column) -> Column:
+    return F.translate(value, " ", "")
+
+
+def iban_holds(value: Column) -> Column:
+    """Whether an IBAN without blanks has the right length and check digits."""
+    rest = rest_by_97(F.substring(value, F.lit(5), F.length(value)), F.substring(value, 1, 4))
+    return F.length(value).between(15, 34) & (rest == 1)
+
+
+def valid_ibans(text: Column) -> Column:
+    """The IBANs of a text as written, longer ones before those they begin with. Words that
+    follow a grouped one look like groups; the most groups that are valid count."""
+
+    def longest(candidate: Column) -> Column:
+        def beginnings(groups: Column) -> Column:
+            counts = F.sequence(F.size(groups), F.lit(1), F.lit(-1))
+            return F.transform(counts, lambda n: F.array_join(F.slice(groups, F.lit(1), n), " "))
+
+        return F.get(F.filter(let(F.split(candidate, " "), beginnings), lambda v: iban_holds(without_blanks(v))), F.lit(0))
 
-    def renew(new: Column) -> Column:
-        check = 98 - rest_by_97(new, F.concat(country, F.lit("00")))
-        return F.concat(country, F.lpad(check.cast("string"), 2, "0"), new)
+    found = F.transform(F.regexp_extract_all(text, F.lit(IBAN_AHEAD), F.lit(1)), longest)
+    return F.sort_array(F.array_distinct(F.filter(found, lambda v: v.isNotNull())), asc=False)
 
-    changed = F.concat(
-        F.substring(account, F.lit(1), F.length(account) - F.length(tail)),
-        permuted_digits(tail, key, "iban"),
+
+def any_value(ibans: Column) -> Column:
+    """The pattern of all values of a text with these IBANs."""
+    own = F.concat(
+        F.lit(rf"{BEFORE_IBAN}|(?<![0-9A-Za-z])(?=[A-Z]{{2}}[0-9]{{2}})(?:"),
+        F.array_join(ibans, "|"),
+        F.lit(rf")(?![0-9A-Za-z])|{AFTER_IBAN}"),
     )
-    valid = rest_by_97(account, F.substring(value, 1, 4)) == 1
-    return F.when(valid, let(changed, renew))
+    return F.when(F.size(ibans) > 0, own).otherwise(F.lit(f"{BEFORE_IBAN}|{AFTER_IBAN}"))
+
+
+def iban(value: Column, key: str) -> Column:
+    def renew(plain: Column) -> Column:
+        country, account = F.substring(plain, 1, 2), F.substring(plain, F.lit(5), F.length(plain))
+
+        def filled(digits: Column) -> Column:
+            check = 98 - rest_by_97(refilled(account, digits), F.concat(country, F.lit("00")))
+            return refilled(value, F.concat(F.lpad(check.cast("string"), 2, "0"), digits))
+
+        new = permuted_digits(only_digits(account), key, "iban")
+        return F.when(iban_holds(plain), let(new, filled))
+
+    return let(without_blanks(value), renew)
 
 
 def phone(value: Column, key: str) -> Column:
-    code = F.regexp_extract(value, r"^(?:\+[0-9]{1,3}[ .\-]?)?", 0)
+    code = F.regexp_extract(value, rf"^(?:\+[0-9]{{1,3}}[ .\-]|\+{_CODE}|)", 0)
     number = F.substring(value, F.length(code) + 1, F.length(value))
     return F.concat(code, refilled(number, permuted_digits(only_digits(number), key, "phone")))
 
@@ -296,12 +349,14 @@ def pseudonym(value: Column, key: str) -> Column:
 
 def pseudonymised(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Replace personal data in the text column; adds ``n_values``."""
-    old, new = (_free_name(docs, name) for name in ("_found", "_new"))
-    found = F.when(F.col(text).rlike(HINT), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
-    named = docs.drop("n_values").withColumn(old, found)
+    old, new, any_ = (_free_name(docs, name) for name in ("_found", "_new", "_any"))
+    ibans = F.when(F.col(text).rlike(HINT), valid_ibans(F.col(text)))
+    named = docs.drop("n_values").withColumn(any_, ibans)
+    named = named.withColumn(any_, F.when(F.col(any_).isNotNull(), any_value(F.col(any_))))
+    named = named.withColumn(old, F.regexp_extract_all(text, F.col(any_), F.lit(0)))
     values = F.transform(old, lambda m: pseudonym(m, key))
     changed = named.withColumn(new, F.when(F.size(old) > 0, values))
-    gaps = F.split(F.col(text), ANY, -1)
+    gaps = F.split(F.col(text), F.col(any_), -1)
     filled = F.zip_with(old, new, lambda before, after: F.coalesce(after, before))
     parts = F.zip_with(gaps, filled, lambda gap, value: F.array(gap, F.coalesce(value, F.lit(""))))
     replaced = F.size(F.filter(new, lambda v: v.isNotNull()))
@@ -310,7 +365,7 @@ def pseudonymised(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
             text: F.when(F.size(old) > 0, F.array_join(F.flatten(parts), "")).otherwise(F.col(text)),
             "n_values": F.when(F.col(new).isNull(), 0).otherwise(replaced).cast("bigint"),
         }
-    ).drop(old, new)
+    ).drop(old, new, any_)
 
 
 def _free_name(docs: DataFrame, name: str) -> str:

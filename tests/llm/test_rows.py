@@ -244,6 +244,32 @@ def test_kinds_and_what_fails_validation(spark):
         assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
 
 
+def test_ibans_and_phones_in_all_their_forms(spark):
+    plain = ["FR1420041010050500013M02606", "MT84MALT011000012345MTLCAST001S", "BR1800360305000010009795493C1", "MU17BOMM0101101030300200000MUR", "DE89370400440532013000", "BE68539007547034", "NO9386011117947"]
+    printed = [" ".join(re.findall(".{1,4}", iban)) for iban in plain]
+    shape = lambda v: re.sub("[0-9]", "0", v)
+    got = replaced(spark, *plain, *printed)
+    for old, new in zip(plain + printed, got, strict=True):
+        bare = new.replace(" ", "")
+        assert new != old and shape(new) == shape(old)
+        assert int("".join(str(int(c, 36)) for c in bare[4:] + bare[:4])) % 97 == 1
+    assert [new.replace(" ", "") for new in got[7:]] == got[:7]
+    assert got[4][4:] == plain_digits(plain[4][4:], "k", "iban")
+    # Words, IBANs and cards that follow are not taken for groups; wrong ones stay.
+    mixed = f"pay {printed[5]} PAID NOW, {printed[5]} {printed[4]} or AB12 4845 1681 1440 7329"
+    card = replaced(spark, "4845 1681 1440 7329")[0]
+    assert replaced(spark, mixed) == [f"pay {got[12]} PAID NOW, {got[12]} {got[11]} or AB12 {card}"]
+    assert replaced(spark, "DE89 3704 0044 0532 0130 01 X") == ["DE89 3704 0044 0532 0130 01 X"]
+    phones = ["415 555 2671", "+1 415 555 2671", "(415) 555 2671", "+44 20 7946 0958", "+442079460958", "+33 1 42 68 53 00", "+44 (0)20 7946 0958", "+49 30 12345678", "+33.1.42.68.53.00"]
+    got = replaced(spark, *(f"call {v}, or" for v in phones))
+    assert all(new != f"call {old}, or" and shape(new) == shape(f"call {old}, or") for old, new in zip(phones, got, strict=True))
+    digits = [re.sub("[^0-9]", "", v) for v in got]
+    assert digits[1] == "1" + digits[0] == "1" + digits[2] and digits[3] == digits[4] and digits[3][:2] == "44"
+    date, card = replaced(spark, "+1 2020-01-31", "+1 4845 1681 1440 7329")
+    assert date == "+1 " + replaced(spark, "2020-01-31")[0] and card == "+1 " + replaced(spark, "4845 1681 1440 7329")[0]
+    assert replaced(spark, "+100 200 300, +1.23456789, 12 345 6789") == ["+100 200 300, +1.23456789, 12 345 6789"]
+
+
 def test_odd_rows_keep_their_columns(odd):
     got = pseudonyms.pseudonymised(odd, "k")
     assert set(got.columns) == set(odd.columns)
