@@ -10,8 +10,8 @@
    match 2, mismatch -1, gap -1. Inserted, dropped and replaced words cost little, so edited
    and paraphrased copies score high, unrelated text with a few equal words low.
 
-The test items are the small side. They are cut into blocks of bounded bytes, which are
-carried by the tasks that read the corpus. No document moves.
+The test items are the small side. They are cut into blocks of bounded bytes. A pass over the
+corpus is made per block, whose tasks carry this block only. No document moves.
 
 Result: one row per document and item with at least the least score. Null and blank texts
 hold nothing. Items without words match nothing. Repeated documents or items each report
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from promptledger.llm.tables import stored
 from promptledger.llm.textgrams import IS_MARK, Words, text_chunks
 
 SEED_WORDS = 3
@@ -231,20 +233,15 @@ def item_blocks(items: DataFrame) -> Iterator[Items]:
             yield Items.of([r.item_id for r in held], [r.text for r in held])
 
 
-def finders(items: DataFrame, least: float = LEAST_SCORE) -> list[Finder]:
-    """One per block of items."""
-    return [Finder(block, least) for block in item_blocks(items)]
+def finders(items: DataFrame, least: float = LEAST_SCORE) -> Iterator[Finder]:
+    """One per block of items; each is gone before the next is made."""
+    return (Finder(block, least) for block in item_blocks(items))
 
 
-def contaminated(docs: DataFrame, items: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
-    """Documents that hold a passage of an item: doc_id, item_id, score, first_word and
-    last_word (the passage's words in the document, from 0)."""
-    blocks = finders(items, least)
-
+def _reported(rows: DataFrame, block: Finder) -> DataFrame:
     def report(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [hit for block in blocks for hit in block.passages(batch.column(1))]
-            rows, item, score, first, last = list(zip(*found, strict=True)) or [()] * 5
+            rows, item, score, first, last = list(zip(*block.passages(batch.column(1)), strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).take(pa.array(rows, pa.int64())),
@@ -256,20 +253,32 @@ def contaminated(docs: DataFrame, items: DataFrame, least: float = LEAST_SCORE)
                 ["doc_id", "item_id", "score", "first_word", "last_word"],
             )
 
-    rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
     return rows.mapInArrow(report, HIT_SCHEMA)
 
 
-def clean(docs: DataFrame, items: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
-    """Rows of the documents, all columns, that hold no passage of an item."""
-    blocks = finders(items, least)
+def contaminated(docs: DataFrame, items: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
+    """Documents that hold a passage of an item: doc_id, item_id, score, first_word and
+    last_word (the passage's words in the document, from 0)."""
+    rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
+    found = [_reported(rows, block) for block in finders(items, least)]
+    return reduce(DataFrame.unionAll, found) if found else docs.sparkSession.createDataFrame([], HIT_SCHEMA)
+
+
+def _kept(docs: DataFrame, block: Finder) -> DataFrame:
     at = docs.columns.index("text")
 
     def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fine = np.ones(batch.num_rows, dtype=bool)
-            for block in blocks:
-                fine[[hit[0] for hit in block.passages(batch.column(at))]] = False
+            fine[[hit[0] for hit in block.passages(batch.column(at))]] = False
             yield batch.filter(pa.array(fine))
 
     return docs.mapInArrow(keep, docs.schema)
+
+
+def clean(docs: DataFrame, items: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
+    """Rows of the documents, all columns, that hold no passage of an item. Stored between
+    the blocks of items, so a task carries one."""
+    for n, block in enumerate(finders(items, least)):
+        docs = _kept(stored(docs, "clean") if n else docs, block)
+    return docs

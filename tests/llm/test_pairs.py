@@ -1,6 +1,8 @@
 """Similarity join, components, near-duplicate vectors and decontamination by brute force."""
 
+import gc
 import random
+import weakref
 
 import numpy as np
 import pyarrow as pa
@@ -305,3 +307,28 @@ def test_no_alignment_exceeds_the_bounds():
         score = decontaminate.align(item, text)[0] * 2 * len(item)
         assert score <= decontaminate.most_score(known, text)
         assert score <= 2 * decontaminate.shared_words(known, wanted, text)
+
+
+def test_a_block_of_items_at_a_time(spark, monkeypatch):
+    alive, most = weakref.WeakSet(), []
+
+    class Watched(decontaminate.Finder):
+        def __post_init__(self):
+            super().__post_init__()
+            gc.collect()
+            most.append(len(alive))
+            alive.add(self)
+
+        __hash__ = object.__hash__
+
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 800)
+    monkeypatch.setattr(decontaminate, "Finder", Watched)
+    docs, items, truth = benchmark_case()
+    documents = spark.createDataFrame(docs, "doc_id BIGINT, text STRING")
+    benchmark = spark.createDataFrame(items, "item_id BIGINT, text STRING")
+    decontaminate.contaminated(documents, benchmark)
+    assert len(most) > 2 and max(most) <= 1
+    monkeypatch.undo()
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 800)
+    kept = decontaminate.clean(documents, benchmark)
+    assert {r.doc_id for r in kept.collect()} == {n for n, _ in docs} - {n for n, _ in truth}
