@@ -22,4 +22,86 @@ SELECT parts.page_id, host, path, best.rule AS rule, coalesce(best.verdict, 'all
 FROM parts LEFT JOIN fits USING (page_id)
 """
 
-ORACLES: dict[str, str] = {"op3_bloom_url_filter": URL_FILTER}
+COLLOCATIONS = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    unnest(string_split_regex(
+      translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+spelled AS (
+  SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda w: w <> '') AS ws FROM pieces),
+places AS (
+  SELECT lang, unnest(list_transform(range(1, len(ws) + 1), lambda i: [ws[i], ws[i + 1], ws[i + 2]])) AS g
+  FROM spelled),
+f AS (
+  SELECT lang, m, array_to_string(g[1:m], ' ') AS phrase, count(*)::HUGEINT AS f
+  FROM places, (VALUES (1), (2), (3)) lengths(m)
+  WHERE g[m] IS NOT NULL GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE m = 1 GROUP BY lang),
+found AS (
+  SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE m >= 2 AND f >= 10),
+longer AS (
+  SELECT lang, array_to_string(ws[side : side + 1], ' ') AS phrase, max(a) AS longest
+  FROM found, (VALUES (1), (2)) sides(side) WHERE m = 3 GROUP BY ALL),
+covered AS (
+  SELECT lang, phrase FROM found JOIN longer USING (lang, phrase) WHERE m = 2 AND 100 * longest >= 50 * a),
+cuts AS (
+  SELECT found.*, k, array_to_string(ws[1:k], ' ') AS head, array_to_string(ws[k + 1 : m], ' ') AS tail
+  FROM found, (VALUES (1), (2)) ks(k) WHERE k < m),
+scored AS (
+  SELECT c.lang, c.phrase, c.a, x.f AS l, y.f AS r, k, (1000000 * c.a * c.a) // (x.f * y.f) AS score
+  FROM cuts c JOIN f x ON x.lang || ' ' || x.phrase = c.lang || ' ' || c.head
+    JOIN f y ON y.lang || ' ' || y.phrase = c.lang || ' ' || c.tail),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+  FROM lowest ANTI JOIN covered USING (lang, phrase))
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score
+FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+CODES = r"""
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)::BIGINT) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS (
+  SELECT vec_id, p, v[p * len(v) // 16 + 1 : (p + 1) * len(v) // 16] AS x
+  FROM kept, (SELECT unnest(range(16)) AS p)),
+first AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept QUALIFY e < 64),
+book0 AS (SELECT p, e, x AS c FROM parts JOIN first USING (vec_id)),
+near1 AS (
+  SELECT vec_id, parts.p, x, arg_min(e, (list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) * 64 + e)) AS e
+  FROM parts JOIN book0 ON parts.p = book0.p GROUP BY ALL),
+sums1 AS (
+  SELECT p, e, d, sum(y)::BIGINT AS s, count(*) AS k FROM (
+    SELECT p, e, unnest(range(1, len(x) + 1)) AS d, unnest(x) AS y FROM near1) GROUP BY ALL),
+mean1 AS (
+  SELECT p, e, list((s - ((s % k) + k) % k) // k ORDER BY d) AS c FROM sums1 GROUP BY p, e),
+book1 AS (SELECT p, e, coalesce(mean1.c, book0.c) AS c FROM book0 LEFT JOIN mean1 USING (p, e)),
+near2 AS (
+  SELECT vec_id, parts.p, x, arg_min(e, (list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) * 64 + e)) AS e
+  FROM parts JOIN book1 ON parts.p = book1.p GROUP BY ALL),
+sums2 AS (
+  SELECT p, e, d, sum(y)::BIGINT AS s, count(*) AS k FROM (
+    SELECT p, e, unnest(range(1, len(x) + 1)) AS d, unnest(x) AS y FROM near2) GROUP BY ALL),
+mean2 AS (
+  SELECT p, e, list((s - ((s % k) + k) % k) // k ORDER BY d) AS c FROM sums2 GROUP BY p, e),
+book2 AS (SELECT p, e, coalesce(mean2.c, book1.c) AS c FROM book1 LEFT JOIN mean2 USING (p, e)),
+last AS (
+  SELECT vec_id, parts.p, min(list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) * 64 + e)::BIGINT AS best
+  FROM parts JOIN book2 ON parts.p = book2.p GROUP BY ALL),
+coded AS (
+  SELECT vec_id, string_agg(lpad(lower(to_hex(best % 64)), 2, '0'), '' ORDER BY p) AS code, sum(best // 64)::BIGINT AS error
+  FROM last GROUP BY vec_id),
+book AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM book2)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
+FROM coded JOIN kept USING (vec_id), book
+"""
+
+ORACLES: dict[str, str] = {
+    "op3_bloom_url_filter": URL_FILTER,
+    "op12_stripe_collocations": COLLOCATIONS,
+    "op13_anchor_codes": CODES,
+}

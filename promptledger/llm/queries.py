@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from promptledger.llm import (
+    anchorcodes,
+    collocations,
     decontaminate,
     langid,
     packing,
@@ -104,6 +106,14 @@ def op10_pfor_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read(spark, contents, folder)
 
 
+def op12_stripe_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_anchor_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return anchorcodes.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
@@ -117,5 +127,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_swap_packing,
         op9_graph_near_duplicates,
         op10_pfor_token_files,
+        op12_stripe_collocations,
+        op13_anchor_codes,
     )
 }
