@@ -15,6 +15,7 @@ from promptledger.llm import (
     packing,
     pseudonyms,
     quality,
+    secretscan,
     sharding,
     signature_join,
     tokenfile,
@@ -106,6 +107,10 @@ def op10_pfor_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read(spark, contents, folder)
 
 
+def op11_convolved_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secretscan.finding_digest(secretscan.secrets(table(spark, sf_dir, "documents")))
+
+
 def op12_stripe_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
@@ -127,6 +132,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_swap_packing,
         op9_graph_near_duplicates,
         op10_pfor_token_files,
+        op11_convolved_secrets,
         op12_stripe_collocations,
         op13_anchor_codes,
     )
