@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from promptledger.llm.tables import stored
-from promptledger.llm.textgrams import BYTE_VALUE, PLACE, Words, mix, span_hashes
+from promptledger.llm.textgrams import BYTE_VALUE, PLACE, Words, byte_chunks, mix, span_hashes
 
 UNKNOWN = "und"
 MOST_WORDS = 3
@@ -50,7 +50,7 @@ COVERED = 50
 SCALE = 1_000_000
 BEST = 2_000
 #: Bytes of text that a task turns into stripes at a time; a longer text is taken alone.
-BUFFER_BYTES = 16 << 20
+BUFFER_BYTES = 8 << 20
 #: Entries of stripes merged at a time, and rows handed over together.
 MERGED_ENTRIES = 1_000_000
 ROWS = 20_000
@@ -66,7 +66,9 @@ _LOWER = np.where((_CODES >= ord("A")) & (_CODES <= ord("Z")), _CODES + 32, _COD
 _ENDS_PIECE = np.isin(_CODES, [*b".,;:!?", *range(0x0A, 0x0E)])
 _PARTS_WORDS = _ENDS_PIECE | np.isin(_CODES, [0x20, 0x09])
 
-STRIPE_SCHEMA = "lang STRING, prefix STRING, segment INT, nexts ARRAY<STRING>, counts ARRAY<BIGINT>"
+#: A stripe travels as its next words, parted by blanks, and their counts, 64 bits each. An
+#: empty next word is the end of the piece.
+STRIPE_SCHEMA = "prefix STRING, lang STRING, segment INT, nexts STRING, counts BINARY"
 MERGED_SCHEMA = "lang STRING, prefix STRING, total BIGINT, nexts ARRAY<STRING>, counts ARRAY<BIGINT>"
 
 
@@ -80,30 +82,37 @@ def bytes_of(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Sequence:
-    """The words of many texts in a row, as codes of a dictionary."""
+    """The words of many texts in a row, as codes of a dictionary. Bytes are read in short
+    runs, so only what is kept for each word grows with the texts."""
 
     def __init__(self, texts: pa.Array, langs: pa.Array):
-        data, offsets = bytes_of(texts)
-        words = Words(data, offsets, _PARTS_WORDS)
-        self.hashes = words.hashes
-        count = len(words.starts)
-        lengths = np.zeros(count + 1, np.int64)
-        np.cumsum(words.ends - words.starts, out=lengths[1:])
-        letters = _LOWER[data[~_PARTS_WORDS[data]]]
+        tags = langs.cast(pa.string()).fill_null(UNKNOWN).dictionary_encode()
+        self.lang_names = tags.dictionary
+        tag = tags.indices.to_numpy().astype(np.int64)
+        hashes, sizes, letters, of_lang, goes_on = [], [], [], [], []
+        for lo, hi, data, offsets in byte_chunks(texts):
+            words = Words(data, offsets, _PARTS_WORDS)
+            many = np.diff(words.bounds)
+            piece = np.cumsum(_ENDS_PIECE[data], dtype=np.int32)
+            text = np.repeat(np.arange(hi - lo), many)
+            on = np.zeros(len(words.starts), bool)
+            on[:-1] = (piece[words.starts[1:]] == piece[words.starts[:-1]]) & (text[1:] == text[:-1])
+            hashes.append(words.hashes)
+            sizes.append(words.ends - words.starts)
+            letters.append(_LOWER[data[~_PARTS_WORDS[data]]])
+            of_lang.append(np.repeat(tag[lo:hi], many))
+            goes_on.append(on)
+        if not sizes:
+            hashes, sizes, letters, of_lang, goes_on = ([np.zeros(0, t)] for t in (np.uint64, np.int64, np.uint8, np.int64, bool))
+        self.hashes, self.langs = np.concatenate(hashes), np.concatenate(of_lang)
+        #: Whether the next word belongs to the same piece.
+        self.goes_on = np.concatenate(goes_on)
+        bounds = np.concatenate([[0], *sizes]).cumsum()
         held = pa.Array.from_buffers(
-            pa.large_string(), count, [None, pa.py_buffer(lengths), pa.py_buffer(letters)]
+            pa.large_string(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(np.concatenate(letters))]
         ).dictionary_encode()
         self.dictionary = held.dictionary.cast(pa.string())
         self.codes = held.indices.to_numpy().astype(np.int64)
-        tags = langs.cast(pa.string()).fill_null(UNKNOWN).dictionary_encode()
-        self.lang_names = tags.dictionary
-        of_text = np.diff(words.bounds)
-        self.langs = np.repeat(tags.indices.to_numpy().astype(np.int64), of_text)
-        piece = np.concatenate([[0], np.cumsum(_ENDS_PIECE[data])])
-        text = np.repeat(np.arange(len(texts)), of_text)
-        #: Whether the next word belongs to the same piece.
-        self.goes_on = np.zeros(count, bool)
-        self.goes_on[:-1] = (piece[words.starts[1:]] == piece[words.starts[:-1]]) & (text[1:] == text[:-1])
 
     def first_places(self) -> np.ndarray:
         """A place of each word of the dictionary."""
@@ -160,43 +169,64 @@ def stripes_of(words: Sequence, prefix_words: int, hot: pa.Array, bitmap: np.nda
         following = np.full(len(at), end)
         on = words.goes_on[last]
         following[on] = words.codes[last[on] + 1]
-    prefix = words.langs[at]
-    for k in range(prefix_words):
-        prefix = prefix * end + words.codes[at + k]
-        if k + 1 < prefix_words:
-            prefix = np.unique(prefix, return_inverse=True)[1]
-    _, first, prefix = np.unique(prefix, return_index=True, return_inverse=True)
+    prefix = words.langs[at] * end + words.codes[at]
+    for k in range(1, prefix_words):
+        prefix = np.unique(prefix, return_inverse=True)[1] * end + words.codes[at + k]
+    if prefix_words > 1:  # numbered, so that entries fit into 64 bits
+        _, first, prefix = np.unique(prefix, return_index=True, return_inverse=True)
     entries, counts = np.unique(prefix * (end + 1) + following, return_counts=True)
     prefix, following = np.divmod(entries, end + 1)
+    if prefix_words > 1:
+        place = at[first][prefix]
+        tag, spelled = words.langs[place], [words.codes[place + k] for k in range(prefix_words)]
+    else:
+        tag, spelled = prefix // max(end, 1), [prefix % max(end, 1)]
     is_hot = np.append(pc.is_in(words.dictionary, hot).to_numpy(zero_copy_only=False), False).astype(bool)
-    all_hot = np.ones(len(first), bool)
-    for k in range(prefix_words):
-        all_hot &= is_hot[words.codes[at[first] + k]]
+    all_hot = np.ones(len(entries), bool)
+    for codes in spelled:
+        all_hot &= is_hot[codes]
     segment = np.zeros(len(entries), np.int32)
+    order = np.arange(len(entries))
     if all_hot.any():
         spread = np.append(words.hashes[words.first_places()] % np.uint64(SEGMENTS), 0).astype(np.int32) + 1
-        cut = all_hot[prefix]
-        segment[cut] = spread[following[cut]]
+        segment[all_hot] = spread[following[all_hot]]
         order = np.lexsort((segment, prefix))
-        prefix, following, counts, segment = prefix[order], following[order], counts[order], segment[order]
+    prefix, following, counts, segment = prefix[order], following[order], counts[order], segment[order]
     begins = np.ones(len(entries), bool)
     begins[1:] = (prefix[1:] != prefix[:-1]) | (segment[1:] != segment[:-1])
     rows = np.flatnonzero(begins)
-    bounds = pa.array(np.append(rows, len(entries)).astype(np.int32))
-    place = at[first][prefix[rows]]
-    spelled = [words.dictionary.take(pa.array(words.codes[place + k])) for k in range(prefix_words)]
-    nexts = words.dictionary.take(pa.array(following, mask=following == end))
+    bounds = np.append(rows, len(entries))
+    texts = [words.dictionary.take(pa.array(codes[order[rows]])) for codes in spelled]
     return pa.table(
         {
-            "lang": words.lang_names.take(pa.array(words.langs[place])),
-            "prefix": pc.binary_join_element_wise(*spelled, " ") if prefix_words > 1 else spelled[0],
+            "prefix": pc.binary_join_element_wise(*texts, " ") if prefix_words > 1 else texts[0],
+            "lang": words.lang_names.take(pa.array(tag[order[rows]])),
             "segment": segment[rows],
-            "nexts": pa.ListArray.from_arrays(bounds, nexts),
-            "counts": pa.ListArray.from_arrays(bounds, pa.array(counts.astype(np.int64))),
+            **travelling(pa.concat_arrays([words.dictionary, pa.array([""])]).take(pa.array(following)), counts, bounds),
         }
     )
 
 
+def travelling(nexts: pa.Array, counts: np.ndarray, bounds: np.ndarray) -> dict[str, pa.Array]:
+    """Stripes as columns: the next words and counts between each two bounds."""
+    lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), nexts)
+    raw = pa.py_buffer(np.ascontiguousarray(counts, np.int64))
+    offsets = pa.py_buffer((8 * bounds).astype(np.int32))
+    return {
+        "nexts": pc.binary_join(lists, " "),
+        "counts": pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, offsets, raw]),
+    }
+
+
+def arrived(rows: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The next words and counts of stripes, and the bounds of each stripe's."""
+    lists = pc.split_pattern(rows["nexts"].combine_chunks(), " ")
+    raw = rows["counts"].combine_chunks()
+    offsets = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1].astype(np.int64)
+    counts = np.frombuffer(raw.buffers()[2], np.int64)[offsets[0] // 8 : offsets[-1] // 8]
+    return lists.flatten(), counts, (offsets - offsets[0]) // 8
+
+
 def buffers(batches: Iterable[pa.RecordBatch]) -> Iterator[Sequence]:
     """The words of runs of rows (text, lang) of bounded bytes."""
     held: list[pa.RecordBatch] = []
@@ -233,23 +263,25 @@ def merge(rows: pa.Table) -> pa.Table:
         column = rows[name].combine_chunks()
         changes[1:] |= pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
     group = np.cumsum(changes) - 1
-    nexts, counts = rows["nexts"].combine_chunks(), rows["counts"].combine_chunks()
-    sizes = pc.list_value_length(nexts).to_numpy(zero_copy_only=False)
-    words = nexts.flatten().dictionary_encode(null_encoding="encode")
+    nexts, counts, bounds = arrived(rows)
+    words = nexts.dictionary_encode()
     width = max(1, len(words.dictionary))
-    key = np.repeat(group, sizes) * width + words.indices.to_numpy(zero_copy_only=False)
+    key = np.repeat(group, np.diff(bounds)) * width + words.indices.to_numpy()
     order = np.argsort(key, kind="stable")
     key = key[order]
     begins = np.ones(len(key), bool)
     begins[1:] = key[1:] != key[:-1]
     at = np.flatnonzero(begins)
-    summed = np.add.reduceat(counts.flatten().to_numpy()[order], at) if len(at) else np.zeros(0, np.int64)
     owner, code = np.divmod(key[at], width)
-    bounds = pa.array(np.searchsorted(owner, np.arange(group[-1] + 2)).astype(np.int32))
-    kept = rows.select(["lang", "prefix", "segment"]).take(pa.array(np.flatnonzero(changes)))
-    return kept.append_column(
-        "nexts", pa.ListArray.from_arrays(bounds, words.dictionary.take(pa.array(code)))
-    ).append_column("counts", pa.ListArray.from_arrays(bounds, pa.array(summed)))
+    kept = rows.select(["prefix", "lang", "segment"]).take(pa.array(np.flatnonzero(changes)))
+    merged = travelling(
+        words.dictionary.take(pa.array(code)),
+        np.add.reduceat(counts[order], at),
+        np.searchsorted(owner, np.arange(group[-1] + 2)),
+    )
+    for name, column in merged.items():
+        kept = kept.append_column(name, column)
+    return kept
 
 
 def _frequent_part(rows: pa.Table, totals: bool) -> Iterator[pa.RecordBatch]:
@@ -257,13 +289,9 @@ def _frequent_part(rows: pa.Table, totals: bool) -> Iterator[pa.RecordBatch]:
     left out, but for their sum."""
     if rows.num_rows == 0:
         return
-    nexts, counts = rows["nexts"].combine_chunks(), rows["counts"].combine_chunks()
-    bounds = nexts.offsets.to_numpy()
-    flat = counts.flatten().to_numpy()
-    upto = np.concatenate([[0], np.cumsum(flat)])
-    bounds = bounds - bounds[0]
-    total = np.diff(upto[bounds])
-    extends = (flat >= LEAST_COUNT) & nexts.flatten().is_valid().to_numpy(zero_copy_only=False)
+    nexts, flat, bounds = arrived(rows)
+    total = np.diff(np.concatenate([[0], np.cumsum(flat)])[bounds])
+    extends = (flat >= LEAST_COUNT) & pc.not_equal(nexts, "").to_numpy(zero_copy_only=False)
     many = np.concatenate([[0], np.cumsum(extends)])[bounds]
     segment = rows["segment"].to_numpy()
     stays = np.diff(many) > 0
@@ -277,7 +305,7 @@ def _frequent_part(rows: pa.Table, totals: bool) -> Iterator[pa.RecordBatch]:
             "lang": rows["lang"].combine_chunks().take(at),
             "prefix": rows["prefix"].combine_chunks().take(at),
             "total": total[stays],
-            "nexts": pa.ListArray.from_arrays(pa.array(kept_bounds), nexts.flatten().take(inside)),
+            "nexts": pa.ListArray.from_arrays(pa.array(kept_bounds), nexts.take(inside)),
             "counts": pa.ListArray.from_arrays(pa.array(kept_bounds), pa.array(flat).take(inside)),
         }
     )
@@ -305,7 +333,7 @@ def merged_streams(batches: Iterable[pa.RecordBatch], totals: bool) -> Iterator[
         if not batch.num_rows:
             continue
         held.append(batch)
-        entries += len(batch.column(3).flatten())
+        entries += batch.column(4).nbytes // 8
         if entries >= MERGED_ENTRIES:
             done = merge(pa.Table.from_batches(held))
             yield from _frequent_part(done.slice(0, done.num_rows - 1), totals)
@@ -378,7 +406,7 @@ def merged_stripes(rows: DataFrame, prefix_words: int, hot: list[str], bitmap: n
     def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from merged_streams(batches, bitmap is None)
 
-    key = ("lang", "prefix", "segment")
+    key = ("prefix", "lang", "segment")
     dealt = rows.mapInArrow(cut, STRIPE_SCHEMA).repartition(*key).sortWithinPartitions(*key)
     return stored(dealt.mapInArrow(add, MERGED_SCHEMA), f"stripes-{prefix_words}")
 
