@@ -116,38 +116,34 @@ def first_breach(sessions: DataFrame, thresholds: Thresholds = DEFAULTS) -> Data
 MOST_DAYS = 36_600
 
 
-def tick_totals(sessions: DataFrame, width_seconds: int) -> DataFrame:
-    """Spend and tokens per tick, a slice of the day of fixed width."""
+def tick_of(at: str, width_seconds: int) -> Column:
+    """The number of the slice of its day that a time falls in."""
     if DAY_SECONDS % width_seconds:
         raise ValueError("the tick width must divide a day")
+    second = F.unix_timestamp(at) - F.unix_timestamp(F.date_trunc("day", at))
+    return F.floor(second / F.lit(width_seconds)).cast("int")
+
+
+def tick_totals(sessions: DataFrame, width_seconds: int) -> DataFrame:
+    """Spend and tokens per tick, a slice of the day of fixed width."""
     ended = sessions.where(F.col("ended_at").isNotNull())
     date = F.to_date("ended_at")
-    second = F.unix_timestamp("ended_at") - F.unix_timestamp(F.date_trunc("day", "ended_at"))
-    tick = F.floor(second / F.lit(width_seconds)).cast("int")
-    return ended.groupBy(date.alias("date"), tick.alias("tick")).agg(
+    return ended.groupBy(date.alias("date"), tick_of("ended_at", width_seconds).alias("tick")).agg(
         F.sum(exact(F.col("cost_usd"))).cast(USD).alias("spent"), F.sum(tokens_total()).alias("tokens")
     )
 
 
-def ticks_from(totals: DataFrame, width_seconds: int) -> DataFrame:
-    """Spend of the day so far at the end of every tick of every calendar day.
+def ticks_from(totals: DataFrame, width_seconds: int, days: DataFrame | None = None) -> DataFrame:
+    """Spend of the day so far at the end of every tick of every calendar day, or of the
+    given days (date).
 
     Works on the totals, at most one row per tick, so nothing here grows with the
     number of sessions.
     """
-    span = totals.agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
     last = DAY_SECONDS // width_seconds - 1
-    too_long = F.raise_error(F.concat(F.lit("ticks of more days than allowed: "), "lo", F.lit(" to "), "hi"))
-    days = F.when(F.datediff("hi", "lo") < MOST_DAYS, F.expr("sequence(lo, hi, interval 1 day)")).otherwise(
-        too_long.cast("array<date>")
-    )
-    # One row makes the days; dealt out, many tasks make their ticks.
-    grid = (
-        span.where("lo IS NOT NULL")
-        .select(F.explode(days).alias("date"))
-        .repartition("date")
-        .select("date", F.explode(F.sequence(F.lit(0), F.lit(last))).alias("tick"))
-    )
+    if days is None:
+        days = calendar_days(totals)
+    grid = days.repartition("date").select("date", F.explode(F.sequence(F.lit(0), F.lit(last))).alias("tick"))
     upto = (
         Window.partitionBy("date").orderBy("tick").rowsBetween(Window.unboundedPreceding, 0)
     )
@@ -160,6 +156,17 @@ def ticks_from(totals: DataFrame, width_seconds: int) -> DataFrame:
     )
 
 
+def calendar_days(totals: DataFrame) -> DataFrame:
+    """All days from the first to the last of the totals."""
+    span = totals.agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
+    too_long = F.raise_error(F.concat(F.lit("ticks of more days than allowed: "), "lo", F.lit(" to "), "hi"))
+    days = F.when(F.datediff("hi", "lo") < MOST_DAYS, F.expr("sequence(lo, hi, interval 1 day)")).otherwise(
+        too_long.cast("array<date>")
+    )
+    # One row makes the days; dealt out, many tasks make their ticks.
+    return span.where("lo IS NOT NULL").select(F.explode(days).alias("date"))
+
+
 def burn_from(ticks: DataFrame, width_seconds: int) -> DataFrame:
     """USD per hour since the tick before; 0 unless the spend grew.
 

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 
-def run_available(stream: DataFrame, mode: str, write: Callable, progress: str) -> None:
-    """Process what has arrived since the last run, then stop.
+def run_available(stream: DataFrame, mode: str, write: Callable, progress: str) -> list:
+    """Process what has arrived since the last run, then stop; returns the progress reports.
 
     ``write(batch, batch_id)`` stores a batch. ``progress`` is the folder that remembers
     how far earlier runs came; the same folder resumes, another one starts anew.
@@ -22,6 +22,7 @@ def run_available(stream: DataFrame, mode: str, write: Callable, progress: str)
         .start()
     )
     query.awaitTermination()
+    return list(query.recentProgress)
 
 
 def batch_writer(path: str, *partitions: str) -> Callable[[DataFrame, int], None]:

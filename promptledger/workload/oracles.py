@@ -764,6 +764,7 @@ SELECT tag, id, spent_usd, {percent('spent_usd', SESSION_LIMIT)} AS used_percent
  {state(percent('spent_usd', SESSION_LIMIT))} AS state FROM summed"""
 
 ORACLES["stream_daily_spend"] = ORACLES["daily_spend"]
+ORACLES["stream_daily_upsert"] = ORACLES["daily_spend"]
 ORACLES["stream_alerts"] = _TICKS_3600 + (
     f"SELECT {_DAY}, tick, tokens_today, spend_usd, burn_usd_per_hour, projected_usd, "
     f"{percent('spend_usd')} AS used_percent, {state(percent('spend_usd'))} AS state, "

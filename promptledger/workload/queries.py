@@ -743,6 +743,16 @@ def stream_alerts(spark, sf_dir):
     return shown_days(alerts)
 
 
+@query
+def stream_daily_upsert(spark, sf_dir):
+    """Every ended session as a daily row of its own."""
+    sessions = views.ledger_stream(spark, sf_dir).where(F.col("ended_at").isNotNull())
+    daily = sessions.select(
+        F.to_date("ended_at").alias("date"), "cost_usd", ledger.tokens_total().alias("tokens_total")
+    )
+    return shown_days(live.stream_daily_upsert(daily, *folders(spark, "upsert")))
+
+
 @query
 def stream_scrub(spark, sf_dir):
     found = gate.stream_scrub(views.planted_stream(spark, sf_dir), *folders(spark, "scrub"))

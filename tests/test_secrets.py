@@ -151,7 +151,7 @@ def test_opened_and_never_closed_is_linear(texts, kind, unit, sizes):
     def seconds(count):
         table = scrubbing.redacted(texts(unit * count), (kind,))
         begin = time.perf_counter()
-        assert table.first().clean == unit * count
+        assert table.first().text == unit * count
         return time.perf_counter() - begin
 
     seconds(10)
@@ -165,5 +165,5 @@ def test_keys_before_an_unclosed_one_are_found(texts):
     table = texts(f"a {key} b {key}\n-----BEGIN PRIVATE KEY-----\nc", "x-eyJeyJ" + "a" * 20 + ".eyJ" + "b" * 12 + "." + "c" * 12)
     rows = scrubbing.redacted(table, ("ssh_key", "jwt")).orderBy("payload_id").collect()
     label = "[REDACTED:SSH_PRIVATE_KEY]"
-    assert rows[0].clean == f"a {label} b {label}\n-----BEGIN PRIVATE KEY-----\nc"
-    assert rows[1].clean == "x-[REDACTED:JWT]"
+    assert rows[0].text == f"a {label} b {label}\n-----BEGIN PRIVATE KEY-----\nc"
+    assert rows[1].text == "x-[REDACTED:JWT]"
