@@ -10,7 +10,7 @@ across with a cosine of at least the threshold, in double precision, are links.
 are one vertex and one query. Queries of a fixed random choice are audited against all vectors
 of the shard: each of them that has links must reach ``RECALL`` by itself, or the beam is
 doubled. Where too few of them have links besides those of the largest group, more are audited.
-Where all would have to be, or ``WIDEST`` does not do, every vector is compared with every other.
+Where ``WIDEST`` does not do, every vector is compared with every other.
 
 Result: one row per vector: vec_id, n_links, component_id, kept. A vector that is null, zero
 or has null or non-finite components, or whose label is null, links with nothing. Rows of
@@ -36,16 +36,16 @@ SHARD_BYTES = 4 << 20
 #: Vectors of a shard, however short: the table of links found has this many squared.
 SHARD_VECTORS = 8_192
 #: Links of a vector in the lowest layer; half as many above.
-DEGREE = 24
-BEAM = 48
+DEGREE = 16
+BEAM = 32
 RECALL = 0.99
 #: Queries audited at first, and how many of them must have links besides the largest group's.
 AUDITED = 512
 LINKED = 64
 #: Beam beyond which it costs less to compare all vectors of a shard.
-WIDEST = 4 * BEAM
+WIDEST = 8 * BEAM
 #: Vectors inserted or queried together.
-TOGETHER = 256
+TOGETHER = 512
 
 
 class Layer:
@@ -236,15 +236,12 @@ def audit(queries: np.ndarray, members: np.ndarray, order: np.ndarray, alone: bo
 
 
 def matches(queries: np.ndarray, members: np.ndarray, salt: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """Which members each query is linked with, as a table of booleans. ``salt`` is the
-    graph's, ``order`` the one in which queries are audited."""
+    """Which members each query is linked with, as a table of booleans: what a search of the
+    members' graph comes across, whatever their number. ``salt`` is the graph's, ``order`` the
+    one in which queries are audited."""
     audited, truth = audit(queries, members, order, members is queries)
-    if len(audited) == len(queries):
-        found = np.empty_like(truth)
-        found[audited] = truth
-        return found
     graph, beam = Graph(members, salt), BEAM
-    while beam <= WIDEST and beam < len(members):
+    while beam <= WIDEST:
         found = np.zeros((len(queries), len(members)), dtype=bool)
         for lo in range(0, len(queries), TOGETHER):
             part = queries[lo : lo + TOGETHER]

@@ -83,6 +83,21 @@ def test_one_document_stays_of_each_group(spark):
     assert sorted(kept) == sorted(expected)
 
 
+def test_rows_that_share_or_lack_an_id(spark):
+    one, two, three = (" ".join(f"{c}{n}" for n in range(40)) for c in "abc")
+    rows = [(1, one), (1, two), (2, one), (3, three), (3, three + " more"), (4, three), (None, two + " x"), (None, "alone words here"),
+            (None, "alone words here"), (9, ""), (9, ""), (9, None), (None, None)]
+    extra = {c: F.lit(0) for c in ("row_key", "mark", "shared_id", "_mark", "stays", "id", "first")}
+    table = spark.createDataFrame(rows, "doc_id BIGINT, text STRING").withColumns(extra)
+    kept = signature_join.one_per_group(table)
+    assert kept.columns == table.columns
+    kept = [(r.doc_id, r.text) for r in kept.collect()]
+    threes = [r for r in kept if r[0] == 3]
+    assert len(threes) == 1 and threes[0] in rows
+    expected = [(1, one), (1, two), (None, "alone words here"), (9, ""), (9, ""), (9, None), (None, None)]
+    assert sorted(map(str, [r for r in kept if r[0] != 3])) == sorted(map(str, expected))
+
+
 def test_join_of_nothing(spark):
     empty = spark.createDataFrame([], "doc_id BIGINT, text STRING")
     assert signature_join.similarity_components(empty).count() == 0
