@@ -347,8 +347,8 @@ def test_files_hold_all_documents_in_order(spark, odd, tmp_path):
 # --- the whole
 
 
-def test_url_oracle_is_registered():
-    assert set(ORACLES) <= set(queries.QUERIES) and len(queries.QUERIES) == 10
+def test_oracles_are_registered():
+    assert set(ORACLES) <= set(queries.QUERIES) and len(queries.QUERIES) == 13
 
 
 def test_pipeline_equals_its_parts_by_brute_force(spark):
@@ -381,3 +381,49 @@ def test_pipeline_equals_its_parts_by_brute_force(spark):
     private = pseudonyms.pseudonymised(table, "not a secret").orderBy("doc_id").collect()
     ids = whole_ids([r.text for r in private], "byte_bpe_50k.json", 0)
     check_packing(rows, list(zip([r.doc_id for r in private], ids, strict=True)))
+
+
+VALID = {
+    "card": "4111 1111 1111 1111",
+    "ssn": "123-45-6789",
+    "iban": "DE89 3704 0044 0532 0130 00",
+    "phone": "(415) 555-2671",
+    "ipv4": "203.0.113.77",
+    "date": "2020-01-31",
+    "email": "john.doe@mail.example.com",
+    "hex": "0123456789abcdef0123456789abcdef",
+}
+
+
+def test_values_before_marks_and_line_ends(spark):
+    """Whatever mark ends the sentence, the value goes and the mark stays."""
+    ends = [".", ",", ";", ":", ")", "?", "!", "\n", "", ". Then", ".)", "...", ".\n\nx@y"]
+    texts = [f"see {value}{end}" for value in VALID.values() for end in ends]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id BIGINT, text STRING")
+    got = {r.doc_id: r for r in pseudonyms.pseudonymised(docs, "k").collect()}
+    for k, text in enumerate(texts):
+        value, end = list(VALID.values())[k // len(ends)], ends[k % len(ends)]
+        assert got[k].n_values == 1 and value not in got[k].text, text
+        assert got[k].text.startswith("see ") and got[k].text.endswith(end), got[k].text
+
+
+def test_long_domains_are_linear(spark):
+    texts = ["x@" + "a." * 100_000, "x@a" + ".com" * 100, "@".join("a.b" for _ in range(50_000)), "x@a." + "b" * 300_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id BIGINT, text STRING")
+    assert {r.doc_id: r.n_values for r in pseudonyms.pseudonymised(docs, "k").collect()}[1] == 1
+
+
+def test_packing_of_repeated_ids_and_full_pieces(spark):
+    rows = [(7, n) for n in (2048, 2048, 2047, 1, 1000, 1048)] * 50 + [(None, 2048), (None, 5)]
+    table = spark.createDataFrame([(i, 0, 0, n, k) for k, (i, n) in enumerate(rows)], packing.PIECE_SCHEMA)
+    packed = packing.pack(table).collect()
+    held = defaultdict(list)
+    for r in packed:
+        held[r.sequence_id].append((r.offset, r.length))
+    assert len(packed) == len(rows) and len(held) == 50 * 4 + 2
+    for parts in held.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 2048
