@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from promptledger.llm.tables import stored
-from promptledger.llm.textgrams import BYTE_VALUE, PLACE, Words, byte_chunks, mix, span_hashes
+from promptledger.llm.textgrams import FOLDED, PLACE, Words, byte_chunks, mix, span_hashes
 
 UNKNOWN = "und"
 MOST_WORDS = 3
@@ -62,7 +62,6 @@ FILTER_BITS = 1 << 27
 RANK_PARTS = 64
 
 _CODES = np.arange(256)
-_LOWER = np.where((_CODES >= ord("A")) & (_CODES <= ord("Z")), _CODES + 32, _CODES).astype(np.uint8)
 _ENDS_PIECE = np.isin(_CODES, [*b".,;:!?", *range(0x0A, 0x0E)])
 _PARTS_WORDS = _ENDS_PIECE | np.isin(_CODES, [0x20, 0x09])
 
@@ -99,7 +98,7 @@ class Sequence:
             on[:-1] = (piece[words.starts[1:]] == piece[words.starts[:-1]]) & (text[1:] == text[:-1])
             hashes.append(words.hashes)
             sizes.append(words.ends - words.starts)
-            letters.append(_LOWER[data[~_PARTS_WORDS[data]]])
+            letters.append(FOLDED[data[~_PARTS_WORDS[data]]])
             of_lang.append(np.repeat(tag[lo:hi], many))
             goes_on.append(on)
         if not sizes:
@@ -132,7 +131,7 @@ def combined(langs: np.ndarray, words: list[np.ndarray]) -> np.ndarray:
 def _span_hashes(values: pa.Array) -> np.ndarray:
     """A hash of each whole string, whatever it holds."""
     data, offsets = bytes_of(values)
-    return span_hashes(data, offsets[:-1], offsets[1:], BYTE_VALUE)
+    return span_hashes(data, offsets[:-1], offsets[1:], FOLDED)
 
 
 def places_of(hashes: np.ndarray) -> list[np.ndarray]:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from promptledger.llm.textgrams import BYTE_VALUE, Words, byte_chunks, span_hashes
+from promptledger.llm.textgrams import FOLDED, Words, byte_chunks, span_hashes
 
 SAMPLE_ROWS = 20_000
 TREES = 80
@@ -90,7 +90,7 @@ def statistics_of(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
         line_cut[1:][data == 10] = True
         starts = np.flatnonzero(line_cut[:-1])
         ends = np.append(starts[1:], len(data))[: len(starts)]
-        lines = span_hashes(data, starts, ends, BYTE_VALUE)
+        lines = span_hashes(data, starts, ends, FOLDED)
         line_bounds = np.searchsorted(starts, offsets)
         pairs, _ = words.grams(2)
         triples, _ = words.grams(3)

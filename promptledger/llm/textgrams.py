@@ -15,8 +15,6 @@ import pyarrow as pa
 CHUNK_BYTES = 1 << 20
 
 _GAMMA = np.uint64(0x9E3779B97F4A7C15)
-_BASE = 0xD6E8FEB86659FD93
-_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -28,13 +26,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _byte_values() -> np.ndarray:
-    order = np.arange(256, dtype=np.uint64)
-    order[ord("A") : ord("Z") + 1] += np.uint64(32)
-    return mix((order + np.uint64(1)) * _GAMMA)
-
-
-BYTE_VALUE = _byte_values()
+#: Bytes as they are, and with A-Z lower-cased.
+AS_IS = np.arange(256, dtype=np.uint8)
+FOLDED = np.where((AS_IS >= ord("A")) & (AS_IS <= ord("Z")), AS_IS + 32, AS_IS).astype(np.uint8)
 IS_BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 #: All ASCII characters but letters and digits.
 IS_MARK = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
@@ -42,30 +36,33 @@ IS_MARK = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 PLACE = mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0xBF58476D1CE4E5B9)) | np.uint64(1)
 
 
-class _Powers:
-    """Powers of the base and its inverse, grown to the longest chunk seen."""
-
-    up = np.ones(1, dtype=np.uint64)
-    down = np.ones(1, dtype=np.uint64)
+#: The first bytes of a little-endian block of eight.
+_FIRST_BYTES = np.array([(1 << (8 * n)) - 1 for n in range(9)], dtype=np.uint64)
 
-    @classmethod
-    def upto(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n:
-            size = max(n, CHUNK_BYTES)
-            for name, base in (("up", _BASE), ("down", _INVERSE)):
-                steps = np.full(size, base, dtype=np.uint64)
-                steps[0] = 1
-                setattr(cls, name, np.cumprod(steps, dtype=np.uint64))
-        return cls.up[:n], cls.down[:n]
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: np.ndarray, salt: int = 0) -> np.ndarray:
+    """Hashes of the byte spans of ``data``; ``fold`` gives each byte another one to count as.
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Hashes of the byte spans of ``data``; ``values`` gives each byte its weight."""
-    up, down = _Powers.upto(len(data) + 1)
-    summed = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(values[data] * up[:-1], out=summed[1:])
-    lengths = (ends - starts).astype(np.uint64)
-    return mix((summed[ends] - summed[starts]) * down[starts] + lengths * _GAMMA)
+    The blocks of eight bytes of a span are mixed with their places, one by one, before they
+    are added, so no regular pattern of bytes makes sums equal as it does for polynomials.
+    """
+    if not len(starts):
+        return np.zeros(0, dtype=np.uint64)
+    held = np.zeros(len(data) + 8, dtype=np.uint8)
+    held[: len(data)] = fold[data]
+    block_at = np.ndarray(len(data) + 1, dtype="<u8", buffer=held, strides=(1,))
+    lengths = ends - starts
+    many = (lengths + 7) >> 3
+    begin = np.cumsum(many) - many
+    owner = np.repeat(np.arange(len(starts)), many)
+    place = np.arange(len(owner)) - begin[owner]
+    value = block_at[starts[owner] + 8 * place] & _FIRST_BYTES[np.minimum(lengths[owner] - 8 * place, 8)]
+    value = mix(mix(value + np.uint64(salt)) ^ ((place + 1).astype(np.uint64) * _GAMMA))
+    total = np.zeros(len(starts), dtype=np.uint64)
+    filled = many > 0
+    if filled.any():
+        total[filled] = np.add.reduceat(value, begin[filled])
+    return mix(total ^ (lengths.astype(np.uint64) * _GAMMA))
 
 
 class Words:
@@ -87,7 +84,7 @@ class Words:
         self.starts = np.flatnonzero(inside & (~before | first[:-1]))
         self.ends = np.flatnonzero(inside & (~after | first[1:])) + 1
         self.bounds = np.searchsorted(self.starts, offsets)
-        self.hashes = span_hashes(data, self.starts, self.ends, BYTE_VALUE)
+        self.hashes = span_hashes(data, self.starts, self.ends, FOLDED)
 
     def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all n-word windows, by first word, and which lie within one text."""

@@ -2,8 +2,9 @@
 
 A text is cut only where no token can cross: before blanks that follow other characters,
 and between a letter or digit and ASCII punctuation. The ids of a piece then do not depend
-on what surrounds it, so repeated pieces are looked up by a 64-bit hash. Vocabulary files
-are named by a path and never copied. Null texts count as empty. Strings of special tokens
+on what surrounds it, so repeated pieces are looked up by a 64-bit hash, and a second one of
+64 bits tells whether it is the same piece; where it is not, the texts are encoded by the
+library as they are. Vocabulary files are named by a path and never copied. Null texts count as empty. Strings of special tokens
 in a text become their ids, as the library does by default; none may contain a blank.
 """
 
@@ -16,7 +17,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 
-from promptledger.llm.textgrams import byte_chunks, mix, span_hashes
+from promptledger.llm.textgrams import AS_IS, byte_chunks, span_hashes
 
 #: Distinct pieces, and ids of them, that a worker remembers; beyond it starts anew.
 MEMORY_PIECES = 2_000_000
@@ -28,7 +29,7 @@ _ALNUM = np.array([chr(c).isalnum() and c < 128 for c in _CODES])
 _PUNCT = np.array([0x21 <= c < 0x7F and not chr(c).isalnum() and chr(c) != "'" for c in _CODES])
 #: Control characters that some patterns take for white space.
 _CONTROL = _CODES < 0x20
-_VALUE = mix(_CODES.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25) + np.uint64(7))
+_SECOND = 0x9FB21C651E98DF25
 
 
 def _before(data: np.ndarray, steps: int) -> np.ndarray:
@@ -103,17 +104,19 @@ class PieceTokenizer:
 
     def _forget(self) -> None:
         self._hashes = np.zeros(0, np.uint64)
+        self._seconds = np.zeros(0, np.uint64)
         self._firsts = np.zeros(0, np.int64)
         self._counts = np.zeros(0, np.int64)
         self._flat = np.zeros(0, np.uint32)
 
-    def _learn(self, hashes: np.ndarray, pieces: list[str]) -> None:
+    def _learn(self, hashes: np.ndarray, seconds: np.ndarray, pieces: list[str]) -> None:
         found = [e.ids for e in self._library.encode_batch_fast(pieces, add_special_tokens=False)]
         counts = np.fromiter(map(len, found), np.int64, len(found))
         flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(counts.sum()))
         firsts = len(self._flat) + np.cumsum(counts) - counts
         at = np.searchsorted(self._hashes, hashes)
         self._hashes = np.insert(self._hashes, at, hashes)
+        self._seconds = np.insert(self._seconds, at, seconds)
         self._firsts = np.insert(self._firsts, at, firsts)
         self._counts = np.insert(self._counts, at, counts)
         self._flat = np.concatenate([self._flat, flat])
@@ -121,7 +124,8 @@ class PieceTokenizer:
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of consecutive texts, and the bounds of each text's ids in them."""
         starts, ends = piece_spans(data, offsets, self._keeps_blanks, self._punct)
-        hashes = span_hashes(data, starts, ends, _VALUE)
+        hashes = span_hashes(data, starts, ends, AS_IS)
+        seconds = span_hashes(data, starts, ends, AS_IS, _SECOND)
         distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self._hashes) + len(distinct) > MEMORY_PIECES or len(self._flat) > MEMORY_IDS:
             self._forget()
@@ -129,14 +133,23 @@ class PieceTokenizer:
         if new.any():
             raw = data.tobytes()
             spans = zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)
-            self._learn(distinct[new], [raw[a:b].decode() for a, b in spans])
+            self._learn(distinct[new], seconds[first[new]], [raw[a:b].decode() for a, b in spans])
         at = np.searchsorted(self._hashes, distinct)[inverse]
+        if (self._seconds[at] != seconds).any():  # two pieces of one hash
+            return self._encode_whole(data, offsets)
         counts = self._counts[at]
         upto = np.concatenate([[0], np.cumsum(counts)])
         place = np.repeat(self._firsts[at] - upto[:-1], counts) + np.arange(upto[-1])
         return self._flat[place], upto[np.searchsorted(starts, offsets)]
 
 
+    def _encode_whole(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        raw = data.tobytes()
+        texts = [raw[a:b].decode() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        found = [np.array(e.ids, np.uint32) for e in self._library.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.concatenate(found), np.concatenate([[0], np.cumsum([len(ids) for ids in found])])
+
+
 @cache
 def tokenizer(path: str, keeps_blanks: bool) -> PieceTokenizer:
     """One tokenizer per worker process."""

@@ -109,3 +109,70 @@ def test_the_search_empties_bins_that_best_fit_leaves():
     lengths = np.array([5, 4, 4, 3, 2, 2])
     assert packing.best_fit(lengths, 10).max() + 1 == 3
     assert packing.packed_bins(lengths, 10).max() + 1 == 2
+
+
+def regular_words():
+    """Words that polynomial hashes modulo 2 ** 64 cannot tell apart, in sizes."""
+    for size in (8, 64, 1024, 2048, 4096):
+        parity = [bin(k).count("1") % 2 for k in range(size)]
+        yield "".join("ab"[p] for p in parity), "".join("ba"[p] for p in parity)
+
+
+def test_regular_words_have_different_hashes():
+    for one, two in regular_words():
+        words = next(textgrams.text_chunks(pa.array([f"{one} {two} {one.upper()}"])))[2]
+        assert words.hashes[0] != words.hashes[1] and words.hashes[0] == words.hashes[2]
+        blocks = [one[k : k + 8] for k in range(0, len(one), 8)]
+        turned = "".join(blocks[::-1])
+        if turned != one:
+            assert next(textgrams.text_chunks(pa.array([turned])))[2].hashes[0] != words.hashes[0]
+
+
+def test_span_hashes_equal_a_plain_sum():
+    mask, gamma = 2**64 - 1, 0x9E3779B97F4A7C15
+
+    def plain_mix(x):
+        x ^= x >> 32
+        x = x * 0xD6E8FEB86659FD93 & mask
+        x ^= x >> 29
+        x = x * 0xA24BAED4963EE407 & mask
+        return x ^ (x >> 32)
+
+    def plain(span):
+        total = sum(plain_mix(plain_mix(int.from_bytes(span[k : k + 8], "little")) ^ ((k // 8 + 1) * gamma & mask)) for k in range(0, len(span), 8))
+        return plain_mix((total & mask) ^ (len(span) * gamma & mask))
+
+    data = np.frombuffer(bytes(range(256)) * 3, np.uint8)
+    starts, ends = np.array([0, 5, 5, 100, 760, 768]), np.array([768, 5, 6, 117, 768, 768])
+    got = textgrams.span_hashes(data, starts, ends, textgrams.AS_IS)
+    assert got.tolist() == [plain(data[a:b].tobytes()) for a, b in zip(starts, ends, strict=True)]
+
+
+@pytest.mark.parametrize("name, keeps_blanks", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_ids_of_regular_words_equal_the_library(name, keeps_blanks, monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(name)
+    library = Tokenizer.from_file(path)
+    texts = [w for pair in regular_words() for w in pair] + ["a b a", "", "x " * 50]
+    expected = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+
+    def encoded():
+        found = []
+        encoder = tokens.PieceTokenizer(path, keeps_blanks)
+        for _, _, data, offsets in textgrams.byte_chunks(pa.array(texts)):
+            ids, bounds = encoder.encode(data, offsets)
+            found += [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        return found
+
+    assert encoded() == expected
+    # Where all first hashes collide, the second tells, and the library encodes whole texts.
+    whole = textgrams.span_hashes
+
+    def blunt(data, starts, ends, fold, salt=0):
+        hashes = whole(data, starts, ends, fold, salt)
+        return hashes if salt else hashes & np.uint64(1)
+
+    monkeypatch.setattr(tokens, "span_hashes", blunt)
+    assert encoded() == expected
