@@ -100,8 +100,50 @@ SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS la
 FROM coded JOIN kept USING (vec_id), book
 """
 
+SHINGLE_COMPONENTS = r"""
+WITH RECURSIVE spelled AS (
+  SELECT doc_id, list_filter(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 5
+    THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i : i + 4], ' '))
+    WHEN len(ws) > 0 THEN [len(ws) || ':' || array_to_string(ws, ' ')] ELSE [] END) AS s
+  FROM spelled),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS both
+  FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM common JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b
+  WHERE 100 * both >= 80 * (p.n + q.n - both)),
+reach(v, r) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT reach.v, links.b FROM reach JOIN links ON links.a = reach.r)
+SELECT v AS doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(r) AS component_id
+FROM reach LEFT JOIN sizes ON sizes.doc_id = v GROUP BY v
+"""
+
+VECTOR_COMPONENTS = r"""
+WITH RECURSIVE usable AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM usable x JOIN usable y
+    ON x.label = y.label AND x.vec_id <> y.vec_id AND len(x.e) = len(y.e)
+  WHERE list_cosine_similarity(x.e, y.e) >= 0.93),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a),
+reach(v, r) AS (
+  SELECT vec_id, vec_id FROM embeddings UNION SELECT reach.v, links.b FROM reach JOIN links ON links.a = reach.r)
+SELECT v AS vec_id, coalesce(any_value(n), 0)::BIGINT AS n_links, min(r) AS component_id, v = min(r) AS kept
+FROM reach LEFT JOIN counts ON counts.a = v GROUP BY v
+"""
+
 ORACLES: dict[str, str] = {
     "op3_bloom_url_filter": URL_FILTER,
+    "op7_signature_tree_join": SHINGLE_COMPONENTS,
+    "op9_graph_near_duplicates": VECTOR_COMPONENTS,
     "op12_stripe_collocations": COLLOCATIONS,
     "op13_anchor_codes": CODES,
 }

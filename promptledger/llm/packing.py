@@ -1,9 +1,10 @@
 """Best-fit packing of tokenised documents into sequences of bounded length.
 
 A document's ids end with an end id. Only documents above the capacity are cut: all pieces
-but the first have exactly the capacity, and fill a sequence alone. The other pieces are
-dealt by hash into groups of bounded size, whose mixture of lengths is alike; each group is
-packed by itself, which can waste less than one sequence per group.
+but the first have exactly the capacity. Pieces of the capacity fill a sequence alone and are
+numbered where they are. The other pieces are dealt by a hash of their place in the table,
+whatever their ids, into groups of bounded size, whose mixture of lengths is alike; each group
+is packed by itself, which can waste less than one sequence per group.
 
 Within a group best fit places the pieces by falling length. A local search then empties
 the least full sequence: it moves a piece out, exchanges one piece for a smaller one, one
@@ -26,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from promptledger.llm.tables import stored
 from promptledger.llm.tokens import token_chunks
 
 CAPACITY = 2048
@@ -231,9 +233,13 @@ def packed_bins(lengths: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
     return np.unique(bins, return_inverse=True)[1]
 
 
-def pack(pieces: DataFrame, groups: int, capacity: int = CAPACITY) -> DataFrame:
-    """Add sequence_id and offset to rows that have doc_id, piece and length."""
+def pack(pieces: DataFrame, groups: int | None = None, capacity: int = CAPACITY) -> DataFrame:
+    """Add sequence_id and offset to rows that have doc_id, piece and length, best of a stored
+    table, as they are read twice. Without a number of groups they are of bounded size."""
     names = pieces.columns
+    short = pieces.where(F.col("length") < capacity)
+    if groups is None:
+        groups = max(1, -(-short.count() // GROUP_PIECES))
 
     def place(table: pa.Table) -> pa.Table:
         table = table.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
@@ -251,21 +257,19 @@ def pack(pieces: DataFrame, groups: int, capacity: int = CAPACITY) -> DataFrame:
         )
 
     schema = [f"{name} {kind}" for name, kind in pieces.dtypes] + ["sequence_id BIGINT", "offset BIGINT"]
-    return (
-        pieces.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)))
-        .groupBy("pack_group")
-        .applyInArrow(place, ", ".join(schema))
+    dealt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups))
+    together = (
+        short.select(*names, dealt.alias("pack_group")).groupBy("pack_group").applyInArrow(place, ", ".join(schema))
     )
-
-
-def group_count(docs: DataFrame) -> int:
-    """Groups of bounded size for so many documents."""
-    return max(1, -(-docs.count() // GROUP_PIECES))
+    whole = pieces.where(F.col("length") >= capacity)
+    # Groups count from 0; below it is room for the sequences of one piece.
+    alone = whole.select(*names, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
+    return together.unionAll(alone)
 
 
 def pack_documents(docs: DataFrame, path: str, keeps_blanks: bool = True) -> DataFrame:
     """Tokenise and pack: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    return pack(token_pieces(docs, path, keeps_blanks), group_count(docs))
+    return pack(stored(token_pieces(docs, path, keeps_blanks), "token-pieces"))
 
 
 def sequences(packed: DataFrame) -> DataFrame:

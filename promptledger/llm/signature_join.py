@@ -382,18 +382,59 @@ def similarity_components(docs: DataFrame) -> DataFrame:
     )
 
 
+#: Made keys are above all ids.
+MADE = 1 << 62
+
+
+def _free_names(docs: DataFrame, *names: str) -> list[str]:
+    """The names, longer where the documents have such columns."""
+    taken = {c.lower() for c in docs.columns}
+    return ["_" * max([0, *(len(c) for c in taken if c.endswith(n))]) + n for n in names]
+
+
+def _row_keys(docs: DataFrame, key: str) -> DataFrame:
+    """The documents with a key: their id, or where several texts share it or it is null, a
+    hash above all ids that tells (id, text) apart."""
+    own, shared_id, mark = F.col("doc_id").cast("bigint"), *_free_names(docs, "shared_id", "mark")
+    text = F.col("text").cast("string")
+    shared = stored(
+        docs.select(own.alias(shared_id), F.xxhash64(text).alias("h"))
+        .where(F.col(shared_id).isNotNull())
+        .groupBy(shared_id)
+        .agg(F.min("h").alias("lo"), F.max("h").alias("hi"))
+        .where("lo <> hi")
+        .select(shared_id, F.lit(True).alias(mark)),
+        "shared-ids",
+        docs.count(),
+    )
+    made = F.lit(MADE) + F.pmod(F.xxhash64(own, text), F.lit(1 << 61))
+    alone = F.col(mark).isNull() & own.isNotNull()
+    joined = docs.join(shared, own == F.col(shared_id), "left").withColumn(key, F.when(alone, own).otherwise(made))
+    return joined.drop(shared_id, mark)
+
+
 def one_per_group(docs: DataFrame) -> DataFrame:
     """Rows of the documents, all columns: of each group of linked documents the one with
-    the smallest id. Of rows that share an id one stays."""
-    found = similarity_components(docs)
-    gone = stored(
-        found.groupBy("doc_id")
-        .agg(F.min(F.col("component_id")).alias("component_id"), F.count("*").alias("rows"))
-        .where("doc_id <> component_id or rows > 1"),
+    the smallest id. Rows that share an id, or have none, are told apart by their texts: each
+    stays unless its own text is linked to that of the row that stays. Rows without an id come
+    after all others. Of rows equal in id and text one stays; texts without words all stay."""
+    key = _free_names(docs, "row_key")[0]
+    keyed = _row_keys(docs, key)
+    ids = keyed.select(F.col(key).alias("doc_id"), "text", F.col("doc_id").cast("bigint").alias("id"))
+    found = stored(similarity_components(ids).where("n_shingles > 0"), "row-components")
+    made = ids.where(F.col("doc_id") >= MADE).select("doc_id", F.coalesce("id", F.lit((1 << 63) - 1)).alias("id"))
+    named = found.join(made.distinct(), "doc_id", "left")
+    rank = F.struct(F.coalesce("id", "doc_id").alias("id"), F.col("doc_id").alias("key"))
+    groups = named.groupBy("component_id").agg(F.min(rank).alias("first"), F.count("*").alias("rows"))
+    groups = groups.where("rows > 1").select("component_id", F.col("first.key").alias("first"))
+    members = stored(
+        found.join(groups, "component_id")
+        .select(F.col("doc_id").alias(key), (F.col("doc_id") == F.col("first")).alias("stays"))
+        .distinct(),
         "not-alone",
         docs.count(),
     )
     # Shuffled at every size, as the texts of candidates are.
-    single = docs.join(gone.select("doc_id").hint("shuffle_hash"), "doc_id", "left_anti")
-    repeated = docs.join(gone.where("doc_id = component_id").select("doc_id"), "doc_id", "left_semi")
-    return single.unionByName(repeated.dropDuplicates(["doc_id"])).select(*docs.columns)
+    single = keyed.join(members.select(key).hint("shuffle_hash"), key, "left_anti")
+    first = keyed.join(members.where("stays").select(key), key, "left_semi").dropDuplicates([key])
+    return single.unionByName(first).select(*docs.columns)

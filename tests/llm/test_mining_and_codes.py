@@ -25,7 +25,10 @@ def as_sql(name, tables):
     return [d[0] for d in result.description], result.fetchall()
 
 
-@pytest.mark.parametrize("name, tables", [("op12_stripe_collocations", ["documents"]), ("op13_anchor_codes", ["embeddings"])])
+@pytest.mark.parametrize("name, tables", [
+    ("op7_signature_tree_join", ["documents"]), ("op9_graph_near_duplicates", ["embeddings"]),
+    ("op12_stripe_collocations", ["documents"]), ("op13_anchor_codes", ["embeddings"]),
+])
 def test_equal_to_sql(spark, name, tables):
     columns, expected = as_sql(name, tables)
     got = queries.QUERIES[name](spark, SF).select(*columns).collect()
