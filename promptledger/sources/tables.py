@@ -49,21 +49,27 @@ def load_payloads(
     id_column: str = "payload_id",
     text_column: str = "text",
     model_column: str | None = None,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Payloads as ``(payload_id, text)``, with ``model`` where a column for it is named.
 
     ``text`` takes every file as one payload, whose id is a 64-bit hash of its path;
-    ``parquet``, ``orc`` and ``json`` take one payload per record.
+    ``parquet``, ``orc`` and ``json`` take one payload per record. A file whose records are
+    one row group is read by one task; ``partitions`` deals its payloads out to so many,
+    which shuffles them. Files of many row groups need no dealing.
     """
     if fmt == "text":
-        return spark.read.text(path, wholetext=True).select(
-            F.xxhash64(F.input_file_name()).alias("payload_id"), F.col("value").alias("text")
-        )
-    if fmt == "json":
+        payloads = _whole_files(spark.read.text(path, wholetext=True))
+    elif fmt == "json":
         source = spark.read.schema(_payload_schema(id_column, text_column, model_column)).json(path)
+        payloads = _as_payloads(source, id_column, text_column, model_column)
     else:
-        source = spark.read.format(fmt).load(path)
-    return _as_payloads(source, id_column, text_column, model_column)
+        payloads = _as_payloads(spark.read.format(fmt).load(path), id_column, text_column, model_column)
+    return payloads if partitions is None else payloads.repartition(partitions)
+
+
+def _whole_files(files: DataFrame) -> DataFrame:
+    return files.select(F.xxhash64("_metadata.file_path").alias("payload_id"), F.col("value").alias("text"))
 
 
 def _payload_schema(id_column: str, text_column: str, model_column: str | None) -> str:
@@ -87,11 +93,17 @@ def stream_payloads(
     id_column: str = "payload_id",
     text_column: str = "text",
     model_column: str | None = None,
+    partitions: int | None = None,
 ) -> DataFrame:
-    """Payloads as they arrive in a folder."""
-    schema = _payload_schema(id_column, text_column, model_column)
-    arriving = spark.readStream.schema(schema).format(fmt).load(path)
-    return _as_payloads(arriving, id_column, text_column, model_column)
+    """Payloads as they arrive in a folder, the same as ``load_payloads`` reads them. A text
+    file counts when it is there, as a whole, and must not be appended to."""
+    if fmt == "text":
+        payloads = _whole_files(spark.readStream.text(path, wholetext=True))
+    else:
+        schema = _payload_schema(id_column, text_column, model_column)
+        arriving = spark.readStream.schema(schema).format(fmt).load(path)
+        payloads = _as_payloads(arriving, id_column, text_column, model_column)
+    return payloads if partitions is None else payloads.repartition(partitions)
 
 
 def stream_sessions(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -111,6 +123,11 @@ def load_sessions(spark: SparkSession, path: str, fmt: str = "parquet") -> DataF
     return spark.read.schema(SESSION_SCHEMA).format(fmt).load(path)
 
 
+#: Columns that sessions are looked up by: files carry Bloom filters of them, so a lookup
+#: reads the row groups that may hold the key, whatever range of keys each spans.
+LOOKUP_COLUMNS = ("id", "session_uuid")
+
+
 def write_sessions(sessions: DataFrame, path: str) -> None:
     """Append to a stored ledger, in folders by the day sessions ended.
 
@@ -121,7 +138,10 @@ def write_sessions(sessions: DataFrame, path: str) -> None:
     if wrong:
         raise ValueError(f"columns with another type than the ledger's: {wrong}")
     dated = sessions.withColumn(END_DATE, F.to_date("ended_at"))
-    dated.write.mode("append").partitionBy(END_DATE).parquet(path)
+    writer = dated.write.mode("append").partitionBy(END_DATE)
+    for column in LOOKUP_COLUMNS:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
+    writer.option("parquet.bloom.filter.adaptive.enabled", "true").parquet(path)
 
 
 def sessions_ended_on(spark: SparkSession, path: str, days: Sequence[str]) -> DataFrame:
@@ -131,10 +151,12 @@ def sessions_ended_on(spark: SparkSession, path: str, days: Sequence[str]) -> Da
     return stored.where(wanted).drop(END_DATE)
 
 
-def write_clean(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Write cleaned payloads; plain text files hold the text alone."""
+def write_clean(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] = ()) -> None:
+    """Write cleaned payloads, in folders by the values of the given columns; plain text files
+    hold the text alone."""
     columns = ["text"] if fmt == "text" else ["payload_id", "text"]
-    df.select(*columns).write.mode("overwrite").format(fmt).save(path)
+    columns += [c for c in partition_by if c not in columns]
+    df.select(*columns).write.mode("overwrite").format(fmt).partitionBy(*partition_by).save(path)
 
 
 def write_json(df: DataFrame, path: str) -> None:

@@ -66,7 +66,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` as payloads."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return load_payloads(spark, f"{sf_dir}/documents.parquet", id_column="doc_id")
+    return load_payloads(spark, f"{sf_dir}/documents.parquet", id_column="doc_id", partitions=partitions(spark))
+
+
+def partitions(spark: SparkSession) -> int | None:
+    """How many partitions texts are dealt to, where the session says so: the test tables are
+    files of one row group each, which one task would read and scan."""
+    said = spark.conf.get("spark.promptledger.textPartitions", None)
+    return int(said) if said else None
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,7 +103,7 @@ def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
 def planted_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same texts, arriving. The pattern lets a stream read a single file."""
     path = f"{sf_dir}/documents.parque[t]"
-    return planted_text(stream_payloads(spark, path, id_column="doc_id"))
+    return planted_text(stream_payloads(spark, path, id_column="doc_id", partitions=partitions(spark)))
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

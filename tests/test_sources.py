@@ -71,3 +71,50 @@ def test_model_of_each_payload(spark, tmp_path):
     path = str(tmp_path / "p")
     spark.sql("SELECT 1L AS payload_id, 'a b' AS text, 'gpt-4o' AS m").write.parquet(path)
     assert tables.load_payloads(spark, path, model_column="m").first().model == "gpt-4o"
+
+
+def test_text_files_stream_with_the_ids_they_load_with(spark, tmp_path):
+    for name, text in (("a.txt", "one\ntwo\n"), ("b c.txt", "mail a@b.co"), ("d.txt", "")):
+        (tmp_path / name).write_text(text)
+    loaded = {r.payload_id: r.text for r in tables.load_payloads(spark, str(tmp_path), "text").collect()}
+    out, progress = fresh_path(spark, "whole-files"), fresh_path(spark, "progress")
+    arriving = tables.stream_payloads(spark, str(tmp_path), "text")
+    query = arriving.writeStream.format("parquet").option("path", out).option("checkpointLocation", progress)
+    query.trigger(availableNow=True).start().awaitTermination()
+    assert {r.payload_id: r.text for r in spark.read.parquet(out).collect()} == loaded
+    assert "one\ntwo\n" in loaded.values()
+
+
+def test_payloads_dealt_to_partitions(spark, texts):
+    path = fresh_path(spark, "one-file")
+    texts(*map(str, range(40))).coalesce(1).write.parquet(path)
+    dealt = tables.load_payloads(spark, path, partitions=5)
+    assert dealt.rdd.getNumPartitions() == 5 and dealt.count() == 40
+    assert tables.load_payloads(spark, path).rdd.getNumPartitions() == 1
+
+
+def test_clean_text_in_folders(spark, texts):
+    path = fresh_path(spark, "clean-by")
+    cleaned = scrubbing.redacted(texts("a", "b")).selectExpr("*", "payload_id % 2 AS part")
+    tables.write_clean(cleaned, path, partition_by=["part"])
+    assert sorted(map(tuple, spark.read.parquet(path).collect())) == [(0, "a", 0), (1, "b", 1)]
+    assert [tuple(r) for r in spark.read.parquet(f"{path}/part=1").collect()] == [(1, "b")]
+
+
+@pytest.mark.parametrize("key", ["id", "session_uuid"])
+def test_a_lookup_reads_the_row_groups_that_may_hold_the_key(spark, key):
+    """Sessions of fifty files, each over the whole range of keys."""
+    path = fresh_path(spark, "ledger-files")
+    rows = spark.range(20_000).selectExpr(
+        "id * 7 AS id", "concat('u', md5(cast(id AS STRING))) AS session_uuid",
+        "timestamp'2024-01-01' AS started_at", "timestamp'2024-01-02' AS ended_at", "'m' AS model", "'t' AS tag",
+        "1L AS tokens_in", "1L AS tokens_out", "1L AS tokens_cached", "1.0D AS cost_usd", "0L AS warning_count", "'' AS notes",
+    )
+    tables.write_sessions(rows.repartition(50, "session_uuid"), path)
+    wanted = rows.where("id = 7 * 1234").first()
+    found = tables.load_sessions(spark, path).where(f"{key} = {wanted[key]!r}")
+    plan = found._jdf.queryExecution().executedPlan()
+    assert [r.id for r in found.collect()] == [wanted.id]
+    leaf = plan.collectLeaves().head()
+    read = leaf.metrics().apply("numOutputRows").value() if leaf.metrics().contains("numOutputRows") else -1
+    assert 1 <= read <= 3 * 20_000 // 50
