@@ -1,112 +1,211 @@
-"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
-
-1. All word n-grams of the test items are seeds, however many documents hold them: a passage
-   that is in many documents is found like any other, whichever part of it a copy keeps.
-2. Around its seeds a document is first held against bounds that no alignment can exceed
-   (``shared_words``, ``most_score``). They drop nearly all that share but common phrases.
-3. What is left is aligned with the item, word by word; case and ASCII punctuation do not
-   count. The
-   score is the best local alignment's, as a share of what the item scores against itself:
-   match 2, mismatch -1, gap -1. Inserted, dropped and replaced words cost little, so edited
-   and paraphrased copies score high, unrelated text with a few equal words low.
-
-The test items are the small side. They are cut into blocks of bounded bytes. A pass over the
-corpus is made per block, whose tasks carry this block only. No document moves.
-
-Result: one row per document and item with at least the least score. Null and blank texts
-hold nothing. Items without words match nothing. Repeated documents or items each report
-theirs. Empty tables give an empty result. Other columns are ignored.
+"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+
+1. Test items are cut into n-grams of two words, one after the other. One pass over the corpus
+   counts them, words being up to two others apart, and each item keeps its rarest ones as
+   seeds. How many follows from the least score (``seed_rule``): no passage of that score can
+   do without so many of them, whatever was edited, left out or put in.
+2. A second pass finds the seeds in the documents. They are joined with those of the items; a
+   document that holds enough seeds of an item is held against it.
+3. Around the n-grams they share, bounds that no alignment can exceed (``shared_words``,
+   ``most_score``) drop what shares but common phrases. What is left is aligned with the item,
+   word by word; case and ASCII punctuation do not count. The score is the best local
+   alignment's, as a share of what the item scores against itself: match 2, mismatch -1, gap
+   -1. Inserted, dropped and replaced words cost little, so edited and paraphrased copies
+   score high, unrelated text with a few equal words low.
+
+Items of up to three words must occur whole, as a part of them is a common phrase; so short
+items have single words as seeds. Items travel as tables. Tasks carry a Bloom filter of the
+n-grams of at most 32 MB; with more items than that suits it passes more, and the join drops
+them. Equal texts are aligned once.
+
+Result: one row per document and item with at least the least score, all such pairs. Null and
+blank texts hold nothing. Items without words match nothing. Repeated documents or items each
+report theirs. Empty tables give an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from promptledger.llm.tables import stored
-from promptledger.llm.textgrams import IS_MARK, Words, text_chunks
+from promptledger.llm.textgrams import IS_MARK, PLACE, Words, mix, text_chunks
 
-SEED_WORDS = 3
 LEAST_SCORE = 0.5
-#: Bytes of test items carried by a task at a time.
-BLOCK_BYTES = 16 << 20
+#: Words of a text that may lie between the two of an n-gram.
+MOST_BETWEEN = 2
+#: Items of so many words must occur whole.
+WHOLE_WORDS = 3
+#: Seeds an item has beyond those it needs; a document must hold as many more.
+MORE_SEEDS = 2
+#: The Bloom filter has 2 to this power of bits at most, tested at these shifts of a hash.
+MOST_FILTER_POWER = 28
+FILTER_SHIFTS = (0, 9, 18, 27, 36)
 MATCH, MISMATCH, GAP = 2, -1, -1
 
+
 def plain_words(texts: pa.Array) -> Iterator[tuple[int, int, Words]]:
     """Words without regard to case and ASCII punctuation, which copies often change."""
     return text_chunks(pc.utf8_lower(texts.cast(pa.large_string()).fill_null("")), IS_MARK)
 
 
 HIT_SCHEMA = "doc_id BIGINT, item_id BIGINT, score DOUBLE, first_word BIGINT, last_word BIGINT"
+SEED_SCHEMA = "item BIGINT, words BINARY, place INT, gram BIGINT, most INT, least_seeds INT, pairs BOOLEAN"
+PASSAGE_SCHEMA = "key BIGINT, key2 BIGINT, item BIGINT, score DOUBLE, first_word BIGINT, last_word BIGINT"
 
 
-@dataclass
-class Items:
-    """Test items and their n-grams, the latter sorted by hash."""
+def needed(words: int, least: float) -> int:
+    """The least alignment score of a passage of an item of so many words."""
+    share = 1.0 if words <= WHOLE_WORDS else min(least, 1.0)
+    return max(1, math.ceil(share * MATCH * words - 1e-9))
 
-    ids: np.ndarray
-    words: list[np.ndarray]
-    grams: np.ndarray
-    owner: np.ndarray
-    place: np.ndarray
 
-    @classmethod
-    def of(cls, ids: list[int], texts: list[str]) -> Items:
-        words, grams, owner, place = [], [], [], []
-        for lo, hi, found in plain_words(pa.array(texts, pa.string())):
-            for k in range(hi - lo):
-                own = found.hashes[found.bounds[k] : found.bounds[k + 1]]
-                hashes = window_hashes(own, SEED_WORDS)
-                words.append(own)
-                grams.append(hashes)
-                owner.append(np.full(len(hashes), lo + k))
-                place.append(np.arange(len(hashes)))
-        joined = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (grams, owner, place)]
-        order = np.argsort(joined[0], kind="stable")
-        return cls(np.array(ids), words, *(x[order] for x in joined))
+def seed_rule(words: int, least: float) -> tuple[bool, int, int]:
+    """Whether an item of so many words has pairs or single words as seeds, how many seeds,
+    and how many of them any passage of the least score holds.
 
+    Words 0 and 1, 2 and 3 and so on make pairs. A pair that a passage lacks costs it at least
+    3 of the item's own score: a mismatch or a left out word loses a match and 1, and three
+    words put in between cost 1 each. At both ends a passage may stop within a pair, for 2. So
+    a score of ``need`` leaves out at most (2 * words - need + 2) / 3 pairs. A single word left
+    out costs 2. Where there are not enough pairs, single words are taken.
+    """
+    lost = MATCH * words - needed(words, least)
+    pairs, missing = True, (lost + 2) // 3
+    if missing + 1 > words // 2:
+        pairs, missing = False, lost // MATCH
+    seeds = min(words // 2 if pairs else words, missing + 1 + MORE_SEEDS)
+    return pairs, seeds, seeds - missing
 
-def window_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
-    """Hashes of the n-word windows of a word sequence; a shorter one is one window."""
-    whole = Words.__new__(Words)
-    n = min(n, len(hashes))
-    whole.hashes, whole.bounds = hashes, np.array([0, len(hashes)])
-    return whole.grams(n)[0] if n else hashes
 
+def gapped(hashes: np.ndarray, distance: int) -> np.ndarray:
+    """Hashes of the two words at each place and so many words on; of one word for 0."""
+    if not distance:
+        return hashes
+    return mix(hashes[:-distance] * PLACE[0] + hashes[distance:] * PLACE[1])
 
-def _member(values: np.ndarray, ordered: np.ndarray, sieve: np.ndarray) -> np.ndarray:
-    """Positions of the values that are in the ordered array; the sieve has a bit for the
-    low bits of each of them and drops nearly all others cheaply."""
-    near = np.flatnonzero(sieve[(values & np.uint64(len(sieve) - 1)).astype(np.int64)])
-    at = np.searchsorted(ordered, values[near])
-    at[at == len(ordered)] = 0
-    return near[ordered[at] == values[near]]
 
+def own_grams(words: np.ndarray, pairs: bool) -> np.ndarray:
+    """The n-grams of an item, by place."""
+    return gapped(words, 1)[::2] if pairs else words
 
-def _sieve(ordered: np.ndarray) -> np.ndarray:
-    sieve = np.zeros(1 << max(10, (16 * len(ordered)).bit_length()), dtype=bool)
-    sieve[(ordered & np.uint64(len(sieve) - 1)).astype(np.int64)] = True
-    return sieve
 
+def _seeds(least: float):
+    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, texts = batch.columns
+            for lo, hi, found in plain_words(texts):
+                for k in range(lo, hi):
+                    words = found.hashes[found.bounds[k - lo] : found.bounds[k - lo + 1]]
+                    if not len(words):
+                        continue
+                    pairs, most, least_seeds = seed_rule(len(words), least)
+                    grams = own_grams(words, pairs)
+                    # The words travel with the first of an item's rows only.
+                    held = [words.astype("<u8").tobytes()] + [None] * (len(grams) - 1)
+                    same = [keys[k].as_py(), most, least_seeds, pairs]
+                    item, most, least_seeds, pairs = ([x] * len(grams) for x in same)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(item, pa.int64()),
+                            pa.array(held, pa.binary()),
+                            pa.array(np.arange(len(grams)), pa.int32()),
+                            pa.array(grams.view(np.int64)),
+                            pa.array(most, pa.int32()),
+                            pa.array(least_seeds, pa.int32()),
+                            pa.array(pairs),
+                        ],
+                        ["item", "words", "place", "gram", "most", "least_seeds", "pairs"],
+                    )
+
+    return cut
+
+
+class Sieve:
+    """A Bloom filter of n-grams, and the distances of words to look at."""
+
+    def __init__(self, grams: DataFrame):
+        """``grams`` has distinct ones and whether they are pairs."""
+        facts = grams.agg(F.count("*"), F.bool_or("pairs"), F.bool_or(~F.col("pairs"))).first()
+        bits = 1 << min(MOST_FILTER_POWER, max(10, (16 * facts[0]).bit_length()))
+        place = F.array(*(F.shiftrightunsigned("gram", n).bitwiseAND(F.lit(bits - 1)) for n in FILTER_SHIFTS))
+        held = (
+            grams.select(F.explode(place).alias("bit"))
+            .groupBy(F.shiftright("bit", 6).alias("at"))
+            .agg(F.bit_or(F.expr("shiftleft(1L, int(bit & 63))")).alias("held"))
+            .toArrow()
+        )
+        self.held = np.zeros(bits >> 6, dtype=np.uint64)
+        self.held[held["at"].to_numpy()] = held["held"].to_numpy().view(np.uint64)
+        self.distances = [0] * bool(facts[2]) + [*range(1, MOST_BETWEEN + 2)] * bool(facts[1])
+
+    def passing(self, values: np.ndarray) -> np.ndarray:
+        """Positions of the values that may be in the filter."""
+        at, mask = None, np.uint64((len(self.held) << 6) - 1)
+        for shift in FILTER_SHIFTS:
+            bit = (values >> np.uint64(shift)) & mask
+            fine = np.flatnonzero(self.held[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)) & np.uint64(1))
+            values, at = values[fine], fine if at is None else at[fine]
+        return at
+
+    def grams(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
+        """Row and hash of the n-grams of texts that may be in the filter."""
+        rows, grams = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        for distance in self.distances:
+            hashes = gapped(words.hashes, distance)
+            at = self.passing(hashes)
+            row = np.searchsorted(words.bounds, at, side="right") - 1
+            inside = at + distance < words.bounds[row + 1]
+            rows.append(row[inside])
+            grams.append(hashes[at[inside]])
+        return np.concatenate(rows), np.concatenate(grams)
+
+
+def _counted(docs: DataFrame, sieve: Sieve) -> DataFrame:
+    """How often the corpus holds the n-grams: gram, held."""
+    shared = docs.sparkSession.sparkContext.broadcast(sieve)
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shared.value.grams(words)[1] for *_, words in plain_words(batch.column(0))]
+            grams, held = np.unique(np.concatenate(found or [np.zeros(0, np.uint64)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(held)], ["gram", "held"])
 
-def _windows(words: Words, sizes: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """First words and hashes of all windows of each size; small sizes are for items that
-    are shorter than a seed."""
-    for n in sizes:
-        hashes, inside = words.grams(n)
-        at = np.flatnonzero(inside)
-        yield at, hashes[at]
+    rows = docs.select(_text()).mapInArrow(count, "gram BIGINT, held BIGINT")
+    return rows.groupBy("gram").agg(F.sum("held").alias("held"))
 
 
-def _sizes(items: Items) -> list[int]:
-    return sorted({min(SEED_WORDS, len(w)) for w in items.words if len(w)})
+def _found(docs: DataFrame, sieve: Sieve) -> DataFrame:
+    """The n-grams that each distinct text may hold: key, key2, gram."""
+    shared = docs.sparkSession.sparkContext.broadcast(sieve)
+
+    def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, key2, texts = batch.columns
+            for lo, hi, words in plain_words(texts):
+                rows, grams = shared.value.grams(words)
+                rows = pa.array(rows + lo)
+                yield pa.RecordBatch.from_arrays(
+                    [key.take(rows), key2.take(rows), pa.array(grams.view(np.int64))], ["key", "key2", "gram"]
+                )
+
+    rows = docs.select(*_keys(_text()), _text().alias("text"))
+    return rows.mapInArrow(find, "key BIGINT, key2 BIGINT, gram BIGINT").distinct()
+
+
+def _text() -> Column:
+    return F.coalesce(F.col("text").cast("string"), F.lit(""))
+
+
+def _keys(text: Column) -> tuple[Column, Column]:
+    """Two hashes that tell texts apart."""
+    return F.xxhash64(text).alias("key"), F.xxhash64(F.lit("second"), text).alias("key2")
 
 
 def align(item: np.ndarray, text: np.ndarray) -> tuple[float, int, int]:
@@ -161,124 +260,106 @@ def _stretches(places: np.ndarray, reach: int) -> list[tuple[int, int]]:
     return [(int(p[0]), int(p[-1])) for p in np.split(places, cuts)]
 
 
-@dataclass
-class Finder:
-    """Finds the passages of a block of items in texts by its seeds."""
-
-    seeds: Items
-    least: float
-
-    def __post_init__(self):
-        self.sizes, self.sieve = _sizes(self.seeds), _sieve(self.seeds.grams)
-        self.known = [np.unique(words, return_counts=True) for words in self.seeds.words]
-
-    def passages(self, texts: pa.Array) -> Iterator[tuple[int, int, float, int, int]]:
-        """Row, item id, score, first and last word."""
-        for lo, _, words in plain_words(texts):
-            row, owner, place = self._hits(words)
-            cuts = np.flatnonzero((np.diff(row) != 0) | (np.diff(owner) != 0)) + 1
-            for part in np.split(np.arange(len(row)), cuts) if len(row) else []:
-                r, k = int(row[part[0]]), int(owner[part[0]])
-                best = self._best(words, r, k, place[part])
-                if best is not None:
-                    yield lo + r, int(self.seeds.ids[k]), *best
-
-    def _hits(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Row, item and word of each seed, in this order."""
-        grams = self.seeds.grams
-        owners, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for at, hashes in _windows(words, self.sizes):
-            hit = _member(hashes, grams, self.sieve)
-            first = np.searchsorted(grams, hashes[hit], side="left")
-            count = np.searchsorted(grams, hashes[hit], side="right") - first
-            each = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
-            places.append(np.repeat(at[hit], count))
-            owners.append(self.seeds.owner[each])
-        place, owner = np.concatenate(places), np.concatenate(owners)
-        row = np.searchsorted(words.bounds, place, side="right") - 1
-        order = np.lexsort((place, owner, row))
-        return row[order], owner[order], place[order]
-
-    def _best(self, words: Words, row: int, k: int, places: np.ndarray):
-        """Score, first and last word of the row's best passage of item ``k``, if good enough."""
-        item, (known, wanted) = self.seeds.words[k], self.known[k]
-        low, high = int(words.bounds[row]), int(words.bounds[row + 1])
-        # A passage has as many words as the item, and inserted ones that cost a gap each.
-        reach = len(item) + int(MATCH * (1 - min(self.least, 1)) * len(item))
-        best = None
-        for begin, end in _stretches(places, reach):
-            begin, end = max(low, begin - reach), min(high, end + reach + SEED_WORDS)
-            text = words.hashes[begin:end]
-            if shared_words(known, wanted, text) < self.least * len(item):
-                continue  # no alignment has more matches
-            if most_score(known, text) < self.least * MATCH * len(item):
-                continue
-            score, first, last = align(item, text)
-            if score >= self.least and (best is None or score > best[0]):
-                best = score, begin - low + first, begin - low + last
-        return best
-
-
-def item_blocks(items: DataFrame) -> Iterator[Items]:
-    """The test items in blocks of bounded bytes."""
-    rows = items.select(
-        F.col("item_id").cast("bigint"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
-    )
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-2 * total // BLOCK_BYTES))
-    at = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
-    for block in range(blocks):
-        held = rows.where(at == block).orderBy("item_id", "text").collect()
-        if held:
-            yield Items.of([r.item_id for r in held], [r.text for r in held])
-
+def best_passage(item: np.ndarray, text: np.ndarray, least: float) -> tuple[float, int, int] | None:
+    """Score, first and last word of the text's best passage of the item, if good enough."""
+    need, (known, wanted) = needed(len(item), least), np.unique(item, return_counts=True)
+    pairs, *_ = seed_rule(len(item), least)
+    grams = np.unique(own_grams(item, pairs))
+    places = [np.flatnonzero(np.isin(gapped(text, d), grams)) for d in (range(1, MOST_BETWEEN + 2) if pairs else [0])]
+    places = np.unique(np.concatenate(places))
+    if not len(places):
+        return None
+    # A passage has as many words as the item, and inserted ones that cost a gap each.
+    reach = len(item) + MATCH * len(item) - need
+    best = None
+    for begin, end in _stretches(places, reach):
+        begin, end = max(0, begin - reach), min(len(text), end + reach + MOST_BETWEEN + 2)
+        part = text[begin:end]
+        if MATCH * shared_words(known, wanted, part) < need or most_score(known, part) < need:
+            continue  # no alignment scores more
+        score, first, last = align(item, part)
+        if score * MATCH * len(item) >= need - 1e-6 and (best is None or score > best[0]):
+            best = score, begin + first, begin + last
+    return best
+
+
+def _aligned(pairs: DataFrame, least: float) -> DataFrame:
+    """The passages among rows of key, key2, item, words and text."""
 
-def finders(items: DataFrame, least: float = LEAST_SCORE) -> Iterator[Finder]:
-    """One per block of items; each is gone before the next is made."""
-    return (Finder(block, least) for block in item_blocks(items))
-
-
-def _reported(rows: DataFrame, block: Finder) -> DataFrame:
     def report(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, item, score, first, last = list(zip(*block.passages(batch.column(1)), strict=True)) or [()] * 5
+            key, key2, item, held, texts = batch.columns
+            rows, found = [], []
+            for lo, hi, words in plain_words(texts):
+                for k in range(lo, hi):
+                    text = words.hashes[words.bounds[k - lo] : words.bounds[k - lo + 1]]
+                    best = best_passage(np.frombuffer(held[k].as_py(), dtype="<u8"), text, least)
+                    if best is not None:
+                        rows.append(k)
+                        found.append(best)
+            rows = pa.array(rows, pa.int64())
+            score, first, last = zip(*found, strict=True) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0).take(pa.array(rows, pa.int64())),
-                    pa.array(item, pa.int64()),
+                    key.take(rows),
+                    key2.take(rows),
+                    item.take(rows),
                     pa.array(score, pa.float64()),
                     pa.array(first, pa.int64()),
                     pa.array(last, pa.int64()),
                 ],
-                ["doc_id", "item_id", "score", "first_word", "last_word"],
+                ["key", "key2", "item", "score", "first_word", "last_word"],
             )
 
-    return rows.mapInArrow(report, HIT_SCHEMA)
+    return pairs.select("key", "key2", "item", "words", "text").mapInArrow(report, PASSAGE_SCHEMA)
 
 
-def contaminated(docs: DataFrame, items: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
-    """Documents that hold a passage of an item: doc_id, item_id, score, first_word and
-    last_word (the passage's words in the document, from 0)."""
-    rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    found = [_reported(rows, block) for block in finders(items, least)]
-    return reduce(DataFrame.unionAll, found) if found else docs.sparkSession.createDataFrame([], HIT_SCHEMA)
+def rare_seeds(docs: DataFrame, grams: DataFrame) -> DataFrame:
+    """The rarest n-grams of each item, as many as ``seed_rule`` says. What counts is how many
+    pairs of a text and an item a seed brings together."""
+    held = grams.groupBy("gram").agg(F.bool_or("pairs").alias("pairs"), F.count("*").alias("items"))
+    held = stored(held, "item-grams")
+    counts = held.join(_counted(docs, Sieve(held)), "gram", "left")
+    brought = counts.select("gram", (F.coalesce("held", F.lit(0)) * F.col("items")).alias("brought"))
+    rank = F.row_number().over(Window.partitionBy("item").orderBy("brought", "place"))
+    chosen = grams.drop("words").join(brought, "gram").withColumn("rank", rank).where("rank <= most")
+    return stored(chosen.select("gram", "item", "place", "least_seeds", "pairs"), "seeds")
+
 
+def _passages(docs: DataFrame, items: DataFrame, least: float) -> DataFrame:
+    """The passages of distinct items (item, text) in distinct texts, stored."""
+    grams = stored(items.select("item", "text").mapInArrow(_seeds(least), SEED_SCHEMA), "items")
+    seeds = rare_seeds(docs, grams)
+    sieve = Sieve(seeds.groupBy("gram").agg(F.bool_or("pairs").alias("pairs")))
+    candidates = _found(docs, sieve).join(seeds, "gram").groupBy("key", "key2", "item").agg(
+        F.count("*").alias("seeds"), F.max("least_seeds").alias("least_seeds")
+    )
+    candidates = stored(candidates.where("seeds >= least_seeds").select("key", "key2", "item"), "candidates")
+    texts = docs.select(*_keys(_text()), _text().alias("text"))
+    texts = texts.join(candidates.select("key", "key2").distinct(), ["key", "key2"], "left_semi")
+    texts = texts.groupBy("key", "key2").agg(F.any_value("text").alias("text"))
+    words = grams.where("words IS NOT NULL").select("item", "words")
+    return stored(_aligned(candidates.join(words, "item").join(texts, ["key", "key2"]), least), "passages")
 
-def _kept(docs: DataFrame, block: Finder) -> DataFrame:
-    at = docs.columns.index("text")
 
-    def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fine = np.ones(batch.num_rows, dtype=bool)
-            fine[[hit[0] for hit in block.passages(batch.column(at))]] = False
-            yield batch.filter(pa.array(fine))
+def _distinct_items(items: DataFrame) -> DataFrame:
+    texts = items.select(_text().alias("text")).distinct()
+    return stored(texts.select("text", F.monotonically_increasing_id().alias("item")), "item-texts")
+
 
-    return docs.mapInArrow(keep, docs.schema)
+def contaminated(docs: DataFrame, items: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
+    """Documents that hold a passage of an item: doc_id, item_id, score, first_word and
+    last_word (the passage's words in the document, from 0)."""
+    texts = _distinct_items(items)
+    found = _passages(docs, texts, least)
+    ids = items.select(F.col("item_id").cast("bigint").alias("item_id"), _text().alias("text"))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), *_keys(_text()))
+    named = found.join(ids.join(texts, "text").select("item_id", "item"), "item")
+    return rows.join(named, ["key", "key2"]).select("doc_id", "item_id", "score", "first_word", "last_word")
 
 
 def clean(docs: DataFrame, items: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
-    """Rows of the documents, all columns, that hold no passage of an item. Stored between
-    the blocks of items, so a task carries one."""
-    for n, block in enumerate(finders(items, least)):
-        docs = _kept(stored(docs, "clean") if n else docs, block)
-    return docs
+    """Rows of the documents, all columns, that hold no passage of an item."""
+    leaks = _passages(docs, _distinct_items(items), least).select("key", "key2").distinct()
+    key, key2 = _keys(F.coalesce(docs["text"].cast("string"), F.lit("")))
+    return docs.join(leaks, (key == leaks["key"]) & (key2 == leaks["key2"]), "left_anti")

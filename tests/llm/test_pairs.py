@@ -1,8 +1,6 @@
 """Similarity join, components, near-duplicate vectors and decontamination by brute force."""
 
-import gc
 import random
-import weakref
 
 import numpy as np
 import pyarrow as pa
@@ -277,13 +275,92 @@ def test_edited_copies_are_found_and_nothing_else(spark):
         assert decontaminate.contaminated(a, b).count() == 0
 
 
-def test_items_in_several_blocks(spark, monkeypatch):
-    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 2000)
-    docs, items, truth = benchmark_case()
-    found = decontaminate.contaminated(
-        spark.createDataFrame(docs, "doc_id BIGINT, text STRING"), spark.createDataFrame(items, "item_id BIGINT, text STRING")
-    )
-    assert {(r.doc_id, r.item_id) for r in found.collect()} == truth
+def plain_truth(docs, items):
+    """Scores of all pairs of texts and items, lists of words, that are high enough."""
+    least = lambda item: 0.5 if len(item) > 3 else 1.0
+    scores = {(n, k): plain_alignment(item, text) for n, text in docs for k, item in items if item}
+    return {(n, k): x for (n, k), x in scores.items() if x >= least(dict(items)[k])}
+
+
+def found_scores(spark, docs, items):
+    documents = spark.createDataFrame([(n, " ".join(t)) for n, t in docs], "doc_id BIGINT, text STRING")
+    benchmark = spark.createDataFrame([(k, " ".join(t)) for k, t in items], "item_id BIGINT, text STRING")
+    kept = {r.doc_id for r in decontaminate.clean(documents, benchmark).collect()}
+    found = {(r.doc_id, r.item_id): r.score for r in decontaminate.contaminated(documents, benchmark).collect()}
+    assert kept == {n for n, _ in docs} - {n for n, _ in found}
+    return found
+
+
+def test_regular_edits_equal_brute_force(spark):
+    """Each second, third or fourth word replaced, left out, or followed by new ones."""
+    draw = random.Random(21)
+    word = lambda: "".join(draw.choices("abcdefghij", k=5))
+    items = [(k, [word() for _ in range(n)]) for k, n in enumerate([1, 2, 3, 4, 5, 6, 7, 8, 9, 20, 30, 31, 60])]
+    docs = []
+    for _, item in items:
+        for step in (1, 2, 3, 4):
+            for start in range(step):
+                edited = lambda new: [x for i, w in enumerate(item) for x in (new(w) if i % step == start else [w])]  # noqa: E731, B023
+                docs.extend(map(edited, (lambda w: [word()], lambda w: [], lambda w: [w, word()], lambda w: [w, word(), word()])))
+        docs.extend([item[: (len(item) + 1) // 2], item[len(item) // 2 :], [*item, *item]])
+    docs = [(n, [word() for _ in range(n % 7)] + text + [word() for _ in range(n % 5)]) for n, text in enumerate(docs)]
+    truth = plain_truth(docs, items)
+    assert 200 < len(truth) < len(docs) + 50
+    assert found_scores(spark, docs, items) == truth
+
+
+@pytest.mark.parametrize("letters", [3, 30])
+def test_few_words_equal_brute_force(spark, letters):
+    """Texts of few words have many seeds in common."""
+    draw = random.Random(letters)
+    word = lambda: f"w{draw.randrange(letters)}"
+    items = [(k, [word() for _ in range(draw.randint(1, 14))]) for k in range(25)]
+    docs = [(n, [word() for _ in range(draw.randint(0, 40))]) for n in range(120)]
+    truth = plain_truth(docs, items)
+    assert truth and found_scores(spark, docs, items) == truth
+
+
+def test_no_passage_lacks_the_seeds():
+    """Whichever n-grams of an item are the rare ones, a good passage holds enough of them."""
+    draw, seen = random.Random(4), 0
+    for _ in range(3000):
+        n = draw.randint(1, 24)
+        item = np.array([draw.randrange(1, 1 << 40) for _ in range(n)], dtype=np.uint64)
+        text, share = [], draw.random() * 0.5
+        for w in item.tolist():
+            kind = draw.random()
+            if kind < share / 3:
+                text.append(draw.randrange(1, 1 << 40))
+            elif kind > share / 1.5:
+                text.append(w)
+            text.extend(draw.randrange(1, 1 << 40) for _ in range(draw.choice([0, 0, 0, 1, 2, 3]) if draw.random() < share else 0))
+        text = np.array(text, dtype=np.uint64)
+        least = draw.choice([0.3, 0.5, 0.5, 0.7, 1.0])
+        pairs, most, held = decontaminate.seed_rule(n, least)
+        grams = decontaminate.own_grams(item, pairs)
+        assert 1 <= held <= most <= len(grams)
+        if len(text) == 0 or plain_alignment(item.tolist(), text.tolist()) * 2 * n < decontaminate.needed(n, least):
+            continue
+        seen += 1
+        distances = range(1, 4) if pairs else [0]
+        has = np.isin(grams, np.concatenate([decontaminate.gapped(text, d) for d in distances if d < max(1, len(text))]))
+        # The worst choice takes the missing ones first.
+        assert most - min(most, int((~has).sum())) >= held
+    assert seen > 500
+
+
+def test_repeated_rows_and_other_columns(spark):
+    item = "one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame(
+        [(1, f"a {item} b", 5), (1, f"a {item} b", 6), (None, f"a {item} b", 7), (2, "a b c", 8), (2, "a b c", 8), (None, None, 9)],
+        "doc_id BIGINT, text STRING, key BIGINT",
+    ).withColumn("key2", F.lit("x")).withColumn("item", F.lit(3)).withColumn("words", F.lit("y"))
+    items = spark.createDataFrame([(4, item, 1), (4, item, 2), (None, item, 3), (6, "", 4)], "item_id BIGINT, text STRING, gram INT")
+    found = decontaminate.contaminated(docs, items).collect()
+    assert sorted((r.doc_id or 0, r.item_id or 0) for r in found) == sorted((d, i) for d in (1, 1, 0) for i in (4, 4, 0))
+    assert {(r.score, r.first_word, r.last_word) for r in found} == {(1.0, 1, 10)}
+    kept = decontaminate.clean(docs, items)
+    assert kept.columns == docs.columns and sorted(r.key for r in kept.collect()) == [8, 8, 9]
 
 
 def hot_benchmark_case():
@@ -322,28 +399,3 @@ def test_no_alignment_exceeds_the_bounds():
         score = decontaminate.align(item, text)[0] * 2 * len(item)
         assert score <= decontaminate.most_score(known, text)
         assert score <= 2 * decontaminate.shared_words(known, wanted, text)
-
-
-def test_a_block_of_items_at_a_time(spark, monkeypatch):
-    alive, most = weakref.WeakSet(), []
-
-    class Watched(decontaminate.Finder):
-        def __post_init__(self):
-            super().__post_init__()
-            gc.collect()
-            most.append(len(alive))
-            alive.add(self)
-
-        __hash__ = object.__hash__
-
-    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 800)
-    monkeypatch.setattr(decontaminate, "Finder", Watched)
-    docs, items, truth = benchmark_case()
-    documents = spark.createDataFrame(docs, "doc_id BIGINT, text STRING")
-    benchmark = spark.createDataFrame(items, "item_id BIGINT, text STRING")
-    decontaminate.contaminated(documents, benchmark)
-    assert len(most) > 2 and max(most) <= 1
-    monkeypatch.undo()
-    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 800)
-    kept = decontaminate.clean(documents, benchmark)
-    assert {r.doc_id for r in kept.collect()} == {n for n, _ in docs} - {n for n, _ in truth}
