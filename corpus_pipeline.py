@@ -1,4 +1,16 @@
-"""A training-data pipeline over ``documents``: each stage is one of the operators."""
+"""A training-data pipeline over ``documents``: each stage is one of the operators.
+
+All stages but the last return the columns of ``documents`` and treat odd rows like this:
+
+- a null or empty text is scored like any other, is nobody's near duplicate, holds no passage
+  and no private data, and is packed as its end id alone;
+- a null id is never labelled; such rows are told apart by their texts, as rows that share an
+  id are; of rows equal in id and text one stays, unless they have no words;
+- other columns travel unread, whatever their names; only ``n_values`` holds the number of
+  values replaced afterwards, if ``documents`` has such a column;
+- without labels all documents are accepted, without test items none is dropped, and an empty
+  ``documents`` gives an empty result.
+"""
 
 from __future__ import annotations
 

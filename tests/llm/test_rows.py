@@ -427,3 +427,27 @@ def test_packing_of_repeated_ids_and_full_pieces(spark):
             assert offset == at
             at += length
         assert at <= 2048
+
+
+def test_pipeline_of_odd_rows(spark, odd, tmp_path):
+    """Nulls, repeated and missing ids, clashing columns, no labels, no items, no documents."""
+    passage = "one two three four five six seven eight nine ten"
+    more = [(6, "word"), (3, "other words here"), (None, "no id"), (None, "no id at all"), (7, f"so {passage.upper()}!"), (8, "mail a@b.co. Then")]
+    docs = odd.unionByName(spark.createDataFrame(more, "doc_id BIGINT, text STRING"), allowMissingColumns=True)
+    docs = docs.withColumns({c: F.lit("x") for c in ("key2", "item", "words", "gram", "component_id", "n_shingles", "score", "length")})
+    labels = spark.createDataFrame([], "doc_id BIGINT, quality INT")
+    items = spark.createDataFrame([(1, passage), (2, None), (None, "")], "item_id BIGINT, text STRING")
+
+    def run(name, docs, items):
+        for table, df in (("documents", docs), ("labels", labels), ("benchmark", items)):
+            df.coalesce(1).write.parquet(str(tmp_path / name / f"{table}.parquet"))
+        return corpus_pipeline.run(spark, str(tmp_path / name)).collect()
+
+    stay = [(1, None), (2, ""), (3, "word"), (3, "other words here"), (None, "no id"), (None, "no id at all"), *ODD_ROWS[-2:]]
+    private = pseudonyms.pseudonymised(spark.createDataFrame([more[-1]], "doc_id BIGINT, text STRING"), "not a secret").first()
+    assert "a@b.co" not in private.text
+    for name, held, alone in (("all", items, []), ("no-items", items.limit(0), [more[-2]])):
+        kept = [*stay, *alone, (8, private.text)]
+        ids = whole_ids([t for _, t in kept], "byte_bpe_50k.json", 0)
+        check_packing(run(name, docs, held), list(zip([n for n, _ in kept], ids, strict=True)))
+    assert run("none", docs.limit(0), items) == []
