@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from promptledger.expressions.base import NEWLINE, empty, let, runs
-from promptledger.expressions.text import lines, lower_each, text_size, trim_space
+from promptledger.expressions.base import NEWLINE, empty, let, raw, runs
+from promptledger.expressions.text import SPACE_CHARS, lines, lower_each, text_size, trim_space
 
 BLOCK = "STRUCT<key: BIGINT, key2: BIGINT, i: INT>"
+HASHES = "STRUCT<key: BIGINT, key2: BIGINT>"
 REPEAT = "STRUCT<first_line: INT, repeat_line: INT>"
 LONG_LINE = "STRUCT<line: INT, bytes: BIGINT>"
 SAME_KEY = "(a.key = b.key AND a.key2 = b.key2)"
@@ -75,6 +76,47 @@ def duplicate_blocks(text: str, size: int, min_words: int, min_gap: int = 1) ->
     return let("ws", line_windows(text, size, min_words), body)
 
 
+def hashed_line(line: str) -> str:
+    """What a window needs of a line: its words, and 128-bit hashes of the line as it is and
+    trimmed on either side and on both."""
+
+    def pair(text: str) -> str:
+        return f"named_struct('key', xxhash64({text}), 'key2', xxhash64('second', {text}))"
+
+    chars = raw(SPACE_CHARS)
+    return let(
+        "lw",
+        line,
+        f"named_struct('words', {text_size('lw')}.words, 'as_is', {pair('lw')}, "
+        f"'first', {pair(f'trim(LEADING {chars} FROM lw)')}, "
+        f"'last', {pair(f'trim(TRAILING {chars} FROM lw)')}, 'only', {pair(trim_space('lw'))})",
+    )
+
+
+def window_of_lines(hashed: str) -> str:
+    """``struct(key, key2)`` of a window of hashed lines (a name), equal for windows whose
+    trimmed texts are equal."""
+    worded = (
+        f"filter(transform({hashed}, (hl, hi) -> CASE WHEN hl.words > 0 THEN hi END), "
+        "hi -> hi IS NOT NULL)"
+    )
+    several = (
+        f"concat(array({hashed}[nb[0]].first), "
+        f"transform(slice({hashed}, nb[0] + 2, element_at(nb, -1) - nb[0] - 1), hl -> hl.as_is), "
+        f"array({hashed}[element_at(nb, -1)].last))"
+    )
+    content = (
+        f"CASE WHEN size(nb) = 0 THEN {empty(HASHES)} "
+        f"WHEN nb[0] = element_at(nb, -1) THEN array({hashed}[nb[0]].only) "
+        f"ELSE {several} END"
+    )
+    keys = (
+        "named_struct('key', xxhash64(transform(hc, hp -> hp.key)), "
+        "'key2', xxhash64('second', transform(hc, hp -> hp.key2)))"
+    )
+    return let("nb", worded, let("hc", content, keys))
+
+
 def long_lines(text: str, limit: int) -> str:
     """Lines of more than ``limit`` bytes: ``struct(line, bytes)``, 1-based."""
     sized = (

@@ -43,6 +43,7 @@ high_entropy_findings = _column(secrets.high_entropy_findings)
 payload_blocks = _column(blocks.payload_blocks)
 duplicate_blocks = _column(blocks.duplicate_blocks)
 long_lines = _column(blocks.long_lines)
+window_of_lines = _column(blocks.window_of_lines)
 compact_text = _column(blocks.compact_text)
 all_warnings = _column(warnings.all_warnings)
 

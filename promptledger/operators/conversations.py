@@ -1,4 +1,4 @@
-"""Sections of prompts whose text is spread over many rows, one per turn.
+"""Sections and repeated blocks of prompts whose text is spread over many rows, one per turn.
 
 A conversation of any length stays spread: its turns are never put together in one
 row or task. Section tokens are exact all the same, because the character and word
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from promptledger import functions as fn
+from promptledger.expressions.blocks import hashed_line
 from promptledger.expressions.sections import DYNAMIC, STABLE, line_mark
 from promptledger.expressions.text import lines, lower_each, text_size
 from promptledger.operators.caching import with_savings
@@ -20,8 +21,15 @@ from promptledger.plans.ordered import (
     before_chunk,
     continue_from,
     in_chunks,
+    windows_ahead,
     within_chunk,
 )
+from promptledger.plans.storage import stored
+from promptledger.settings import DEFAULTS, Thresholds
+
+
+def _said(turns: DataFrame) -> DataFrame:
+    return turns.select("conv_id", "turn", F.expr("concat(role, ': ', text)").alias("said"))
 
 
 def turn_pieces(turns: DataFrame) -> DataFrame:
@@ -29,12 +37,11 @@ def turn_pieces(turns: DataFrame) -> DataFrame:
 
     A turn appears in its prompt as its role, a colon and the text.
     """
-    said = turns.select("conv_id", "turn", F.expr("concat(role, ': ', text)").alias("said"))
     piece = (
         f"named_struct('turn_line', i, 'low', {lower_each('ln')}, 'size', {text_size('ln')})"
     )
     pieces = F.expr(f"transform({lines('said')}, (ln, i) -> {piece})")
-    return said.select("conv_id", "turn", F.inline(pieces)).select(
+    return _said(turns).select("conv_id", "turn", F.inline(pieces)).select(
         "conv_id",
         "turn",
         "turn_line",
@@ -146,3 +153,33 @@ def conversation_cache(turns: DataFrame) -> DataFrame:
         ).alias("reorder_recommended"),
     )
     return with_savings(totals)
+
+
+def conversation_repeats(turns: DataFrame, thresholds: Thresholds = DEFAULTS) -> DataFrame:
+    """``(conv_id, first_line, repeat_line)`` for each window of lines that repeats an earlier
+    one of its prompt, across turns too.
+
+    Lines are reduced to their words and hashes where they are read; no text travels. A
+    window that a long conversation repeats throughout is reduced to its first line before
+    the shuffle, and joined back between stored tables, whose hot keys adaptive execution
+    splits. Turns whose role or text is null are left out; a null ``conv_id`` is one
+    conversation.
+    """
+    line = f"named_struct('turn_line', i, 'hashed', {hashed_line('ln')})"
+    hashed = F.expr(f"transform({lines(lower_each('said'))}, (ln, i) -> {line})")
+    rows = _said(turns).select("conv_id", "turn", F.inline(hashed))
+    size = thresholds.window_lines
+    ahead = windows_ahead(rows, ["conv_id"], ["turn", "turn_line"], F.col("hashed"), size)
+    words = F.aggregate("ahead", F.lit(0).cast("bigint"), lambda n, x: n + x["words"])
+    whole = ahead.where((F.size("ahead") == size) & (words >= thresholds.window_min_words))
+    keyed = whole.select("conv_id", "place", F.inline(F.array(fn.window_of_lines("ahead"))))
+    windows = stored(keyed, "prompt-windows")
+    first = windows.groupBy("conv_id", "key", "key2").agg(
+        F.min("place").alias("first_line"), F.count(F.lit(1)).alias("copies")
+    )
+    firsts = stored(first.where("copies > 1").withColumnRenamed("conv_id", "of"), "first-windows")
+    same = F.col("conv_id").eqNullSafe(F.col("of"))
+    for key in ("key", "key2"):
+        same &= windows[key] == firsts[key]
+    joined = windows.join(firsts, same).where("place > first_line")
+    return joined.select("conv_id", "first_line", F.col("place").alias("repeat_line"))

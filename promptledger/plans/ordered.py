@@ -86,6 +86,44 @@ def running_sums(
     return result.drop(CHUNK, *(f"_base_{out}" for out in sums))
 
 
+def windows_ahead(
+    df: DataFrame, by: Sequence[str], order: Sequence[str], item: Column, size: int
+) -> DataFrame:
+    """Add ``place`` in the group, from 1, and ``ahead``: the items of a row and of up to
+    ``size - 1`` rows behind it.
+
+    Windows cross chunk borders: each chunk receives the first items of those behind it. A
+    chunk holds at least one row, so as many chunks as items are enough.
+    """
+    here = within_chunk(by, order)
+    numbered = in_chunks(df.withColumn("_item", item), by, order).withColumn(
+        "_place", F.row_number().over(here)
+    )
+    summaries = numbered.groupBy(*by, CHUNK).agg(
+        F.count(F.lit(1)).alias("_rows"),
+        F.array_sort(
+            F.collect_list(F.when(F.col("_place") < size, F.struct("_place", "_item")))
+        ).alias("_head"),
+    )
+    behind = Window.partitionBy(*by).orderBy(CHUNK).rowsBetween(1, max(1, size - 1))
+    received = F.flatten(F.collect_list("_head").over(behind))
+    carried = summaries.select(
+        *by,
+        CHUNK,
+        "_rows",
+        F.coalesce(F.sum("_rows").over(before_chunk(by)), F.lit(0)).alias("_base"),
+        F.slice(F.transform(received, lambda x: x["_item"]), 1, max(1, size - 1)).alias("_halo"),
+    )
+    # Only the last rows of a chunk keep what it received.
+    last = F.col("_rows") - F.col("_place") < size - 1
+    rows = continue_from(numbered, carried, by).withColumn("_halo", F.when(last, F.col("_halo")))
+    own = F.collect_list("_item").over(here.rowsBetween(0, size - 1))
+    ahead = F.when(last, F.slice(F.concat(own, "_halo"), 1, size)).otherwise(own)
+    return rows.withColumns({"place": F.col("_base") + F.col("_place"), "ahead": ahead}).drop(
+        CHUNK, "_item", "_place", "_rows", "_base", "_halo"
+    )
+
+
 def continue_from(rows: DataFrame, carried: DataFrame, by: Sequence[str]) -> DataFrame:
     """Join what earlier chunks carry to the rows of each chunk; null groups match."""
     renamed = carried.withColumnsRenamed({c: f"_by_{c}" for c in (*by, CHUNK)})

@@ -359,6 +359,10 @@ def sectioning(source: str, key: str) -> list[str]:
 
 PROMPTS = """prompts AS (SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn)
  AS text FROM conversations GROUP BY conv_id)"""
+PLANTED_PROMPTS = f"""planted_prompts AS (SELECT conv_id AS payload_id,
+ string_agg(role || ': ' || CASE WHEN turn % 2 = 0 THEN text || chr(10) || {lit(views.BLOCK_PARTS[0])}
+  ELSE {lit(views.BLOCK_PARTS[1])} || text END, chr(10) ORDER BY turn) AS text
+ FROM conversations GROUP BY conv_id)"""
 PLANTED_SECTIONS = ctes(PLANTED, *sectioning("planted", "payload_id"))
 PROMPT_SECTIONS = ctes(PROMPTS, *sectioning("prompts", "conv_id"))
 
@@ -659,6 +663,10 @@ ORACLES["conversation_sections"] = PROMPT_SECTIONS + (
 )
 ORACLES["conversation_cache"] = PROMPT_SECTIONS + "SELECT * FROM advised WHERE section_count > 0"
 
+ORACLES["conversation_duplicate_blocks"] = ctes(
+    PLANTED_PROMPTS, windows("planted_prompts"), REPEATS
+) + "SELECT payload_id AS conv_id, first_line, repeat_line FROM repeats"
+
 _SHOWN = (
     "id, session_uuid, model, tag, tokens_in, tokens_out, tokens_cached, cost_usd, warning_count, "
     f"{stamp('started_at')} AS started_at, {stamp('ended_at')} AS ended_at"

@@ -509,6 +509,11 @@ def conversation_sections(spark, sf_dir):
     return conversations.conversation_sections(views.turns(spark, sf_dir))
 
 
+@query
+def conversation_duplicate_blocks(spark, sf_dir):
+    return conversations.conversation_repeats(views.planted_turns(spark, sf_dir))
+
+
 @query
 def conversation_cache(spark, sf_dir):
     return joined_texts(conversations.conversation_cache(views.turns(spark, sf_dir)))

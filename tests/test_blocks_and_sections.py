@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from promptledger import functions as fn
@@ -149,6 +150,34 @@ def test_long_conversations_equal_their_assembled_text(spark):
         assert analysed[c] == (len(found), stable, dynamic)
 
 
+@pytest.mark.parametrize("hot", [0, 700])
+def test_repeats_across_turns_equal_those_of_the_assembled_text(spark, hot):
+    """Windows cross turns and chunks; chunks of a short conversation hold a line or two."""
+    rng = random.Random(hot)
+    said = ["a b c d e\n f g h \u2003", "  i j k\n\nl m n o\n", "", "\n\n", "p Q r s t u", " ", "İ Σ v w x y"]
+    turns = [(0, n, rng.choice("AB"), rng.choice(said)) for n in range(hot)]
+    turns += [(c, n, "A", rng.choice(said)) for c in range(1, 9) for n in range(rng.randrange(1, 30))]
+    turns += [(None, n, "A", said[n % 3]) for n in range(12)]
+    kind = "conv_id BIGINT, turn BIGINT, role STRING, text STRING"
+    got = conversations.conversation_repeats(spark.createDataFrame(turns, kind)).collect()
+    joined = {}
+    for conversation, _, role, text in turns:
+        joined.setdefault(conversation, []).append(f"{role}: {text}")
+    prompts = spark.createDataFrame([(c, "\n".join(t)) for c, t in joined.items()], "payload_id BIGINT, text STRING")
+    expected = redundancy.duplicate_rows(prompts).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, map(tuple, expected))) and got
+    assert {r.conv_id for r in got} >= {None}
+
+
+def test_repeats_across_turns_of_nothing_and_of_null_turns(spark):
+    kind = "conv_id BIGINT, turn BIGINT, role STRING, text STRING"
+    assert conversations.conversation_repeats(spark.createDataFrame([], kind)).count() == 0
+    block = "a b\nc d\ne f\ng h\ni j"
+    turns = [(1, 0, "A", block), (1, 1, "A", None), (1, 2, None, block), (1, 3, "A", block)]
+    rows = conversations.conversation_repeats(spark.createDataFrame(turns, kind)).collect()
+    assert [tuple(r) for r in rows] == [(1, 1, 6)]
+
+
 def test_line_difference_keeps_multiplicity(spark):
     pairs = spark.createDataFrame(
         [(0, "keep\ngone\ngone", "keep\nnew\ngone"), (1, "same", "same"), (2, "", "a: 1\n")],
