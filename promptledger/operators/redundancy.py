@@ -36,17 +36,18 @@ def shared_blocks(payloads: DataFrame, thresholds: Thresholds = DEFAULTS) -> Dat
     and boilerplate found everywhere is combined before the shuffle. The aggregates hold
     plain numbers, which keeps them in a hash table; a struct would force a sort.
     """
-    return _shared(hashed_blocks(payloads, thresholds))
+    return block_totals(hashed_blocks(payloads, thresholds)).where("occurrences > 1")
 
 
-def _shared(blocks: DataFrame) -> DataFrame:
+def block_totals(blocks: DataFrame) -> DataFrame:
+    """One row per window of hashed blocks: its first holder, holders and occurrences."""
     grouped = blocks.groupBy("key", "key2").agg(
         F.min("payload_id").alias("first_payload"),
         F.min_by("first_line", "payload_id").alias("first_line"),
         F.count(F.lit(1)).alias("payloads"),
         F.sum("copies").alias("occurrences"),
     )
-    return grouped.where("occurrences > 1").select(
+    return grouped.select(
         "key",
         "key2",
         "first_payload",
@@ -64,7 +65,7 @@ def shared_block_members(payloads: DataFrame, thresholds: Thresholds = DEFAULTS)
     so a block that sits in a third of all payloads is joined by many tasks.
     """
     members = stored(hashed_blocks(payloads, thresholds), "blocks")
-    shared = stored(_shared(members).where("payloads > 1"), "shared-blocks")
+    shared = stored(block_totals(members).where("payloads > 1"), "shared-blocks")
     joined = members.join(shared.withColumnRenamed("first_line", "source_line"), ["key", "key2"])
     return joined.select(
         "payload_id", "first_line", "copies", "first_payload", "source_line", "payloads"

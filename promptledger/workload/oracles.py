@@ -542,14 +542,26 @@ ORACLES["findings_by_type"] = _FINDINGS + (
 
 _REPEATS = ctes(PLANTED, windows("planted"), REPEATS)
 ORACLES["duplicate_blocks"] = _REPEATS + "SELECT payload_id, first_line, repeat_line FROM repeats"
-_SHARED = _REPEATS.rstrip() + """,
+_HELD = """,
 held AS (SELECT payload_id, key, min(i) + 1 AS first_line, count(*) AS copies
  FROM windows GROUP BY ALL),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY payload_id) AS rank FROM held),
+"""
+_RANKED = """ranked AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY payload_id) AS rank FROM held),
 shared AS (SELECT key, max(payload_id) FILTER (rank = 1) AS first_payload,
  max(first_line) FILTER (rank = 1) AS first_line, count(*) AS payloads,
  CAST(sum(copies) AS BIGINT) AS occurrences FROM ranked GROUP BY key)
 """
+_SHARED = _REPEATS.rstrip() + _HELD + _RANKED
+_VERSIONS = """versions AS (SELECT * FROM planted
+ UNION ALL SELECT -pair_id - 1, optimized FROM pairs)"""
+_VERSIONED = ctes(PLANTED, PAIRS, _VERSIONS, windows("versions")).rstrip() + _HELD
+ORACLES["indexed_blocks"] = _VERSIONED + _RANKED + (
+    "SELECT first_payload, first_line, payloads, occurrences FROM shared WHERE occurrences > 1"
+)
+ORACLES["known_blocks"] = _VERSIONED + _RANKED.replace("FROM held)", "FROM held WHERE payload_id >= 0)") + (
+    "SELECT h.payload_id, h.first_line, h.copies, s.first_payload, s.first_line AS source_line, "
+    "s.payloads FROM held h JOIN shared s USING (key) WHERE h.payload_id < 0"
+)
 ORACLES["corpus_duplicate_blocks"] = _SHARED + (
     "SELECT first_payload, first_line, payloads, occurrences FROM shared WHERE occurrences > 1"
 )

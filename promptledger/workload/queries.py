@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from promptledger import functions as fn
 from promptledger.operators import (
+    blockindex,
     budget,
     caching,
     conversations,
@@ -359,6 +360,26 @@ def corpus_duplicate_members(spark, sf_dir):
     return redundancy.shared_block_members(views.planted(spark, sf_dir))
 
 
+def indexed_documents(spark, sf_dir):
+    """An index of all documents, and shortened versions of all of them, which it lacks."""
+    index = blockindex.BlockIndex(spark, fresh_path(spark, "block-index"))
+    index.add(views.planted(spark, sf_dir), "documents")
+    return index, views.optimized(spark, sf_dir)
+
+
+@query
+def indexed_blocks(spark, sf_dir):
+    index, versions = indexed_documents(spark, sf_dir)
+    index.add(versions, "versions")
+    return index.shared().drop(*blockindex.KEY)
+
+
+@query
+def known_blocks(spark, sf_dir):
+    index, versions = indexed_documents(spark, sf_dir)
+    return index.known_in(versions)
+
+
 @query
 def warnings(spark, sf_dir):
     return payloads.warning_rows(views.planted(spark, sf_dir))

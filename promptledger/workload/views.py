@@ -120,6 +120,13 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def optimized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The optimized versions as payloads of their own, with negative ids."""
+    return pairs(spark, sf_dir).select(
+        (-F.col("pair_id") - 1).alias("payload_id"), F.col("optimized").alias("text")
+    )
+
+
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
 
