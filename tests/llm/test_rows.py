@@ -1,6 +1,7 @@
 """Classifier, languages, URL filter, sharding, pseudonyms, packing and files."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -142,9 +143,88 @@ def test_no_listed_url_misses_the_filter(spark):
     assert set(range(5000)) <= passed and len(passed) < 5500
 
 
+
+class PlainBackoff:
+    """The language model over plain counts, text by text."""
+
+    def __init__(self, labelled):
+        self.names = sorted({lang for _, lang in labelled})
+        self.counts = {order: {lang: Counter() for lang in self.names} for order in range(6)}
+        for text, lang in labelled:
+            for word in self.words(text):
+                for order in range(6):
+                    self.counts[order][lang].update(self.parts(word, order))
+        self.everywhere = {order: sum(own.values(), Counter()) for order, own in self.counts.items()}
+
+    @staticmethod
+    def words(text):
+        return re.findall(r"[^\W\d_]+", (text or "").lower())
+
+    @staticmethod
+    def parts(word, order):
+        marked = word if order < 2 else "<" + word + ">"
+        return [word] if order == 0 else [marked[i : i + order] for i in range(len(marked) - order + 1)]
+
+    def log(self, part, order, lang):
+        own = self.counts[order][lang]
+        return math.log((own[part] + 0.1) / (sum(own.values()) + 0.1 * (len(self.everywhere[order]) + 1)))
+
+    def of_word(self, word, lang):
+        for order in (0, 5, 4, 3, 2, 1):
+            parts = self.parts(word, order)
+            known = [p for p in parts if self.everywhere[order][p] >= 2]
+            if known and len(known) * 2 >= len(parts):
+                return sum(self.log(p, order, lang) for p in known) / len(known)
+        return 0.0
+
+    def predict(self, text):
+        words = Counter(self.words(text))
+        if not any(c.isalpha() for c in text or ""):
+            return "und", 0.0
+        total = [sum(n * self.of_word(w, lang) for w, n in words.items()) for lang in self.names]
+        best = total.index(max(total))
+        return self.names[best], 1 / sum(math.exp(t - total[best]) for t in total)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_languages_equal_a_plain_backoff_model(spark, seed):
+    draw = random.Random(seed)
+    stems = {"aa": ["ban", "dor", "lit", "men"], "bb": ["ßen", "lir", "tod", "ğem"], "cc": ["мир", "дор", "lit", "x"]}
+
+    def text(lang):
+        return " ".join("".join(draw.choices(stems[lang], k=draw.randrange(1, 4))) for _ in range(draw.randrange(9)))
+
+    rows = [(n, text(lang), lang) for n, lang in enumerate(draw.choices([*stems], k=120))]
+    rows += [(200, "Unseen qqq", "aa"), (201, "ban ban 12", None), (202, None, "bb"), (203, "12 ²", "cc")]
+    got = langid.languages(spark.createDataFrame(rows, "doc_id BIGINT, text STRING, lang STRING")).collect()
+    plain = PlainBackoff([(t, lang) for n, t, lang in rows if lang and crc(n, 5) != 0])
+    assert len(got) == len(rows) and len(plain.names) == 3
+    texts = {n: t for n, t, _ in rows}
+    for r in got:
+        name, score = plain.predict(texts[r.doc_id])
+        assert r.lang_pred == name and abs(r.score - score) < 1e-6, (r, name, score)
+
+
 # --- shards
 
 
+def test_shards_and_slots_are_independent_of_ids_and_neighbours(spark):
+    """Pearson's statistic over tables of 8 by 8, 49 degrees of freedom: 95 is passed by chance
+    with probability below 1e-4."""
+    docs = spark.range(8_000).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"))
+    for seed in (3, 4):
+        got = sharding.shuffled(docs, 8, seed).collect()
+        place = {r.doc_id: (r.shard, r.slot) for r in got}
+        assert len(place) == 8_000 and all(r.text == str(r.doc_id) for r in got)
+        for seen in (
+            Counter((d // 1000, shard) for d, (shard, _) in place.items()),
+            Counter((d // 1000, slot // 125) for d, (_, slot) in place.items()),
+            Counter((place[d][0], place[d + 1][0]) for d in range(7_999)),
+            Counter((place[d][1] // 125, place[d + 1][1] // 125) for d in range(7_999)),
+        ):
+            assert sum((seen[a, b] - 125) ** 2 / 125 for a in range(8) for b in range(8)) < 95
+
+
 @pytest.mark.parametrize(("rows", "shards"), [(0, 8), (3, 8), (1000, 8), (1003, 7)])
 def test_exact_shards_without_gaps(spark, rows, shards):
     docs = spark.range(rows).select(F.col("id").alias("doc_id"), F.lit("same").alias("text"), F.lit(1).alias("slot"))
