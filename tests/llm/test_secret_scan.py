@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -172,6 +173,67 @@ def test_recall_of_labelled_findings(spark, documents):
     assert hits >= 0.95 * (hits + misses) and wrong <= 0.02 * hits + 3
 
 
+def test_all_candidates_of_all_texts_are_learned_from(spark):
+    long = " ".join(f"number {k:010d}" for k in range(300)) + " password=" + "k3" * 40
+    texts = [long, long, *(f"item {k:010d}" for k in range(4500)), None, "", "none"]
+    table = spark.createDataFrame([(t,) for t in texts], "text STRING").repartition(3)
+    examples = secretscan.labelled_examples(table)
+    spans = examples.select("name", "start").distinct()
+    assert spans.count() == 301 + 4500
+    lines, owners = secretscan.windows(long, secretscan.candidates(long))
+    got = examples.groupBy("name").agg(F.count("line").alias("n"), F.sort_array(F.collect_list(F.struct("start", "tile", "line", "known"))).alias("w"))
+    r = got.orderBy(F.desc("n")).first()
+    assert [bytes(w.line) for w in r.w] == [line.tobytes() for line in lines]
+    assert [w.known for w in r.w] == [owner == 300 for owner in owners.tolist()]
+
+
+def test_shards_cover_all_windows_and_learn_together(spark, documents, monkeypatch):
+    """With many shards the averaged network still tells findings apart, however rows lie."""
+    _, table = documents
+    monkeypatch.setattr(secretscan, "SHARD_WINDOWS", 200)
+    networks = [secretscan.train(secretscan.labelled_examples(table.repartition(n))) for n in (1, 5)]
+    for a, b in zip(*(n.weights() for n in networks), strict=True):
+        assert np.array_equal(a, b)
+    draw = random.Random(12)
+    secret = [f"the lines of credential {random_value(draw)} reach" for _ in range(60)]
+    clean = [random_document(draw, False) for _ in range(200)]
+    added = secretscan.learned_spans([*secret, *clean], [[] for _ in range(260)], networks[0])
+    assert sum(map(bool, added[:60])) >= 45 and sum(map(bool, added[60:])) <= 6
+
+
+def test_blocks_of_shards():
+    draw = np.random.default_rng(5)
+    sizes = {2: 5000, 7: 1, 9: 4096, 11: 300}
+    lines = {k: draw.integers(0, 130, (n, secretscan.WIDTH)).astype(np.uint8) for k, n in sizes.items()}
+    rows = [(k, bool(line[0] % 2), line.tobytes()) for k in sizes for line in lines[k]]
+    columns = [pa.array(c) for c in zip(*rows, strict=True)]
+    batch = pa.RecordBatch.from_arrays(columns, ["shard", "known", "line"])
+    for step in (700, 10_000):
+        parts = list(secretscan.shard_blocks(batch.slice(lo, step) for lo in range(0, batch.num_rows, step)))
+        for k in sizes:
+            codes = np.concatenate([c for shard, c, _ in parts if shard == k])
+            labels = np.concatenate([x for shard, _, x in parts if shard == k])
+            assert np.array_equal(codes, lines[k]) and np.array_equal(labels, lines[k][:, 0] % 2)
+        assert [len(c) for shard, c, _ in parts if shard == 2] == [2048, 2048, 904]
+
+
+def test_threshold_and_scaling_over_all_scores(spark):
+    draw = np.random.default_rng(6)
+    scores = np.concatenate([draw.normal(size=700), [0.0, -0.0, 5.0, 5.0]]).astype(np.float32)
+    known = draw.random(len(scores)) < secretscan.chance(2.5 * scores - 1)
+    rows = zip(scores.tolist(), secretscan.ranks(scores).tolist(), known.tolist(), strict=True)
+    table = spark.createDataFrame(list(rows), "score DOUBLE, rank BIGINT, known BOOLEAN").repartition(3)
+    ordered = np.sort(scores)
+    for k in (0, 13, 350, 360, len(scores) - 1):
+        assert secretscan.score_of(secretscan.smallest(table, k))[0] == ordered[k]
+    network = secretscan.Network.fresh(draw)
+    secretscan.calibrate(network, table, int((~known).sum()), int(known.sum()))
+    assert abs(network.slope - 2.5) < 0.6 and abs(network.shift + 1) < 0.4
+    target = np.where(known, (known.sum() + 1) / (known.sum() + 2), 1 / ((~known).sum() + 2))
+    off = secretscan.chance(network.slope * scores.astype(float) + network.shift) - target
+    assert abs(off.sum()) < 0.01 and abs((off * scores).sum()) < 0.01
+
+
 def test_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, "password=abcdef"), (3, "password=abcdef"), (None, "AKIA" + "B" * 16), (4, "x1" * 100_000), (5, "中 secret: 中abc")]
     table = spark.createDataFrame(rows, "doc_id BIGINT, text STRING").withColumns({c: F.lit(1) for c in ("found", "kind", "hash", "sure", "spans")})
