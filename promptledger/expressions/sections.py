@@ -11,7 +11,7 @@ from promptledger.expressions.text import (
     format_cost,
     lines,
     lower_each,
-    token_count_once,
+    token_count,
     trim_space,
 )
 
@@ -122,7 +122,7 @@ def sections(text: str) -> str:
         "sc",
         f"array_join(slice(ls, s.i + 1, {_END} - s.i), {NEWLINE})",
         "named_struct('type', s.label, 'content', sc, 'line_start', s.i + 1, "
-        f"'line_end', {_END}, 'tokens', {token_count_once('sc')})",
+        f"'line_end', {_END}, 'tokens', {token_count('sc')})",
     )
     return _over_bounds(
         text,

@@ -62,12 +62,11 @@ def word_count(text: str) -> str:
 
 
 def token_count(text: str) -> str:
-    """Estimated tokens of the whole text; the estimate is not additive over parts."""
-    return tokens_from(non_space_length(text), word_count(text))
+    """Estimated tokens of the whole text; the estimate is not additive over parts.
 
-
-def token_count_once(text: str) -> str:
-    """``token_count`` for use inside a lambda, where nothing shares subexpressions."""
+    The spaces are replaced once, also in lambdas and filters, where nothing shares
+    subexpressions.
+    """
     return let("sp", single_spaced(text), tokens_from(f"length({bare('sp')})", words_of("sp")))
 
 
