@@ -8,9 +8,11 @@
 3. Every cluster becomes signature trees over the whole shingle sets, whose nodes hold
    OR-combined token bitmaps and size ranges. A dual traversal drops node pairs whose
    largest possible overlap is too small, and node pairs that are already connected; what
-   is left is compared exactly. A cluster beyond ``TILE_SHINGLES`` is split into tiles:
-   all members are compared with one central member first, and only tile pairs that hold
-   a member without that link are traversed.
+   is left is compared exactly. A cluster beyond ``TILE_SHINGLES`` is parted first, without
+   loss: two similar sets share one of the rarest shingles of each (``parted``). What stays
+   that large is split into tiles: all members are compared with one central member and
+   within their tile, and only tile pairs that hold a member not connected to the centre
+   by then are traversed.
 4. Links become components.
 
 Result: one row per document. Null and blank texts have no shingles and link with
@@ -44,41 +46,61 @@ BITS_PER_TOKEN = 32
 MULTIPLIERS = mix(np.arange(1, BANDS * ROWS_PER_BAND + 1, dtype=np.uint64)) | np.uint64(1)
 
 
-def band_keys(shingles: np.ndarray) -> np.ndarray:
-    """One key per band from the smallest products of the shingles with fixed multipliers."""
-    smallest = np.concatenate(
-        [
-            (MULTIPLIERS[:, None] * part).min(axis=1)[:, None]
-            for part in np.array_split(shingles, len(shingles) // 4096 + 1)
-        ],
-        axis=1,
-    ).min(axis=1)
-    bands = mix(smallest).reshape(BANDS, ROWS_PER_BAND)
-    key = np.arange(BANDS, dtype=np.uint64)
-    for column in bands.T:
-        key = mix(key + column)
-    return key
+#: Shingles that are multiplied in one go.
+PART_SHINGLES = 16_384
+
+
+def band_keys(shingles: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """One key per band of each set, from the smallest products of its shingles with fixed
+    multipliers. The sets lie one behind the other, none is empty."""
+    smallest = np.empty((BANDS * ROWS_PER_BAND, len(starts)), dtype=np.uint64)
+    product = np.empty_like(shingles)
+    for row, multiplier in zip(smallest, MULTIPLIERS, strict=True):
+        np.multiply(shingles, multiplier, out=product)
+        np.minimum.reduceat(product, starts, out=row)
+    bands = mix(smallest).reshape(BANDS, ROWS_PER_BAND, len(starts))
+    key = np.arange(BANDS, dtype=np.uint64)[:, None]
+    for column in range(ROWS_PER_BAND):
+        key = mix(key + bands[:, column])
+    return key.T
+
+
+def _fingerprints_and_keys(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Both fingerprints and the band keys of sets that are not empty."""
+    ends = np.cumsum([len(s) for s in sets])
+    first, second, keys = [], [], []
+    lo = 0
+    while lo < len(sets):
+        begin = ends[lo] - len(sets[lo])
+        hi = max(lo + 1, int(np.searchsorted(ends, begin + PART_SHINGLES, side="right")))
+        shingles = np.concatenate(sets[lo:hi])
+        starts = np.append(0, ends[lo : hi - 1] - begin)
+        first.append(np.add.reduceat(mix(shingles), starts))
+        second.append(np.add.reduceat(mix(shingles ^ MULTIPLIERS[0]), starts))
+        keys.append(band_keys(shingles, starts))
+        lo = hi
+    return tuple(np.concatenate(parts) for parts in (first, second, keys))
 
 
 def _sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, texts = batch.columns
         for lo, hi, words in text_chunks(texts):
-            size, first, second, keys, ends = [], [], [], [], [0]
-            for shingles in words.shingle_sets(SHINGLE_WORDS):
-                size.append(len(shingles))
-                first.append(mix(shingles).sum(dtype=np.uint64))
-                second.append(mix(shingles ^ MULTIPLIERS[0]).sum(dtype=np.uint64))
-                if len(shingles):
-                    keys.append(band_keys(shingles))
-                ends.append(ends[-1] + (BANDS if len(shingles) else 0))
-            flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+            sets = list(words.shingle_sets(SHINGLE_WORDS))
+            size = np.array([len(s) for s in sets], dtype=np.int64)
+            filled = size > 0
+            prints = np.zeros((2, len(sets)), dtype=np.uint64)
+            flat = np.zeros(0, dtype=np.uint64)
+            if filled.any():
+                prints[0, filled], prints[1, filled], keys = _fingerprints_and_keys([s for s in sets if len(s)])
+                flat = keys.ravel()
+            ends = np.append(0, np.cumsum(filled * BANDS))
             yield pa.RecordBatch.from_arrays(
                 [
                     ids.slice(lo, hi - lo),
-                    pa.array(size, pa.int64()),
-                    pa.array(np.array(first, np.uint64).view(np.int64)),
-                    pa.array(np.array(second, np.uint64).view(np.int64)),
+                    pa.array(size),
+                    pa.array(prints[0].view(np.int64)),
+                    pa.array(prints[1].view(np.int64)),
                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int64))),
                 ],
                 ["doc_id", "n_shingles", "fp1", "fp2", "bands"],
@@ -207,6 +229,7 @@ def _shingle_sets(texts: pa.Array) -> list[np.ndarray]:
 
 
 LINK_SCHEMA = "a BIGINT, b BIGINT"
+TILE_LINK_SCHEMA = f"{LINK_SCHEMA}, tied BOOLEAN"
 
 
 def _links_of_bin(table: pa.Table) -> pa.Table:
@@ -225,12 +248,15 @@ def _links_of_bin(table: pa.Table) -> pa.Table:
 
 
 def _links_of_tiles(table: pa.Table) -> pa.Table:
-    """Trees over two tiles of one cluster; tied members are linked to its centre."""
+    """Trees over one tile or two of a cluster; tied members are connected to its centre.
+    A link to a tied member ties the other."""
     table = table.sort_by([("tied", "ascending"), ("n_shingles", "ascending"), ("rep", "ascending")])
     rep = table["rep"].to_numpy()
     free = len(rep) - int(table["tied"].to_numpy(zero_copy_only=False).sum())
     sets = _shingle_sets(table["text"].combine_chunks())
-    return _link_table([(rep[i], rep[j]) for i, j in spanning_links(sets, free)])
+    found = spanning_links(sets, free)
+    ties = pa.array([j >= free for _, j in found], pa.bool_())
+    return _link_table([(rep[i], rep[j]) for i, j in found]).append_column("tied", ties)
 
 
 def _link_table(found: list[tuple[int, int]]) -> pa.Table:
@@ -255,31 +281,113 @@ def _tied(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def links_in_clusters(members: DataFrame) -> DataFrame:
-    """Spanning links (a, b) of members (cluster, rep, n_shingles, degree, text)."""
-    sizes = stored(
+def _meetings(keys: DataFrame, by: list[str], rows: int) -> DataFrame:
+    """Each rep with the leaders of its keys (rep, the columns in ``by``); keys of one rep alone
+    lead nowhere. ``rows``: at most how many there are. holders: members of these keys."""
+    leaders = stored(
+        keys.groupBy(*by).agg(F.min("rep").alias("leader"), F.count("*").alias("holders")).where("holders > 1"),
+        "leaders",
+        rows,
+    )
+    return stored(
+        keys.join(leaders, by).groupBy("rep", "leader").agg(F.sum("holders").alias("holders")), "meetings", rows
+    )
+
+
+def _shingle_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The shingles of each text, beside the other columns."""
+    for batch in batches:
+        at = batch.schema.names.index("text")
+        sets = _shingle_sets(batch.column(at))
+        flat = np.concatenate([np.zeros(0, np.uint64), *sets])
+        ends = np.cumsum([0, *map(len, sets)])
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int64)))
+        yield pa.RecordBatch.from_arrays(
+            [*(batch.column(k) for k in range(batch.num_columns) if k != at), lists],
+            [*(c for c in batch.schema.names if c != "text"), "shingles"],
+        )
+
+
+def parted(members: DataFrame) -> DataFrame:
+    """(rep, cluster) anew for members (cluster, rep, text) of clusters; the others have no link.
+
+    Order the shingles of a cluster, those of few members first. Of two similar sets each has
+    PERCENT of its shingles in common with the other, so the first common one is not behind
+    the first ``n - ceil(n * PERCENT / 100) + 1`` of either. Members that share such a shingle
+    stay together. A passage that many texts hold is frequent and comes last: it keeps texts
+    together only where little else is in them.
+    """
+    sets = stored(
+        members.select("cluster", "rep", F.xxhash64("text").alias("row"), "text").mapInArrow(
+            _shingle_rows, "cluster BIGINT, rep BIGINT, row BIGINT, shingles ARRAY<BIGINT>"
+        ),
+        "shingle-sets",
+    )
+    rows = sets.agg(F.sum(F.size("shingles"))).first()[0] or 0
+    exploded = sets.select("cluster", "rep", "row", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    shared = stored(
+        exploded.groupBy("cluster", "shingle").agg(F.count("*").alias("members")).where("members > 1"),
+        "shared-shingles",
+        rows,
+    )
+    # Shingles of one member come first and meet nobody; they only take their places.
+    prefix = F.expr(f"greatest(n - (n * {PERCENT} + 99) div 100 + 1 - (n - size(common)), 0)").cast("int")
+    keys = stored(
+        exploded.join(shared, ["cluster", "shingle"])
+        .groupBy("cluster", "rep", "row", "n")
+        .agg(F.sort_array(F.collect_list(F.struct("members", "shingle"))).alias("common"))
+        .select("cluster", "rep", F.explode(F.slice("common", 1, prefix)).alias("key"))
+        .select("cluster", "rep", F.col("key.shingle").alias("shingle"))
+        .distinct(),
+        "rare-shingles",
+        rows,
+    )
+    met = _meetings(keys, ["cluster", "shingle"], rows)
+    joined = components(met.select(F.col("rep").alias("a"), F.col("leader").alias("b")))
+    return joined.select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
+
+
+def _cluster_sizes(members: DataFrame, rows: int) -> DataFrame:
+    return stored(
         members.groupBy("cluster").agg(
             F.sum("n_shingles").alias("shingles"),
             F.max(F.struct("degree", F.negative("rep").alias("rep"))).alias("top"),
         ),
         "cluster-sizes",
-        members.count(),
+        rows,
     )
+
+
+def links_in_clusters(members: DataFrame) -> DataFrame:
+    """Spanning links (a, b) of members (cluster, rep, n_shingles, degree, text)."""
+    rows = members.count()
+    sizes = _cluster_sizes(members, rows)
+    large = sizes.where(F.col("shingles") > TILE_SHINGLES).select("cluster")
+    sized = members.join(sizes.select("cluster", "shingles"), "cluster")
+    if not large.isEmpty():
+        whole = members.join(large, "cluster", "left_anti").select("rep", "cluster").distinct()
+        clusters = stored(parted(members.join(large, "cluster")).unionByName(whole), "parted", rows)
+        sizes = _cluster_sizes(members.drop("cluster").join(clusters, "rep"), rows)
+        sized = members.drop("cluster").join(
+            clusters.join(sizes.select("cluster", "shingles"), "cluster").hint("shuffle_hash"), "rep"
+        )
     small_total = sizes.where(F.col("shingles") <= TILE_SHINGLES).agg(F.sum("shingles")).first()[0] or 0
     workers = members.sparkSession.sparkContext.defaultParallelism
     bins = max(-(-small_total // TILE_SHINGLES), 4 * workers)
-    sized = members.join(sizes.select("cluster", "shingles"), "cluster")
+    # Numbers of tasks are given here and below: the work of a task is not in its bytes.
     in_bins = (
         sized.where(F.col("shingles") <= TILE_SHINGLES)
         .withColumn("bin", F.pmod(F.xxhash64("cluster"), F.lit(bins)))
         .select("bin", "cluster", "rep", "n_shingles", "text")
+        .repartition(bins, "bin")
         .groupBy("bin")
         .applyInArrow(_links_of_bin, LINK_SCHEMA)
     )
     large = sizes.where(F.col("shingles") > TILE_SHINGLES)
-    if large.isEmpty():
+    tile_count = large.agg(F.sum(F.ceil(F.col("shingles") / TILE_SHINGLES))).first()[0]
+    if not tile_count:
         return in_bins
-    tiled = sized.where(F.col("shingles") > TILE_SHINGLES).drop("shingles")
+    tiled = stored(sized.where(F.col("shingles") > TILE_SHINGLES), "large-clusters")
     centre = F.negative("top.rep")
     centres = (
         tiled.join(large.select("cluster", centre.alias("rep")), ["cluster", "rep"])
@@ -292,18 +400,38 @@ def links_in_clusters(members: DataFrame) -> DataFrame:
         "ties",
     )
     marked = tiled.join(ties.select("rep", "tied"), "rep")
-    tiles = marked.groupBy("cluster").agg(
-        *(
-            F.ceil(F.sum(F.when(F.col("tied") == tied, F.col("n_shingles"))) / TILE_SHINGLES).alias(name)
-            for name, tied in (("open_tiles", False), ("tied_tiles", True))
-        )
+    in_tiles = stored(
+        marked.join(marked.where(~F.col("tied")).select("cluster").distinct(), "cluster", "left_semi")
+        .withColumn("tile", F.expr(f"pmod(xxhash64(rep, 'first'), ceil(shingles / {TILE_SHINGLES}))"))
+        .select("cluster", "tile", "rep", "n_shingles", "tied", "text")
+        .repartition(max(int(tile_count), 4 * workers), "cluster", "tile")
+        .groupBy("cluster", "tile")
+        .applyInArrow(_links_of_tiles, TILE_LINK_SCHEMA),
+        "tile-links",
+    )
+    newly = in_tiles.where("tied").select(F.col("a").alias("rep"), F.lit(True).alias("newly")).distinct()
+    marked = marked.join(newly, "rep", "left").withColumn("tied", F.col("tied") | F.col("newly").isNotNull())
+    tiles = stored(
+        marked.groupBy("cluster").agg(
+            *(
+                F.coalesce(
+                    F.ceil(F.sum(F.when(F.col("tied") == tied, F.col("n_shingles"))) / TILE_SHINGLES), F.lit(0)
+                ).cast("bigint").alias(name)
+                for name, tied in (("open_tiles", False), ("tied_tiles", True))
+            )
+        ).where("open_tiles > 0"),
+        "tiles",
+        rows,
     )
+    to_centre = ties.where("tied").select(F.col("rep").alias("a"), F.col("centre").alias("b"))
+    links = in_bins.unionAll(in_tiles.select("a", "b")).unionAll(to_centre)
     # Open tiles meet each other and every tied tile; tied tiles do not meet.
+    pair_count = tiles.agg(F.expr("sum(open_tiles * (open_tiles + 1) div 2 + open_tiles * tied_tiles)")).first()[0]
+    if not pair_count:
+        return links
     pairs = (
-        marked.join(tiles.where("open_tiles > 0"), "cluster")
+        marked.join(tiles, "cluster")
         .withColumn("at", F.xxhash64("rep", F.lit("tile")))
-        .withColumn("open_tiles", F.col("open_tiles").cast("bigint"))
-        .withColumn("tied_tiles", F.coalesce("tied_tiles", F.lit(0)).cast("bigint"))
         .withColumn(
             "tile",
             F.when(F.col("tied"), F.col("open_tiles") + F.expr("pmod(at, greatest(tied_tiles, 1))")).otherwise(
@@ -328,9 +456,12 @@ def links_in_clusters(members: DataFrame) -> DataFrame:
             "text",
         )
     )
-    within = pairs.groupBy("cluster", "one", "two").applyInArrow(_links_of_tiles, LINK_SCHEMA)
-    to_centre = ties.where("tied").select(F.col("rep").alias("a"), F.col("centre").alias("b"))
-    return in_bins.unionAll(within).unionAll(to_centre)
+    within = (
+        pairs.repartition(max(int(pair_count), 4 * workers), "cluster", "one", "two")
+        .groupBy("cluster", "one", "two")
+        .applyInArrow(_links_of_tiles, TILE_LINK_SCHEMA)
+    )
+    return links.unionAll(within.select("a", "b"))
 
 
 def similarity_components(docs: DataFrame) -> DataFrame:
@@ -345,16 +476,7 @@ def similarity_components(docs: DataFrame) -> DataFrame:
         rows * BANDS // 4,
     )
     keys = classes.select("rep", F.explode("bands").alias("key"))
-    leaders = stored(
-        keys.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("holders")).where("holders > 1"),
-        "leaders",
-        rows * BANDS,
-    )
-    met = stored(
-        keys.join(leaders, "key").groupBy("rep", "leader").agg(F.sum("holders").alias("holders")),
-        "meetings",
-        rows * BANDS,
-    )
+    met = _meetings(keys, ["key"], rows * BANDS)
     clusters = components(met.select(F.col("rep").alias("a"), F.col("leader").alias("b")))
     degrees = met.groupBy("rep").agg(F.sum("holders").alias("degree"))
     members = stored(

@@ -117,6 +117,80 @@ def test_trees_equal_all_pairs(free):
     assert roots(range(90), found + tied) == roots(range(90), all_links + tied)
 
 
+def cluster_of(spark, texts):
+    """Members of one cluster, as ``links_in_clusters`` takes them."""
+    rows = [(5, n, len(plain_sets(t)), 1, t) for n, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "cluster BIGINT, rep BIGINT, n_shingles BIGINT, degree BIGINT, text STRING")
+
+
+def test_texts_that_share_a_passage_only_meet_in_no_tile(spark, monkeypatch):
+    def traversed(table):
+        raise AssertionError("a tile of texts that are not alike")
+
+    monkeypatch.setattr(signature_join, "TILE_SHINGLES", 1000)
+    monkeypatch.setattr(signature_join, "_links_of_tiles", traversed)
+    passage = " ".join(f"common{n}" for n in range(25))
+    texts = [f"{passage} {' '.join(f'w{i}x{n}' for n in range(30))}" for i in range(60)]
+    texts += [texts[7] + " more", "other " + texts[7], texts[9] + " again"]
+    found = signature_join.links_in_clusters(cluster_of(spark, texts)).collect()
+    assert roots(range(63), [(r.a, r.b) for r in found]) == roots(range(63), [(7, 60), (7, 61), (9, 62)])
+
+
+def drifting(seed=6):
+    """Copies of copies with an edit each, in two strands with a passage in common; the ends of a strand are not alike."""
+    draw = random.Random(seed)
+    word = lambda: "".join(draw.choices("abcdefgh", k=4))
+    shared = [word() for _ in range(70)]
+    texts = []
+    for _ in range(2):
+        words = shared + [word() for _ in range(draw.randint(25, 35))]
+        for _ in range(25):
+            words = list(words)
+            words[draw.randrange(len(words))] = word()
+            texts.append(" ".join(words))
+    return texts
+
+
+@pytest.mark.parametrize("tile", [400, 1500])
+def test_drifting_copies_in_tiles(spark, monkeypatch, tile):
+    monkeypatch.setattr(signature_join, "TILE_SHINGLES", tile)
+    texts = drifting()
+    assert len({component for _, component in brute_components([*enumerate(texts)]).values()}) > 1
+    found = signature_join.links_in_clusters(cluster_of(spark, texts)).collect()
+    got = roots(range(len(texts)), [(r.a, r.b) for r in found])
+    assert got == {n: component for n, (_, component) in brute_components([*enumerate(texts)]).items()}
+
+
+def test_parts_hold_all_similar_pairs_and_tell_passages_apart(spark):
+    texts = [t for _, t in near_copies(8) if t and t.split()] + drifting()
+    members = cluster_of(spark, texts).select("cluster", "rep", "text")
+    twice = members.unionAll(members.where("rep = 9").withColumn("text", F.lit(texts[40])))  # an id with two texts
+    parts = {r.rep: r.cluster for r in signature_join.parted(twice).collect()}
+    sets = [plain_sets(t) for t in texts]
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 100 * len(a & sets[j]) >= 80 * len(a | sets[j]):
+                assert parts[i] == parts[j]
+    assert parts[9] == parts[40]
+    assert len(set(parts.values())) > 10
+
+
+def test_band_keys_of_many_sets_equal_plain_ones():
+    draw = np.random.default_rng(3)
+    sizes = [1, 7, signature_join.PART_SHINGLES - 8, 1, signature_join.PART_SHINGLES + 5, 300, 40_000, 2]
+    sets = [np.unique(draw.integers(0, 2**63, n).astype(np.uint64)) for n in sizes]
+    mix = signature_join.mix
+    first, second, keys = signature_join._fingerprints_and_keys(sets)
+    for k, shingles in enumerate(sets):
+        smallest = mix(np.array([(shingles * m).min() for m in signature_join.MULTIPLIERS]))
+        expected = np.arange(signature_join.BANDS, dtype=np.uint64)
+        for column in smallest.reshape(signature_join.BANDS, -1).T:
+            expected = mix(expected + column)
+        assert (keys[k] == expected).all()
+        assert first[k] == mix(shingles).sum(dtype=np.uint64)
+        assert second[k] == mix(shingles ^ signature_join.MULTIPLIERS[0]).sum(dtype=np.uint64)
+
+
 def test_components_of_chains_stars_and_loops(spark):
     draw = random.Random(4)
     links = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 130)]
