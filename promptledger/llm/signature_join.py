@@ -295,17 +295,18 @@ def _meetings(keys: DataFrame, by: list[str], rows: int) -> DataFrame:
 
 
 def _shingle_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The shingles of each text, beside the other columns."""
+    """The shingles of each text, the last column, beside the other columns."""
     for batch in batches:
-        at = batch.schema.names.index("text")
-        sets = _shingle_sets(batch.column(at))
-        flat = np.concatenate([np.zeros(0, np.uint64), *sets])
-        ends = np.cumsum([0, *map(len, sets)])
-        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int64)))
-        yield pa.RecordBatch.from_arrays(
-            [*(batch.column(k) for k in range(batch.num_columns) if k != at), lists],
-            [*(c for c in batch.schema.names if c != "text"), "shingles"],
-        )
+        *others, texts = batch.columns
+        for lo, hi, words in text_chunks(texts):
+            sets = list(words.shingle_sets(SHINGLE_WORDS))
+            ends = np.append(0, np.cumsum([len(s) for s in sets]))
+            lists = pa.ListArray.from_arrays(
+                pa.array(ends, pa.int32()), pa.array(np.concatenate(sets).view(np.int64))
+            )
+            yield pa.RecordBatch.from_arrays(
+                [*(c.slice(lo, hi - lo) for c in others), lists], [*batch.schema.names[:-1], "shingles"]
+            )
 
 
 def parted(members: DataFrame) -> DataFrame:
@@ -337,8 +338,7 @@ def parted(members: DataFrame) -> DataFrame:
         .groupBy("cluster", "rep", "row", "n")
         .agg(F.sort_array(F.collect_list(F.struct("members", "shingle"))).alias("common"))
         .select("cluster", "rep", F.explode(F.slice("common", 1, prefix)).alias("key"))
-        .select("cluster", "rep", F.col("key.shingle").alias("shingle"))
-        .distinct(),
+        .select("cluster", "rep", F.col("key.shingle").alias("shingle")),
         "rare-shingles",
         rows,
     )
